@@ -51,3 +51,178 @@ def statistics_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("statistics_uf")
 def statistics_uf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AG.statistics_by_uf(registry_lake(spark, sf_dir))
+
+
+# --- search -----------------------------------------------------------------
+from ..operators import history as H  # noqa: E402
+from ..operators import network as NW  # noqa: E402
+from ..operators import quality as QA  # noqa: E402
+from ..operators import scoring as SC  # noqa: E402
+from ..operators import search as SE  # noqa: E402
+from ..operators.filters import for_batch  # noqa: E402
+from ..sources import release as RL  # noqa: E402
+from ..sources.driver_tables import release_tables, revision_lake  # noqa: E402
+
+PAIR_A, PAIR_B = "R199612", "R199712"
+SCORE_WEIGHTS = {"porte": 0.4, "complexidade": 0.3, "mix_pagador": 0.2, "tendencia": 0.1}
+
+
+def _both_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry_lake(spark, sf_dir).unionByName(revision_lake(spark, sf_dir))
+
+
+@register("search_page_cnes")
+def search_page_cnes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = for_batch(registry_lake(spark, sf_dir), PAIR_A)
+    page, total = SE.search(rows, None, "cnes", offset=100, limit=100)
+    return SE.page_with_total(page, total)
+
+
+@register("search_page_beds")
+def search_page_beds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = for_batch(registry_lake(spark, sf_dir), PAIR_A)
+    page, total = SE.search(rows, {"min_leitos": 100}, "leitos_existentes", offset=20, limit=50)
+    return SE.page_with_total(page, total)
+
+
+@register("search_page_municipio_v2")
+def search_page_municipio_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = for_batch(registry_lake(spark, sf_dir), PAIR_B)
+    page, total = SE.search(rows, {"gestao": "m", "convenio_sus": False}, "municipio",
+                            offset=0, limit=500, v2=True)
+    page = page.withColumn("habilitacoes", F.array_join("habilitacoes", ",")) \
+               .withColumn("campos_ausentes", F.array_join("campos_ausentes", ","))
+    return SE.page_with_total(page, total)
+
+
+@register("by_code")
+def by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SE.by_code(_both_imports(spark, sf_dir), "0000010").select(
+        "cnes", "competencia", "batch_id", "leitos_existentes", "leitos_sus")
+
+
+# --- quality ------------------------------------------------------------------
+@register("validate_batches")
+def validate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _both_imports(spark, sf_dir)
+    rows = both.unionByName(both.withColumn("batch_id", F.lit("ALL")))
+    return QA.validate(rows)
+
+
+@register("bed_pivot_poison")
+def bed_pivot_poison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = release_tables(spark, sf_dir)
+    return RL.bed_totals(t["leitos"], t["leito"], t["tipo_leito"])
+
+
+@register("active_qualifications")
+def active_qualifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = release_tables(spark, sf_dir)
+    rows = RL.qualification_rows(t["habilitacoes"], t["habilitacao"],
+                                 t["estabelecimento"].select("competencia"))
+    sets = RL.qualification_sets(rows)
+    return sets.withColumn("habilitacoes", F.array_join("habilitacoes", ","))
+
+
+# --- history ------------------------------------------------------------------
+@register("timeseries_unit")
+def timeseries_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.timeseries(_both_imports(spark, sf_dir), "0000010", "cnes", "199512", "200112")
+
+
+@register("timeseries_city")
+def timeseries_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.timeseries(_both_imports(spark, sf_dir), " Nation_13", "municipio", "199612", "200012")
+
+
+@register("timeseries_all_cities")
+def timeseries_all_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.timeseries(_both_imports(spark, sf_dir), None, "municipio", "000000", "999999")
+
+
+def _diff_status(status: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = H.diff(registry_lake(spark, sf_dir), PAIR_A, PAIR_B)
+        return d.where(F.col("status") == status)
+    return run
+
+
+register("diff_entered")(_diff_status("entrou"))
+register("diff_left")(_diff_status("saiu"))
+register("diff_changed")(_diff_status("mudou"))
+
+
+@register("diff_mixed")
+def diff_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two multi-competence batches: keys become code@competence."""
+    lake = registry_lake(spark, sf_dir)
+    x = lake.where(F.col("competencia").isin("199512", "199612")).withColumn("batch_id", F.lit("X"))
+    y = lake.where(F.col("competencia").isin("199612", "199712")).withColumn("batch_id", F.lit("Y"))
+    return H.diff(x.unionByName(y), "X", "Y")
+
+
+@register("lead_triggers")
+def lead_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = H.lead_triggers(registry_lake(spark, sf_dir), PAIR_A, PAIR_B, 20)
+    return t.where(F.col("motivo").isNotNull()).drop("leitos_ausentes")
+
+
+@register("lead_triggers_omitted")
+def lead_triggers_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = H.lead_triggers(registry_lake(spark, sf_dir), PAIR_A, PAIR_B, 20)
+    return t.agg(F.count_if("leitos_ausentes").alias("omitidos"),
+                 F.count_if(F.col("motivo").isNotNull()).alias("gatilhos"))
+
+
+@register("lead_triggers_hospital")
+def lead_triggers_hospital(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = H.lead_triggers(registry_lake(spark, sf_dir), PAIR_A, PAIR_B, 5, "Hospital")
+    return t.where(F.col("motivo").isNotNull()).drop("leitos_ausentes")
+
+
+@register("lead_triggers_history")
+def lead_triggers_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = H.lead_triggers_history(registry_lake(spark, sf_dir), 20)
+    return t.where(F.col("motivo").isNotNull()).drop("leitos_ausentes")
+
+
+# --- networks and scores ----------------------------------------------------------
+def _groups(spark: SparkSession, sf_dir: str):
+    return NW.maintainer_groups(for_batch(registry_lake(spark, sf_dir), PAIR_B), None, limit=25)
+
+
+@register("maintainer_groups")
+def maintainer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir)[0]
+
+
+@register("maintainer_uf")
+def maintainer_uf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir)[1]
+
+
+@register("maintainer_missing")
+def maintainer_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir)[2]
+
+
+def _scores(spark: SparkSession, sf_dir: str, filters=None) -> DataFrame:
+    lake = registry_lake(spark, sf_dir)
+    scored = SC.score_leads(for_batch(lake, PAIR_B), for_batch(lake, PAIR_A),
+                            SCORE_WEIGHTS, filters)
+    return scored.withColumn("campos_ausentes", F.array_join("campos_ausentes", ","))
+
+
+@register("score_leads")
+def score_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SC.top_leads(_scores(spark, sf_dir), 100)
+
+
+@register("score_leads_all")
+def score_leads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
+@register("score_leads_filtered")
+def score_leads_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, {"convenio_sus": True, "tipo_estabelecimento": "hospital"})

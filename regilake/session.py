@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
+    "spark.driver.memory": "8g",
+    "spark.driver.maxResultSize": "2g",
     "spark.ui.showConsoleProgress": "false",
 }
 
