@@ -226,3 +226,45 @@ def score_leads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("score_leads_filtered")
 def score_leads_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, {"convenio_sus": True, "tipo_estabelecimento": "hospital"})
+
+
+# --- ingest -----------------------------------------------------------------------
+from ..operators import ingest as IG  # noqa: E402
+from ..sources.driver_tables import event_rows, read_table  # noqa: E402
+from ..schema import V1_COLUMNS  # noqa: E402
+
+EVENT_CONTENT = ("cnes", "competencia", "nome_fantasia", "municipio", "uf",
+                 "tipo_estabelecimento", "natureza_juridica", "gestao",
+                 "leitos_existentes", "leitos_sus", "convenio_sus")
+
+
+def _event_load(spark: SparkSession, sf_dir: str):
+    raw = event_rows(spark, sf_dir)
+    deduped = IG.exact_dedupe(raw, EVENT_CONTENT)
+    validated = IG.validate_rows(deduped)
+    accepted = validated.where(F.col("reject_reason").isNull())
+    consolidated = IG.consolidate(accepted)
+    return raw, deduped, validated, consolidated
+
+
+@register("consolidate_events")
+def consolidate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_load(spark, sf_dir)[3].select(*V1_COLUMNS)
+
+
+@register("load_summary_events")
+def load_summary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IG.load_summary(*_event_load(spark, sf_dir))
+
+
+@register("content_digest_events")
+def content_digest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IG.content_digest(_event_load(spark, sf_dir)[3], V1_COLUMNS)
+
+
+@register("exact_dedupe_documents")
+def exact_dedupe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("_ord"), "text", "lang", "source")
+    kept = IG.exact_dedupe(docs, ("text", "lang", "source"))
+    return kept.select(F.col("_ord").alias("doc_id"), F.col("_copies").alias("copias"))

@@ -172,3 +172,31 @@ def revision_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
                .withColumn("imported_at", F.concat(
                    (F.substring("competencia", 1, 4).cast("int") + 1).cast("string"),
                    F.lit("-06-30T00:00:00+00:00")))
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as granular registry CSV rows (strings) with ``_ord`` = event_id.
+
+    Blank code for user ids divisible by 37, an unparsable bed count for
+    large error events, ``YYYY/MM`` competences and empty texts, so every
+    branch of dedupe / validation / consolidation is exercised.
+    """
+    ev = read_table(spark, sf_dir, "events")
+    u, t, v = F.col("user_id"), F.col("event_type"), F.col("value")
+    return ev.select(
+        F.col("event_id").alias("_ord"),
+        F.when(u % 37 == 0, F.lit("")).otherwise(_s(u)).alias("cnes"),
+        F.date_format("ts", "yyyy/MM").alias("competencia"),
+        F.when(t == "error", F.lit("")).otherwise(
+            F.concat(F.lit("U"), _s(u), F.lit("-"), t)).alias("nome_fantasia"),
+        F.concat(F.lit("Cidade "), _s(u % 7)).alias("municipio"),
+        F.lit("SP").alias("uf"),
+        F.when(t == "view", F.lit("")).otherwise(F.upper(t)).alias("tipo_estabelecimento"),
+        F.lit("").alias("natureza_juridica"),
+        F.substring(F.lit("MED"), (u % 3 + 1).cast("int"), 1).alias("gestao"),
+        F.when((t == "error") & (v > 40), F.lit("abc"))
+         .otherwise(_s(F.floor(v).cast("bigint"))).alias("leitos_existentes"),
+        _s(F.floor(v / 2).cast("bigint")).alias("leitos_sus"),
+        F.when(t == "purchase", F.lit("Sim")).when(t == "signup", F.lit("não"))
+         .otherwise(F.lit("")).alias("convenio_sus"),
+    )
