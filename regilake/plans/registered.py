@@ -268,3 +268,86 @@ def exact_dedupe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("_ord"), "text", "lang", "source")
     kept = IG.exact_dedupe(docs, ("text", "lang", "source"))
     return kept.select(F.col("_ord").alias("doc_id"), F.col("_copies").alias("copias"))
+
+
+# --- text, rollups, exports, catalog ---------------------------------------------------
+from ..functions import text as TX  # noqa: E402
+from ..functions.rules import dedupe_key  # noqa: E402
+from ..operators.rollup import top_bucket_rollup  # noqa: E402
+from ..schema import CRM_COLUMNS  # noqa: E402
+from ..sources import lake as LK  # noqa: E402
+from ..sources.driver_tables import NATURE_CODES  # noqa: E402
+from ..sources.lookups import PRIVATE_NATURE_CODES  # noqa: E402
+from ..functions.rules import prefix_any  # noqa: E402
+
+
+@register("norm_text_documents")
+def norm_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", TX.norm_text("text").alias("texto_normalizado"),
+                       TX.upper_unaccent("text").alias("texto_maiusculo"))
+
+
+@register("top_bucket_rollup")
+def top_bucket_rollup_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bed rows of 1997 for private-nature units: sums + most frequent attributes."""
+    li = read_table(spark, sf_dir, "lineitem")
+    o = read_table(spark, sf_dir, "orders")
+    c = read_table(spark, sf_dir, "customer")
+    rows = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+              .where(F.year("o_orderdate") == 1997)
+              .join(c, F.col("o_custkey") == F.col("c_custkey")))
+    k = F.col("c_custkey")
+    nature = F.element_at(F.array(*[F.lit(x) for x in NATURE_CODES]), (k % 5 + 1).cast("int"))
+    rows = rows.select(
+        TX.pad_code(k.cast("string")).alias("cnes"), F.col("l_quantity").cast("bigint").alias("qt"),
+        F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_quantity").cast("bigint"))
+         .alias("qt_sus"),
+        F.col("l_returnflag").alias("gestao"), F.col("l_linestatus").alias("situacao"),
+        nature.alias("natureza"), F.col("c_mktsegment").alias("tipo"))
+    rows = rows.where(prefix_any("natureza", PRIVATE_NATURE_CODES))
+    return top_bucket_rollup(rows, "cnes", {"total_leitos": "qt", "total_leitos_sus": "qt_sus"},
+                             ["gestao", "situacao", "natureza", "tipo"])
+
+
+@register("crm_projection")
+def crm_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = for_batch(registry_lake(spark, sf_dir), PAIR_B)
+    cols = []
+    for name in CRM_COLUMNS:
+        if name == "chave_deduplicacao":
+            cols.append(dedupe_key("cnes", "cnpj").alias(name))
+        elif name in ("habilitacoes", "campos_ausentes"):
+            cols.append(F.array_join(name, ",").alias(name))
+        else:
+            cols.append(F.col(name))
+    return rows.select(*cols)
+
+
+def _catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LK.list_batches(_both_imports(spark, sf_dir))
+
+
+@register("batches_listing")
+def batches_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalog_rows(spark, sf_dir)
+
+
+@register("retention_victims")
+def retention_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LK.retention_victims(_catalog_rows(spark, sf_dir), keep=4, current="R199912")
+
+
+@register("missing_profile_batches")
+def missing_profile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prof = AG.missing_profile(_both_imports(spark, sf_dir),
+                              ("nome_fantasia", "municipio", "uf", "tipo_estabelecimento",
+                               "natureza_juridica", "gestao", "complemento", "telefone", "email"),
+                              keys=["batch_id"])
+    return prof.withColumn("campos_vazios", F.array_join("campos_vazios", ","))
+
+
+@register("union_missing_batches")
+def union_missing_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = AG.union_absent(_both_imports(spark, sf_dir), keys=["batch_id"])
+    return u.withColumn("campos_ausentes", F.array_join("campos_ausentes", ","))
