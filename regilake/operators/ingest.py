@@ -37,17 +37,25 @@ def validate_rows(rows: DataFrame, has_sus_column: bool = True) -> DataFrame:
     """Typed v1 rows plus ``reject_reason`` (NULL = accepted).
 
     Code blank -> ``cnes_ausente`` (checked first); unparsable or negative
-    bed count / flag -> ``valor_invalido``.
+    bed count / flag, or a malformed CSV line (``_corrupt_record``) ->
+    ``valor_invalido``. A ``_has_sus`` column, when present, says per row
+    whether the source file had a SUS-bed column (flag default).
     """
     beds, beds_ok = nonneg_int("leitos_existentes")
     sus, sus_ok = nonneg_int("leitos_sus")
     flag_raw = F.coalesce(F.trim(F.col("convenio_sus")), F.lit(""))
     flag, flag_ok = parse_bool("convenio_sus")
-    default_flag = (sus > 0) if has_sus_column else F.lit(True)
+    if "_has_sus" in rows.columns:
+        default_flag = F.when(F.col("_has_sus"), sus > 0).otherwise(F.lit(True))
+    else:
+        default_flag = (sus > 0) if has_sus_column else F.lit(True)
+    malformed = (F.col("_corrupt_record").isNotNull() if "_corrupt_record" in rows.columns
+                 else F.lit(False))
     convenio = F.when(flag_raw != "", flag).otherwise(default_flag)
     cnes = F.coalesce(F.trim("cnes"), F.lit(""))
     reason = (F.when(cnes == "", F.lit("cnes_ausente"))
-              .when(~beds_ok | ~sus_ok | ((flag_raw != "") & ~flag_ok), F.lit("valor_invalido")))
+              .when(malformed | ~beds_ok | ~sus_ok | ((flag_raw != "") & ~flag_ok),
+                    F.lit("valor_invalido")))
     texts = [F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) for c in TEXT_FIELDS]
     return rows.select(
         "_ord", cnes.alias("cnes"), *texts,

@@ -33,8 +33,18 @@ def catalog_path(root: str) -> str:
 
 def write_batch(rows: DataFrame, root: str, batch_id: str) -> None:
     """Write one batch's rows (lake schema) into its partitions."""
-    out = rows.select(*LAKE_COLUMNS).withColumn("batch_id", F.lit(batch_id))
-    (out.repartition("competencia", "batch_id")
+    write_batches(rows.select(*LAKE_COLUMNS).withColumn("batch_id", F.lit(batch_id)), root)
+
+
+def write_batches(rows: DataFrame, root: str) -> None:
+    """Write rows carrying ``batch_id`` (many batches in one job).
+
+    Rows are range-partitioned by (competencia, batch_id, uf) so each task
+    writes few partition directories, files stay sorted for statistics, and
+    no single task receives a whole batch.
+    """
+    out = rows.select(*LAKE_COLUMNS, "batch_id")
+    (out.repartitionByRange("competencia", "batch_id", "uf", "municipio_normalizado")
         .sortWithinPartitions("uf", "municipio_normalizado", "cnes")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -58,12 +68,42 @@ def read_catalog(spark: SparkSession, root: str) -> DataFrame:
     return cat.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def catalog_entries(rows: DataFrame, source: str, extra: Mapping[str, Any] | None = None) -> list[dict]:
+    """Catalog rows of freshly written batches (one small row per batch)."""
+    per_batch = rows.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("accepted_count"), F.max("imported_at").alias("imported_at"),
+        F.array_join(F.array_sort(F.collect_set("competencia")), ",").alias("competence"))
+    out = []
+    for r in per_batch.collect():  # one row per batch: bounded by the batch count
+        entry = {"batch_id": r["batch_id"], "source": source, "competence": r["competence"],
+                 "accepted_count": int(r["accepted_count"]), "imported_at": r["imported_at"],
+                 "contract_version": "v2", "filters_json": "{}"}
+        entry.update(extra or {})
+        out.append(entry)
+    return out
+
+
+def append_catalog_rows(spark: SparkSession, root: str, entries: list[Mapping[str, Any]]) -> None:
+    rows = [{f.name: e.get(f.name) for f in CATALOG_SCHEMA.fields} for e in entries]
+    spark.createDataFrame(rows, CATALOG_SCHEMA).coalesce(1).write.mode("append") \
+         .parquet(catalog_path(root))
+
+
 def read_lake(spark: SparkSession, root: str, catalog: DataFrame | None = None) -> DataFrame:
     """Lake rows of catalogued batches only (half-written batches stay hidden)."""
     cat = catalog if catalog is not None else read_catalog(spark, root)
     lake = spark.read.parquet(facilities_path(root))
     # The catalog is one row per batch (bounded by retention): broadcast.
-    return lake.join(F.broadcast(cat.select("batch_id", "imported_at")), "batch_id")
+    joined = lake.join(F.broadcast(cat.select("batch_id", "imported_at")), "batch_id")
+    return joined.select(*LAKE_COLUMNS, "batch_id", "imported_at")
+
+
+def read_lake_unchecked(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Just-written batches, read back from the files (not recomputed), for
+    building their catalog rows; ``imported_at`` comes from ``rows``."""
+    ids = rows.select("batch_id", "imported_at").distinct()
+    written = spark.read.parquet(facilities_path(root)).select("batch_id", "competencia")
+    return written.join(F.broadcast(ids), "batch_id")
 
 
 def list_batches(lake: DataFrame, catalog: DataFrame | None = None) -> DataFrame:

@@ -90,38 +90,70 @@ def _dim_join(left: DataFrame, dim: DataFrame, left_key: Column, prefix: str) ->
     return left.join(d, cond, "left")
 
 
-def bed_totals(leitos: DataFrame, leito: DataFrame, tipo_leito: DataFrame | None) -> DataFrame:
-    """Per (competencia, co_unidade): poisoned totals and the 7 overlapping bed groups."""
-    spark = leitos.sparkSession
+def bed_classes(leito: DataFrame, tipo_leito: DataFrame | None) -> DataFrame:
+    """Bed dictionary -> (codigo, 7 group flags), normalised once per bed code.
+
+    Accent folding and the contains tests run on the dictionary (a few
+    thousand rows), not on every bed row; the fact side joins booleans.
+    """
+    spark = leito.sparkSession
     tipo = tipo_leito if tipo_leito is not None else default_bed_types(spark)
+    keep = ["competencia"] if "competencia" in leito.columns else []
+    l = leito.select(*keep, F.trim("co_leito").alias("codigo"),
+                     TX.upper_unaccent(F.coalesce("descricao", F.lit(""))).alias("ds_leito"),
+                     F.trim("tipo").alias("_tipo"))
+    t = tipo.select(*[F.col(c).alias(f"t_{c}") for c in tipo.columns if c == "competencia"],
+                    F.trim("codigo").alias("t_codigo"),
+                    TX.upper_unaccent(F.coalesce("descricao", F.lit(""))).alias("t_ds"))
+    cond = F.col("_tipo") == F.col("t_codigo")
+    if keep and "t_competencia" in t.columns:
+        cond = cond & (F.col("competencia") == F.col("t_competencia"))
+    d = l.join(t, cond, "left").withColumn("ds_tipo", F.coalesce("t_ds", F.lit("")))
+    uti = F.contains("ds_leito", F.lit("UTI"))
+    return d.select(
+        *keep, "codigo",
+        (uti & F.contains("ds_leito", F.lit("ADULT"))).alias("is_uti_adulto"),
+        (uti & F.contains("ds_leito", F.lit("PEDIATR"))).alias("is_uti_pediatrica"),
+        (uti & F.contains("ds_leito", F.lit("NEONAT"))).alias("is_uti_neonatal"),
+        F.contains("ds_tipo", F.lit("CIRURG")).alias("is_cirurgicos"),
+        F.contains("ds_tipo", F.lit("CLINIC")).alias("is_clinicos"),
+        F.contains("ds_tipo", F.lit("OBSTET")).alias("is_obstetricos"),
+        F.contains("ds_tipo", F.lit("COMPLEMENT")).alias("is_complementares"))
+
+
+BED_GROUPS = ("uti_adulto", "uti_pediatrica", "uti_neonatal", "cirurgicos", "clinicos",
+              "obstetricos", "complementares")
+
+
+def bed_totals(leitos: DataFrame, leito: DataFrame, tipo_leito: DataFrame | None) -> DataFrame:
+    """Per (competencia, co_unidade): poisoned totals and the 7 overlapping bed groups.
+
+    A total is NULL when any bed row of the unit is unparsable; the groups
+    are 0-defaulted sums under the same rule. Bed rows whose code is not in
+    the dictionary count in the totals and in no group.
+    """
+    classes = bed_classes(leito, tipo_leito)
     rows = leitos.select(
-        "competencia", F.trim("co_unidade").alias("co_unidade"), "co_leito",
+        "competencia", F.trim("co_unidade").alias("co_unidade"),
+        F.trim("co_leito").alias("_code"),
         try_bigint("qt_exist").alias("qt_exist"), try_bigint("qt_sus").alias("qt_sus"))
-    leito_dim = leito.select(F.col("co_leito").alias("codigo"), "descricao", "tipo",
-                             *(["competencia"] if "competencia" in leito.columns else []))
-    rows = _dim_join(rows, leito_dim, F.col("co_leito"), "l")
-    rows = _dim_join(rows, tipo, F.col("l_tipo"), "t")
-    rows = rows.select(
-        "competencia", "co_unidade", "qt_exist", "qt_sus",
-        TX.upper_unaccent(F.coalesce(F.col("l_descricao"), F.lit(""))).alias("ds_leito"),
-        TX.upper_unaccent(F.coalesce(F.col("t_descricao"), F.lit(""))).alias("ds_tipo"))
+    cond = F.col("_code") == F.col("_c_codigo")
+    cls = classes.select(*[F.col(c).alias(f"_c_{c}") if c in ("codigo", "competencia") else F.col(c)
+                           for c in classes.columns])
+    if "_c_competencia" in cls.columns:
+        cond = cond & (F.col("competencia") == F.col("_c_competencia"))
+    rows = rows.join(cls, cond, "left")
 
     all_valid = F.count("qt_exist") == F.count(F.lit(1))
 
-    def group(cond: Column) -> Column:
-        return F.when(all_valid, F.coalesce(F.sum(F.when(cond, F.col("qt_exist"))), F.lit(0)))
+    def group(flag: str):
+        return F.when(all_valid, F.coalesce(
+            F.sum(F.when(F.coalesce(F.col(flag), F.lit(False)), F.col("qt_exist"))), F.lit(0)))
 
-    uti = F.contains(F.col("ds_leito"), F.lit("UTI"))
     return rows.groupBy("competencia", "co_unidade").agg(
         F.when(all_valid, F.sum("qt_exist")).alias("total_exist"),
         F.when(F.count("qt_sus") == F.count(F.lit(1)), F.sum("qt_sus")).alias("total_sus"),
-        group(uti & F.contains("ds_leito", F.lit("ADULT"))).alias("uti_adulto"),
-        group(uti & F.contains("ds_leito", F.lit("PEDIATR"))).alias("uti_pediatrica"),
-        group(uti & F.contains("ds_leito", F.lit("NEONAT"))).alias("uti_neonatal"),
-        group(F.contains("ds_tipo", F.lit("CIRURG"))).alias("cirurgicos"),
-        group(F.contains("ds_tipo", F.lit("CLINIC"))).alias("clinicos"),
-        group(F.contains("ds_tipo", F.lit("OBSTET"))).alias("obstetricos"),
-        group(F.contains("ds_tipo", F.lit("COMPLEMENT"))).alias("complementares"),
+        *[group(f"is_{g}").alias(g) for g in BED_GROUPS],
     )
 
 
@@ -159,7 +191,7 @@ def qualification_sets(rows: DataFrame) -> DataFrame:
     distinct = rows.select("competencia", "co_unidade", "codigo", "descricao").distinct()
     return distinct.groupBy("competencia", "co_unidade").agg(
         F.sort_array(F.collect_set("descricao")).alias("habilitacoes"),
-        F.count_distinct("codigo").cast("bigint").alias("total_habilitacoes"))
+        F.size(F.collect_set("codigo")).cast("bigint").alias("total_habilitacoes"))
 
 
 def first_unit_per_code(estab: DataFrame) -> DataFrame:
