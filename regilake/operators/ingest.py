@@ -57,8 +57,9 @@ def validate_rows(rows: DataFrame, has_sus_column: bool = True) -> DataFrame:
               .when(malformed | ~beds_ok | ~sus_ok | ((flag_raw != "") & ~flag_ok),
                     F.lit("valor_invalido")))
     texts = [F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) for c in TEXT_FIELDS]
+    passthrough = [c for c in ("_copies",) if c in rows.columns]
     return rows.select(
-        "_ord", cnes.alias("cnes"), *texts,
+        "_ord", *passthrough, cnes.alias("cnes"), *texts,
         slash_competence(F.coalesce(F.col("competencia"), F.lit(""))).alias("competencia"),
         beds.alias("leitos_existentes"), sus.alias("leitos_sus"),
         convenio.alias("convenio_sus"), reason.alias("reject_reason"))
@@ -96,6 +97,22 @@ def load_summary(raw: DataFrame, deduped: DataFrame, validated: DataFrame,
                       F.coalesce("rejection_reasons", F.lit("{}")).alias("rejection_reasons"))
 
 
+def load_summary_from_validated(validated: DataFrame, accepted_count: int) -> DataFrame:
+    """Same audit from the validated distinct rows alone (carrying ``_copies``):
+    read = sum of copies, ignored = read - distinct rows."""
+    per_reason = validated.groupBy("reject_reason").agg(
+        F.sum("_copies").alias("_read"), F.count(F.lit(1)).alias("_rows"))
+    return per_reason.agg(
+        F.sum("_read").cast("bigint").alias("rows_read"),
+        F.lit(accepted_count).cast("bigint").alias("accepted_count"),
+        F.coalesce(F.sum(F.when(F.col("reject_reason").isNotNull(), F.col("_rows"))), F.lit(0))
+         .cast("bigint").alias("rows_rejected"),
+        (F.sum("_read") - F.sum("_rows")).cast("bigint").alias("rows_ignored"),
+        F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.filter(F.collect_list(
+            F.struct(F.col("reject_reason"), F.col("_rows"))), lambda x: x["reject_reason"].isNotNull())))),
+            F.lit("{}")).alias("rejection_reasons"))
+
+
 def content_digest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Order-free multiset digest of canonical rows (one row, one column).
 

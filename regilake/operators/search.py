@@ -14,17 +14,17 @@ from .filters import Filters, apply_filters
 MAX_LIMIT = 500
 # The four supported orders (always ending on the unique code).
 ORDERS = {
-    "cnes": (F.asc("cnes"),),
-    "municipio": (F.asc("municipio_normalizado"), F.asc("cnes")),
-    "leitos_existentes": (F.desc("leitos_existentes"), F.asc("cnes")),
-    "leitos_sus": (F.desc("leitos_sus"), F.asc("cnes")),
+    "cnes": (("cnes", False),),
+    "municipio": (("municipio_normalizado", False), ("cnes", False)),
+    "leitos_existentes": (("leitos_existentes", True), ("cnes", False)),
+    "leitos_sus": (("leitos_sus", True), ("cnes", False)),
 }
 
 
 def order_columns(order_by: str) -> tuple[Column, ...]:
     if order_by not in ORDERS:
         raise ValueError("unsupported order_by")
-    return ORDERS[order_by]
+    return tuple(F.desc(c) if desc else F.asc(c) for c, desc in ORDERS[order_by])
 
 
 def search(rows: DataFrame, filters: Filters | Mapping[str, Any] | None = None,

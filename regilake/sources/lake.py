@@ -20,7 +20,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import CATALOG_SCHEMA, LAKE_COLUMNS
+from pyspark.sql import types as T
+
+from ..schema import CATALOG_SCHEMA, LAKE_COLUMNS, LAKE_SCHEMA
+
+# Explicit read schema: partition values stay strings (no type inference).
+STORED_SCHEMA = T.StructType(list(LAKE_SCHEMA.fields) + [T.StructField("batch_id", T.StringType())])
+
+
+def read_facilities(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(STORED_SCHEMA).parquet(facilities_path(root))
 
 
 def facilities_path(root: str) -> str:
@@ -92,7 +101,7 @@ def append_catalog_rows(spark: SparkSession, root: str, entries: list[Mapping[st
 def read_lake(spark: SparkSession, root: str, catalog: DataFrame | None = None) -> DataFrame:
     """Lake rows of catalogued batches only (half-written batches stay hidden)."""
     cat = catalog if catalog is not None else read_catalog(spark, root)
-    lake = spark.read.parquet(facilities_path(root))
+    lake = read_facilities(spark, root)
     # The catalog is one row per batch (bounded by retention): broadcast.
     joined = lake.join(F.broadcast(cat.select("batch_id", "imported_at")), "batch_id")
     return joined.select(*LAKE_COLUMNS, "batch_id", "imported_at")
@@ -102,7 +111,7 @@ def read_lake_unchecked(spark: SparkSession, root: str, rows: DataFrame) -> Data
     """Just-written batches, read back from the files (not recomputed), for
     building their catalog rows; ``imported_at`` comes from ``rows``."""
     ids = rows.select("batch_id", "imported_at").distinct()
-    written = spark.read.parquet(facilities_path(root)).select("batch_id", "competencia")
+    written = read_facilities(spark, root).select("batch_id", "competencia")
     return written.join(F.broadcast(ids), "batch_id")
 
 
