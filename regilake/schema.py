@@ -26,19 +26,20 @@ ABSENT_WHEN_NO_BEDS = (
 ABSENT_WHEN_NO_SUS = ("leitos_sus", "convenio_sus")
 # Export column headers of the canonical CSV (v1 projection).
 EXPORT_HEADERS = {
-    "CNES": "cnes", "NOME_FANTASIA": "nome_fantasia", "MUNICIPIO": "municipio",
-    "UF": "uf", "TIPO_ESTABELECIMENTO": "tipo_estabelecimento",
+    "COMPETENCIA": "competencia", "UF": "uf", "MUNICIPIO": "municipio", "CNES": "cnes",
+    "NOME_FANTASIA": "nome_fantasia", "TIPO_ESTABELECIMENTO": "tipo_estabelecimento",
     "NATUREZA_JURIDICA": "natureza_juridica", "GESTAO": "gestao",
     "CONVENIO_SUS": "convenio_sus", "LEITOS_EXISTENTES": "leitos_existentes",
-    "LEITOS_SUS": "leitos_sus", "COMPETENCIA": "competencia",
+    "LEITOS_SUS": "leitos_sus",
 }
 CRM_COLUMNS = (
-    "chave_deduplicacao", "cnes", "nome_fantasia", "razao_social", "cnpj",
-    "cnpj_mantenedora", "tipo_pessoa", "nivel_dependencia", "logradouro", "numero",
-    "complemento", "bairro", "cep", "municipio", "uf", "latitude", "longitude",
-    "geo_confiavel", "telefone", "email", "tipo_estabelecimento", "natureza_juridica",
-    "gestao", "convenio_sus", "leitos_existentes", "leitos_sus", "leitos_uti_adulto",
-    "leitos_uti_pediatrica", "leitos_uti_neonatal", "habilitacoes", "campos_ausentes",
+    "chave_deduplicacao", "cnes", "cnpj", "cnpj_mantenedora", "razao_social",
+    "nome_fantasia", "tipo_estabelecimento", "natureza_juridica", "gestao", "municipio",
+    "uf", "logradouro", "numero", "complemento", "bairro", "cep", "telefone", "email",
+    "leitos_existentes", "leitos_sus", "leitos_uti_adulto", "leitos_uti_pediatrica",
+    "leitos_uti_neonatal", "leitos_cirurgicos", "leitos_clinicos", "leitos_obstetricos",
+    "leitos_complementares", "habilitacoes", "total_habilitacoes", "campos_ausentes",
+    "competencia",
 )
 
 _STR, _LONG, _DBL, _BOOL = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()

@@ -161,23 +161,33 @@ def qualification_rows(habilitacoes: DataFrame, habilitacao: DataFrame,
                        competences: DataFrame) -> DataFrame:
     """(competencia, co_unidade, codigo, descricao) active at each competence.
 
-    The interval table has no month of its own: it is range-joined with the
-    list of competences being normalised (at most 12 per year, validated by
-    pattern, hence broadcast) -> BroadcastNestedLoopJoin, big side streamed.
+    A monthly snapshot (table with ``competencia``) is checked against its
+    own month. A history-wide interval table is range-joined with the
+    competences being normalised (at most 12 per year, validated by
+    pattern, hence broadcast): BroadcastNestedLoopJoin, big side streamed.
     """
+    monthly = "competencia" in habilitacoes.columns
     h = habilitacoes.select(
+        *(["competencia"] if monthly else []),
         F.trim("co_unidade").alias("co_unidade"), F.trim("codigo").alias("codigo"),
         mmyyyy_to_yyyymm("inicio").alias("start"),
         F.trim("fim").alias("fim_raw"), mmyyyy_to_yyyymm("fim").alias("end"))
     h = h.where(F.col("start").isNotNull()
                 & ((F.col("fim_raw") == OPEN_END) | F.col("end").isNotNull()))
-    comps = F.broadcast(competences.where(competence_valid("competencia")).distinct())
-    active = h.join(comps, (F.col("start") <= F.col("competencia"))
-                    & ((F.col("fim_raw") == OPEN_END) | (F.col("end") >= F.col("competencia"))),
-                    "inner")
-    names = habilitacao.select(F.trim("codigo").alias("n_codigo"),
-                               F.nullif(F.trim("descricao"), F.lit("")).alias("n_desc"))
-    active = active.join(names, F.col("codigo") == F.col("n_codigo"), "left")
+    active_cond = (F.col("start") <= F.col("competencia")) & (
+        (F.col("fim_raw") == OPEN_END) | (F.col("end") >= F.col("competencia")))
+    if monthly:
+        active = h.where(active_cond)
+    else:
+        comps = F.broadcast(competences.where(competence_valid("competencia")).distinct())
+        active = h.join(comps, active_cond, "inner")
+    name_cols = [F.trim("codigo").alias("n_codigo"),
+                 F.nullif(F.trim("descricao"), F.lit("")).alias("n_desc")]
+    cond = F.col("codigo") == F.col("n_codigo")
+    if "competencia" in habilitacao.columns:
+        name_cols.append(F.col("competencia").alias("n_comp"))
+        cond = cond & (F.col("competencia") == F.col("n_comp"))
+    active = active.join(habilitacao.select(*name_cols), cond, "left")
     return active.select("competencia", "co_unidade", "codigo",
                          F.coalesce("n_desc", "codigo").alias("descricao"))
 
@@ -280,3 +290,32 @@ def normalize_release(tables: Mapping[str, DataFrame]) -> DataFrame:
         TX.norm_text(municipio).alias("municipio_normalizado"),
     )
     return out.select(*LAKE_COLUMNS)
+
+
+def read_release_tables(spark, landing: str) -> dict[str, DataFrame]:
+    """Unpacked release CSVs (``table=<t>/competencia=<YYYYMM>/*.csv``) ->
+    canonical string tables. ``;``-separated, Latin-1, header, strict
+    (FAILFAST); only the allow-listed columns are selected."""
+    import os
+
+    from pyspark.sql import types as T
+
+    from .csv_files import read_head
+
+    tables: dict[str, DataFrame] = {}
+    for table, fields in TABLE_FIELDS.items():
+        path = os.path.join(landing, f"table={table}")
+        if not os.path.isdir(path):
+            if table in OPTIONAL_TABLES:
+                continue
+            raise MissingColumnsError(f"missing release table {table}")
+        first = next(os.path.join(r, f) for r, _, fs in os.walk(path) for f in fs if f.endswith(".csv"))
+        header = read_head(spark, first).decode("latin-1").splitlines()[0].split(";")
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+        raw = (spark.read.schema(schema).option("header", True).option("sep", ";")
+               .option("encoding", "ISO-8859-1").option("mode", "FAILFAST").csv(path))
+        raw = raw.withColumn("competencia", F.regexp_extract(
+            F.col("_metadata.file_path"), r"competencia=([0-9]{6})", 1))
+        # Every table keeps its month: dimension joins happen within a release.
+        tables[table] = resolve_columns(raw, fields, keep=("competencia",))
+    return tables
