@@ -351,3 +351,36 @@ def missing_profile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_missing_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = AG.union_absent(_both_imports(spark, sf_dir), keys=["batch_id"])
     return u.withColumn("campos_ausentes", F.array_join("campos_ausentes", ","))
+
+
+# --- sources on the driver tables ----------------------------------------------------------
+from ..sources.annual import AnnualRequest, normalize_annual  # noqa: E402
+from ..sources.driver_tables import annual_rows  # noqa: E402
+from ..sources.manifest import competences_in_file, latest_resource, resource_manifest  # noqa: E402
+
+ANNUAL_REQUEST = AnnualRequest("199712", establishment_type="hospital", legal_nature="sociedade",
+                               sus_agreement=True, min_beds=1000)
+
+
+@register("annual_normalize")
+def annual_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_annual(annual_rows(spark, sf_dir), ANNUAL_REQUEST)[0]
+
+
+@register("annual_rejected")
+def annual_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_annual(annual_rows(spark, sf_dir), AnnualRequest("199712"))[1]
+
+
+@register("competences_orders")
+def competences_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "yyyyMM").alias("COMP"))
+    return competences_in_file(orders, "COMP", year=1998)
+
+
+@register("resource_manifest_pages")
+def resource_manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog resources embedded in the crawled pages (latest per year)."""
+    pages = read_table(spark, sf_dir, "pages")
+    return latest_resource(resource_manifest(pages, "dados.example.org", "/dataset/"))

@@ -257,3 +257,30 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(t == "purchase", F.lit("Sim")).when(t == "signup", F.lit("não"))
          .otherwise(F.lit("")).alias("convenio_sus"),
     )
+
+
+def annual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annual single-table source shape (all strings): one row per
+    (order year, customer), beds from the account balance (negative
+    balances are unparsable as bed counts and get rejected)."""
+    orders = read_table(spark, sf_dir, "orders")
+    customer = read_table(spark, sf_dir, "customer")
+    nation = read_table(spark, sf_dir, "nation")
+    units = orders.select(_competence(F.col("o_orderdate")).alias("COMP"),
+                          F.col("o_custkey").alias("c_custkey")).distinct()
+    k = F.col("c_custkey")
+    seg_desc = F.create_map(*[F.lit(x) for pair in SEGMENT_TYPES for x in pair])
+    nat_desc = F.create_map(*[F.lit(x) for pair in NATURES for x in pair])
+    nature = _pick(NATURE_CODES, k % 5)
+    rows = units.join(customer, "c_custkey").join(
+        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(
+        "COMP", _pick(NATION_UF, F.col("n_nationkey")).alias("UF"),
+        F.col("n_name").alias("MUNICIPIO"), F.lpad(_s(k), 7, "0").alias("CNES"),
+        F.col("c_name").alias("NOME_ESTABELECIMENTO"),
+        F.substring(F.lit("MED"), (k % 3 + 1).cast("int"), 1).alias("TP_GESTAO"),
+        F.lpad(_s(k % 7), 2, "0").alias("CO_TIPO_UNIDADE"),
+        seg_desc[F.col("c_mktsegment")].alias("DS_TIPO_UNIDADE"),
+        nature.alias("NATUREZA_JURIDICA"), nat_desc[nature].alias("DESC_NATUREZA_JURIDICA"),
+        _s(F.col("c_acctbal").cast("bigint")).alias("LEITOS_EXISTENTES"),
+        _s(k % 50).alias("LEITOS_SUS"))
