@@ -105,3 +105,15 @@ def apply_filters(df: DataFrame, filters: Filters | Mapping[str, Any] | None) ->
 def for_batch(lake: DataFrame, batch_id: str | None) -> DataFrame:
     """Batch selection = partition pruning on ``batch_id``."""
     return lake if batch_id is None else lake.where(F.col("batch_id") == F.lit(batch_id))
+
+
+def match_collector(rows: DataFrame, municipality: str | None, min_beds: int | None,
+                    max_beds: int | None, nature_codes) -> DataFrame:
+    """Collector rule: accent-insensitive municipality contains, inclusive bed
+    range, legal nature starting with one of the (private) codes."""
+    from ..functions.rules import bed_range, prefix_any
+    from ..functions.text import norm_text
+    cond = bed_range("leitos_existentes", min_beds, max_beds) & prefix_any("natureza_juridica", nature_codes)
+    if municipality:
+        cond = cond & F.contains(norm_text("municipio"), F.lit(norm_text_py(municipality)))
+    return rows.where(cond)

@@ -124,7 +124,8 @@ def lead_triggers(lake: DataFrame, batch_a: str, batch_b: str, delta_min: int,
         raise ValueError("delta_min must be >= 0")
     a = lake.where(F.col("batch_id") == batch_a)
     b = lake.where(F.col("batch_id") == batch_b)
-    return _triggers(_compare_base(a, b, ["cnes"]), delta_min, establishment_type)
+    out = _triggers(_compare_base(a, b, ["cnes"]), delta_min, establishment_type)
+    return out.orderBy(F.desc_nulls_last(F.abs("delta_leitos")), "cnes")
 
 
 def consecutive_pairs(lake: DataFrame) -> DataFrame:

@@ -38,6 +38,8 @@ def search(rows: DataFrame, filters: Filters | Mapping[str, Any] | None = None,
     """
     if not (1 <= limit <= MAX_LIMIT) or offset < 0:
         raise ValueError("limit must be 1..500 and offset >= 0")
+    if isinstance(filters, Mapping):
+        filters = {k: v for k, v in filters.items() if v is not None}
     filtered = apply_filters(rows, filters)
     cols = [c for c in (LAKE_COLUMNS if v2 else V1_COLUMNS)]
     page = filtered.orderBy(*order_columns(order_by)).select(*cols)
@@ -58,3 +60,15 @@ def by_code(lake: DataFrame, code: str) -> DataFrame:
     return (lake.where(F.col("cnes") == F.lit(code))
             .orderBy(F.desc("competencia"), F.desc("imported_at"), F.desc("batch_id"))
             .limit(1))
+
+
+def by_municipality(rows: DataFrame, name: str, min_beds: int | None = None,
+                    max_beds: int | None = None, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+    return search(rows, {"municipio": name, "min_leitos": min_beds, "max_leitos": max_beds},
+                  "municipio", 0, limit)
+
+
+def by_uf(rows: DataFrame, uf: str, min_beds: int | None = None,
+          max_beds: int | None = None, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+    return search(rows, {"uf": uf, "min_leitos": min_beds, "max_leitos": max_beds},
+                  "leitos_existentes", 0, limit)

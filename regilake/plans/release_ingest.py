@@ -23,3 +23,74 @@ def ingest_binding(spark: SparkSession, sf_dir: str, root: str) -> dict[str, int
         LK.append_catalog_rows(spark, root, entries)
         counts[name] = sum(e["accepted_count"] for e in entries)
     return counts
+
+
+NORMALIZER_VERSION = "regilake-release-1"
+
+
+def archive_versions(spark: SparkSession, archives: list[str]) -> list[dict]:
+    """(path, competence, version) from file metadata only (size + mtime)."""
+    import re
+
+    from ..sources.manifest import ARCHIVE_RE
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = re.compile(ARCHIVE_RE.replace("(?i)", ""), re.IGNORECASE)
+    out = []
+    for a in archives:
+        m = pattern.match(a.rsplit("/", 1)[-1])
+        if not m:
+            continue
+        p = jvm.org.apache.hadoop.fs.Path(a)
+        st = p.getFileSystem(conf).getFileStatus(p)
+        out.append({"path": a, "competence": m.group(1),
+                    "version": f"{st.getLen()}:{st.getModificationTime()}:{NORMALIZER_VERSION}"})
+    return out
+
+
+def fetch_releases(spark: SparkSession, archives: list[str], root: str, landing: str) -> list[dict]:
+    """Normalise only archives whose (competence, version) is not catalogued yet.
+
+    New archives are unpacked in parallel (one task per archive), checked
+    through the manifest, normalised in one multi-month job and published
+    as one batch per competence.
+    """
+    import hashlib
+    import os
+
+    from pyspark.sql import functions as F
+
+    from ..sources.archives import manifest_problems, unpack_archives
+    from ..sources.release import normalize_release, read_release_tables
+
+    versions = archive_versions(spark, archives)
+    try:
+        known = {r["resource_version"] for r in LK.read_catalog(spark, root)
+                 .select("resource_version").collect()}  # one row per batch
+    except Exception:
+        known = set()
+    todo = [v for v in versions if v["version"] not in known]
+    if not todo:
+        return []
+    stage = os.path.join(landing, hashlib.sha256(
+        "|".join(sorted(v["version"] for v in todo)).encode()).hexdigest()[:16])
+    manifest = unpack_archives(spark, [v["path"] for v in todo], stage)
+    problems = [r.asDict() for r in manifest_problems(manifest).collect()
+                if r["faltando"] or r["duplicadas"]]
+    if problems:
+        raise ValueError(f"invalid release archives: {problems}")
+    rows = normalize_release(read_release_tables(spark, stage))
+    ids = {v["competence"]: f"release-{v['competence']}-"
+           + hashlib.sha256(v["version"].encode()).hexdigest()[:12] for v in todo}
+    mapping = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
+    rows = rows.withColumn("batch_id", mapping[F.col("competencia")])
+    LK.write_batches(rows, root)
+    entries = []
+    for v in todo:
+        count = LK.read_facilities(spark, root).where(F.col("batch_id") == ids[v["competence"]]).count()
+        entries.append({"batch_id": ids[v["competence"]], "source": "release_archive",
+                        "competence": v["competence"], "resource_version": v["version"],
+                        "source_file": v["path"], "contract_version": "v2",
+                        "accepted_count": count, "filters_json": "{}"})
+    LK.append_catalog_rows(spark, root, entries)
+    return entries

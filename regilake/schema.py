@@ -81,4 +81,5 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("rejection_reasons", _STR, True),
     T.StructField("content_sha256", _STR, True),
     T.StructField("imported_at", _STR, False),
+    T.StructField("written_at", _STR, True),
 ])

@@ -60,20 +60,25 @@ def write_batches(rows: DataFrame, root: str) -> None:
         .partitionBy("competencia", "batch_id").parquet(facilities_path(root)))
 
 
-def append_catalog(spark: SparkSession, root: str, entry: Mapping[str, Any]) -> None:
+def append_catalog(spark: SparkSession, root: str, entry: Mapping[str, Any]) -> dict[str, Any]:
+    """Append one catalog row; the newest row per batch id wins on read
+    (ties broken by the write order through ``_written_at``)."""
     row = {f.name: entry.get(f.name) for f in CATALOG_SCHEMA.fields}
-    row["imported_at"] = row["imported_at"] or _dt.datetime.now(_dt.timezone.utc).isoformat()
+    now = _dt.datetime.now(_dt.timezone.utc).isoformat()
+    row["imported_at"] = row["imported_at"] or now
+    row["written_at"] = now
     row["contract_version"] = row["contract_version"] or "v2"
     if isinstance(row.get("filters_json"), dict):
         row["filters_json"] = json.dumps(row["filters_json"], sort_keys=True, ensure_ascii=False)
     spark.createDataFrame([row], CATALOG_SCHEMA).coalesce(1).write.mode("append") \
          .parquet(catalog_path(root))
+    return row
 
 
 def read_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Latest catalog row per batch id."""
+    """Latest written catalog row per batch id (one row per batch)."""
     cat = spark.read.schema(CATALOG_SCHEMA).parquet(catalog_path(root))
-    w = Window.partitionBy("batch_id").orderBy(F.desc("imported_at"))
+    w = Window.partitionBy("batch_id").orderBy(F.desc("written_at"), F.desc("imported_at"))
     return cat.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -93,7 +98,12 @@ def catalog_entries(rows: DataFrame, source: str, extra: Mapping[str, Any] | Non
 
 
 def append_catalog_rows(spark: SparkSession, root: str, entries: list[Mapping[str, Any]]) -> None:
-    rows = [{f.name: e.get(f.name) for f in CATALOG_SCHEMA.fields} for e in entries]
+    now = _dt.datetime.now(_dt.timezone.utc).isoformat()
+    rows = [{**{f.name: e.get(f.name) for f in CATALOG_SCHEMA.fields}, "written_at": now}
+            for e in entries]
+    for r in rows:
+        r["imported_at"] = r["imported_at"] or now
+        r["contract_version"] = r["contract_version"] or "v2"
     spark.createDataFrame(rows, CATALOG_SCHEMA).coalesce(1).write.mode("append") \
          .parquet(catalog_path(root))
 
@@ -141,3 +151,42 @@ def retention_victims(batches: DataFrame, keep: int, current: str | None = None)
     slots = keep if current is None else keep - 1
     ranked = others.withColumn("_pos", F.row_number().over(w))
     return ranked.where(F.col("_pos") > slots).drop("_pos")
+
+
+class ContractError(ValueError):
+    pass
+
+
+def register_parquet(spark: SparkSession, path: str, root: str, batch_id: str,
+                     entry: Mapping[str, Any] | None = None) -> dict[str, Any]:
+    """Register an existing v2 Parquet file as a batch.
+
+    The file's columns must be exactly the lake contract: missing *and*
+    extra columns are refused (privacy allow-list). Re-registering a known
+    id updates the provenance fields but keeps counts and ``imported_at``.
+    """
+    df = spark.read.parquet(path)
+    cols = set(df.columns) - {"batch_id", "imported_at"}
+    missing = sorted(set(LAKE_COLUMNS) - cols)
+    extra = sorted(cols - set(LAKE_COLUMNS))
+    if missing or extra:
+        raise ContractError(f"contract mismatch: missing={missing} extra={extra}")
+    entry = dict(entry or {})
+    try:
+        known = read_catalog(spark, root).where(F.col("batch_id") == batch_id).first()
+    except Exception:
+        known = None
+    if known is None:
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in LAKE_SCHEMA.fields])
+        write_batch(rows, root, batch_id)
+        count = spark.read.schema(STORED_SCHEMA).parquet(facilities_path(root)) \
+                     .where(F.col("batch_id") == batch_id).count()
+        entry.update(batch_id=batch_id, accepted_count=count, contract_version="v2",
+                     source_file=path)
+    else:
+        kept = known.asDict()
+        kept.update({k: v for k, v in entry.items()
+                     if k in ("source", "competence", "filters_json", "etag", "resource_version")})
+        kept["source_file"] = path
+        entry = kept
+    return append_catalog(spark, root, entry)

@@ -157,3 +157,43 @@ def test_autoload_stream_is_idempotent(spark, tmpdir_path):
     q2.awaitTermination()
     assert len(q.results) == 1 and len(q2.results) == 1 and q2.results[0]["reused"]
     assert LK.read_catalog(spark, root).count() == 1
+
+
+def test_fetch_releases_skips_known_archives(spark, tmpdir_path):
+    from regilake.plans.release_ingest import fetch_releases
+    folder = os.path.join(tmpdir_path, "arch")
+    os.makedirs(folder)
+    a1 = _write_release(folder, "202501")
+    root = os.path.join(tmpdir_path, "lake")
+    first = fetch_releases(spark, [a1], root, os.path.join(tmpdir_path, "landing"))
+    assert len(first) == 1 and first[0]["accepted_count"] == 1
+    again = fetch_releases(spark, [a1], root, os.path.join(tmpdir_path, "landing"))
+    assert again == []
+    lake = LK.read_lake(spark, root)
+    assert lake.count() == 1 and lake.first()["competencia"] == "202501"
+
+
+def test_register_parquet_contract(spark, tmpdir_path):
+    import pytest
+    from conftest import lake_rows
+    path = os.path.join(tmpdir_path, "v2.parquet")
+    lake_rows(spark, [dict(cnes="0000001", competencia="202501")]).drop("batch_id", "imported_at") \
+        .write.parquet(path)
+    root = os.path.join(tmpdir_path, "lake")
+    e = LK.register_parquet(spark, path, root, "ext-1", {"source": "s1"})
+    assert e["accepted_count"] == 1
+    e2 = LK.register_parquet(spark, path, root, "ext-1", {"source": "s2"})
+    cat = LK.read_catalog(spark, root).collect()
+    assert len(cat) == 1 and cat[0]["source"] == "s2" and cat[0]["imported_at"] == e["imported_at"]
+    bad = os.path.join(tmpdir_path, "bad.parquet")
+    spark.createDataFrame([("1", "x")], "cnes string, nu_cpf string").write.parquet(bad)
+    with pytest.raises(LK.ContractError):
+        LK.register_parquet(spark, bad, root, "ext-2")
+
+
+def test_normalize_csv_reports_empty_and_derived(spark, tmpdir_path):
+    from regilake.plans.normalize import normalize_csv
+    out = normalize_csv(spark, [os.path.join(FIX, "incomplete.csv")], os.path.join(tmpdir_path, "n"))
+    assert out["registros"] == 1
+    assert "nome_fantasia" in out["campos_vazios"] and "cnes" not in out["campos_vazios"]
+    assert "convenio_sus" in out["campos_derivados"]
