@@ -52,7 +52,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return balanced_scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-SPREAD_MIN_BYTES = 4 * 1024 * 1024
+SPREAD_MIN_BYTES = 1024 * 1024
 
 
 def _input_bytes(spark: SparkSession, df: DataFrame) -> int:
