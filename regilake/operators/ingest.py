@@ -25,8 +25,12 @@ def exact_dedupe(raw: DataFrame, content: Sequence[str], ordinal: str = "_ord")
     included). One shuffle: ``min(struct(ordinal, row))`` is combined map-side,
     so a key holding a third of all rows ships one partial row per task.
     """
-    sig = F.sha2(F.to_json(F.struct(*[F.col(c) for c in content])), 256)
-    others = [c for c in raw.columns if c != ordinal]
+    if len(content) == 1 and dict(raw.dtypes)[content[0]] == "string":
+        sig = F.sha2(F.col(content[0]), 256)  # already a canonical text
+    else:
+        sig = F.sha2(F.to_json(F.struct(*[F.col(c) for c in content])), 256)
+    # The signature replaces the content columns; only the row travels.
+    others = [c for c in raw.columns if c != ordinal and not (c.startswith("_content"))]
     firsts = raw.withColumn("_sig", sig).groupBy("_sig").agg(
         F.min(F.struct(F.col(ordinal), *[F.col(c) for c in others])).alias("_r"),
         F.count(F.lit(1)).alias("_copies"))
