@@ -85,9 +85,13 @@ def fetch_releases(spark: SparkSession, archives: list[str], root: str, landing:
     mapping = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
     rows = rows.withColumn("batch_id", mapping[F.col("competencia")])
     LK.write_batches(rows, root)
+    # One grouped count for every new batch (one row per batch comes back).
+    counts = {r["batch_id"]: r["n"] for r in LK.read_facilities(spark, root)
+              .where(F.col("batch_id").isin(list(ids.values())))
+              .groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     entries = []
     for v in todo:
-        count = LK.read_facilities(spark, root).where(F.col("batch_id") == ids[v["competence"]]).count()
+        count = counts.get(ids[v["competence"]], 0)
         entries.append({"batch_id": ids[v["competence"]], "source": "release_archive",
                         "competence": v["competence"], "resource_version": v["version"],
                         "source_file": v["path"], "contract_version": "v2",

@@ -197,3 +197,14 @@ def test_normalize_csv_reports_empty_and_derived(spark, tmpdir_path):
     assert out["registros"] == 1
     assert "nome_fantasia" in out["campos_vazios"] and "cnes" not in out["campos_vazios"]
     assert "convenio_sus" in out["campos_derivados"]
+
+
+def test_executor_side_sniffing_matches_driver(spark, tmpdir_path):
+    from regilake.sources import csv_files as CF
+    paths = []
+    for i in range(CF.DRIVER_SNIFF_MAX_FILES + 3):
+        p = os.path.join(tmpdir_path, f"f{i}.csv")
+        shutil.copy(os.path.join(FIX, "valid.csv" if i % 2 else "invalid_rows.csv"), p)
+        paths.append(p)
+    many = CF.sniff_many(spark, paths)
+    assert many == {p: CF.sniff(spark, p) for p in paths}
