@@ -25,14 +25,20 @@ def check_weights(weights: Mapping[str, float]) -> dict[str, float]:
 
 
 def score_leads(current: DataFrame, prior: DataFrame, weights: Mapping[str, float],
-                filters: Mapping[str, Any] | None = None) -> DataFrame:
-    """Scores for every filtered row of ``current`` (one batch); the
-    caller orders ``score_total DESC NULLS LAST, cnes`` and limits."""
+                filters: Mapping[str, Any] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Scores for every filtered row of ``current``; the caller orders
+    ``score_total DESC NULLS LAST, cnes`` and limits.
+
+    ``keys`` (e.g. ``("competencia",)``) scores many periods in one plan:
+    ranks and maxima are per key, and ``prior`` must carry the key of the
+    period it is the prior of.
+    """
     w = check_weights(weights)
+    keys = tuple(keys)
     cur = apply_filters(current, filters)
-    p = prior.select("cnes", F.col("leitos_existentes").alias("_p_beds"),
+    p = prior.select(*keys, "cnes", F.col("leitos_existentes").alias("_p_beds"),
                      F.col("campos_ausentes").alias("_p_abs"), F.lit(True).alias("_p_in"))
-    raw = cur.join(p, "cnes", "left")
+    raw = cur.join(p, [*keys, "cnes"], "left")
     uti = F.when(F.col("leitos_uti_adulto").isNotNull() & F.col("leitos_uti_pediatrica").isNotNull()
                  & F.col("leitos_uti_neonatal").isNotNull(),
                  F.col("leitos_uti_adulto") + F.col("leitos_uti_pediatrica")
@@ -44,10 +50,11 @@ def score_leads(current: DataFrame, prior: DataFrame, weights: Mapping[str, floa
     raw = with_ranks(raw, [("leitos_existentes", "cume_dist", "_cd_beds"),
                            ("leitos_uti", "percent_rank", "_pr_uti"),
                            ("total_habilitacoes", "percent_rank", "_pr_hab"),
-                           ("delta_leitos", "cume_dist", "_cd_delta")])
-    maxes = raw.agg(F.max("leitos_uti").alias("_max_uti"),
-                    F.max("total_habilitacoes").alias("_max_hab"))
-    s = raw.crossJoin(F.broadcast(maxes))
+                           ("delta_leitos", "cume_dist", "_cd_delta")], keys=keys)
+    maxes = raw.groupBy(*keys).agg(F.max("leitos_uti").alias("_max_uti"),
+                                   F.max("total_habilitacoes").alias("_max_hab"))
+    # One row per key (per period): bounded by the calendar.
+    s = raw.join(F.broadcast(maxes), list(keys)) if keys else raw.crossJoin(F.broadcast(maxes))
     porte = F.when(~array_has("campos_ausentes", "leitos_existentes"), F.lit(100) * F.col("_cd_beds"))
     c_uti = (F.when(F.col("leitos_uti").isNull(), F.lit(None))
              .when(F.col("_max_uti") == 0, F.lit(0.0))
@@ -81,7 +88,7 @@ def score_leads(current: DataFrame, prior: DataFrame, weights: Mapping[str, floa
         (F.col("score_tendencia").isNull(), ["score_tendencia"]),
     ])
     return s.select(
-        "cnes", "nome_fantasia", "razao_social", "cnpj", "cnpj_mantenedora", "municipio", "uf",
+        *keys, "cnes", "nome_fantasia", "razao_social", "cnpj", "cnpj_mantenedora", "municipio", "uf",
         "tipo_estabelecimento", "leitos_existentes", "leitos_sus", "leitos_uti",
         "total_habilitacoes", "delta_leitos",
         *[F.round(c, 4).alias(c) for c in (

@@ -384,3 +384,16 @@ def resource_manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog resources embedded in the crawled pages (latest per year)."""
     pages = read_table(spark, sf_dir, "pages")
     return latest_resource(resource_manifest(pages, "dados.example.org", "/dataset/"))
+
+
+@register("score_leads_history")
+def score_leads_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every competence against its previous one, one plan."""
+    lake = registry_lake(spark, sf_dir)
+    pairs = F.broadcast(H.consecutive_pairs(lake))
+    current = lake.join(pairs.select(F.col("competencia_b").alias("competencia")), "competencia")
+    prior = lake.join(pairs.select(F.col("competencia_a").alias("competencia"),
+                                   F.col("competencia_b").alias("_next")), "competencia") \
+                .drop("competencia").withColumnRenamed("_next", "competencia")
+    scored = SC.score_leads(current, prior, SCORE_WEIGHTS, keys=("competencia",))
+    return scored.withColumn("campos_ausentes", F.array_join("campos_ausentes", ","))
