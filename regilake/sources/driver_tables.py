@@ -218,16 +218,20 @@ def registry_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revision_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A later, overlapping import: units with key % 3 = 0, closed line items only."""
+    """A second import of every unit built from closed line items only.
+
+    It is dated mid-year after the original import for even years and
+    before it for odd years, so "latest import wins" picks each side.
+    """
     written = _materialized(spark, sf_dir, "V")
     if written is not None:
         return written
-    tables = release_tables(spark, sf_dir, unit_filter=F.col("c_custkey") % 3 == 0,
-                            line_filter=F.col("l_linestatus") == "F")
+    tables = release_tables(spark, sf_dir, line_filter=F.col("l_linestatus") == "F")
     rows = normalize_release(tables)
+    year = F.substring("competencia", 1, 4).cast("int")
     return rows.withColumn("batch_id", F.concat(F.lit("V"), F.col("competencia"))) \
                .withColumn("imported_at", F.concat(
-                   (F.substring("competencia", 1, 4).cast("int") + 1).cast("string"),
+                   (year + F.when(year % 2 == 0, F.lit(1)).otherwise(F.lit(0))).cast("string"),
                    F.lit("-06-30T00:00:00+00:00")))
 
 
