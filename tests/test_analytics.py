@@ -154,3 +154,20 @@ def test_validate_counts(spark):
     assert r["cnes_duplicados"] == 1 and r["leitos_invalidos"] == 1 and r["leitos_ausentes"] == 1
     assert r["competencias"] == "202501,202502" and r["competencias_mistas"] is True
     assert r["vazios_nome_fantasia"] == 3 and r["valido"] is False
+
+
+def test_match_collector_and_uf_map(spark):
+    from regilake.operators.filters import match_collector
+    rows = lake_rows(spark, [
+        dict(cnes="1", municipio="São Paulo", uf="SP", leitos_existentes=80, natureza_juridica="2062-1",
+             cnpj_mantenedora="9"),
+        dict(cnes="2", municipio="São Paulo", uf="SP", leitos_existentes=80, natureza_juridica="1023-8",
+             cnpj_mantenedora="9"),
+        dict(cnes="3", municipio="Santos", uf="RJ", leitos_existentes=300, natureza_juridica="2062-1",
+             cnpj_mantenedora="9"),
+    ])
+    got = match_collector(rows, "sao paulo", 50, 150, ["2062"]).collect()
+    assert [r["cnes"] for r in got] == ["1"]
+    long = AG.uf_distribution(rows, "cnpj_mantenedora")
+    m = AG.as_map(long, "cnpj_mantenedora", "uf", "unidades_uf").first()["distribuicao"]
+    assert m == {"RJ": 1, "SP": 2}
