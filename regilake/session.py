@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import pathlib
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,22 +45,41 @@ def build_session(master: str | None = None, app: str = "regilake",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
+    """Shared folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a scratch folder is
-    created and registered, never overriding a cluster setting.
+    A single-machine session (``local[...]``) without one gets a scratch
+    folder. Anywhere else a missing setting is an error: executors could
+    not see a folder on the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="regilake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return local
+    if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        configured = tempfile.mkdtemp(prefix="regilake-ckpt-")
+    sc.setCheckpointDir(configured)
+    return configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers.
+
+    The package is zipped once per session and handed to Spark, so that
+    Python tasks do not depend on PYTHONPATH of the worker machines.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or getattr(sc, "_regilake_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="regilake-ship-")) / "regilake.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent).as_posix())
+    sc.addPyFile(str(target))
+    sc._regilake_shipped = True
 
 
 def materialize(df, label: str):
