@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import needed, ship_package, table
+from .common import needed, parts, ship_package, table
 
 #: Words of one recursive query, their bytes together, and its rounds.
 WORDS, WORD_BYTES, RECURSION = 20_000, 200_000, 12
@@ -192,17 +192,6 @@ def _encoder(path: str, pattern: str) -> Encoder:
 BATCH_CHARS = 4_000_000
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= BATCH_CHARS:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids (array) of every row.
 
@@ -215,7 +204,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         encoder = _encoder(ranks_path, pattern)
         for b in batches:
             doc_ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for begin, end in _parts(texts):
+            for begin, end in parts(texts, BATCH_CHARS):
                 n, ids, decoded, lists = [], [], [], []
                 for words in encoder.encode(texts[begin:end]):
                     joined = ",".join([w[1] for w in words])

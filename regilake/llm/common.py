@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, materialize, ship_package
 
 __all__ = ["ALNUM_SEPARATORS", "alnum_words", "alnum_words_py", "checkpoint_dir", "components", "materialize",
-           "needed", "ship_package", "space_words", "table"]
+           "mix64", "needed", "parts", "piece_text", "pieces", "ship_package", "space_words", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII characters that separate words of the form ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
@@ -86,16 +87,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_ODD_SPACE = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\x9f​-‏ -‮⁠﻿᠎]")
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_ODD_SPACE = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\x9f\u200b-\u200f\u2028-\u202e\u2060\ufeff\u180e]")
 
 
-def chunks(text: str) -> list[str] | None:
-    """``text`` cut where a blank or line feed follows another character.
+def pieces(text: str) -> list[str] | None:
+    """A non-empty ``text`` cut before its blanks and line feeds, for byte-level pre-tokenisers.
 
-    Byte-level pre-tokenisers never put a token across such a place, and
-    what they do inside a piece does not depend on its neighbours, so the
-    pieces can be encoded one by one. None if other white space or control
-    characters occur; then the text has to be encoded as a whole.
+    They put no token across a place where a blank or line feed follows
+    another character, and what they do inside a piece does not depend on
+    its neighbours, so pieces can be encoded one by one (see
+    :func:`piece_text`). None for texts with runs of white space or with
+    white space and control characters of other kinds: there a token may
+    span several such characters, and the text has to be encoded whole.
     """
-    return None if _ODD_SPACE.search(text) else _CHUNK.findall(text)
+    if "  " in text or " \n" in text or "\n\n" in text or text[-1] == " " or _ODD_SPACE.search(text):
+        return None
+    found = text.replace("\n", " \n").split(" ")
+    found[0] = f" {found[0]}"  # the only one with a blank: nothing stands before it
+    return found
+
+
+def piece_text(piece: str) -> str:
+    """What a piece stands for: the blank before it is left out of the list, but for the first."""
+    return piece[1:] if piece[:1] == " " else piece if piece[:1] == "\n" else f" {piece}"
+
+
+def parts(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of neighbouring texts that together have so many characters, or of one longer text."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)

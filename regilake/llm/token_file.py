@@ -28,6 +28,7 @@ gives an empty file that reads back as no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, chunks, materialize, needed, ship_package, table
+from .common import checkpoint_dir, materialize, needed, parts, piece_text, pieces, ship_package, table
 
 SCALE_BITS = 20
 LANES = 1024
@@ -46,7 +47,7 @@ CHECKPOINT_STEPS = 128
 END_ID = 0
 LOW = np.uint64(1 << 31)
 #: Entries of a worker's memo of encoded pieces; it is emptied when full.
-MEMO = 300_000
+MEMO = 600_000
 
 BLOCKS = ("part int, block int, n_docs int, n_tokens long, before long, doc_ids binary, doc_lengths binary, payload binary, "
           "checkpoints binary, crc32 long")
@@ -65,40 +66,59 @@ def _tokenizer(path: str):
     return t, {}
 
 
-def tokenize(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text (uint32). Equal pieces are sent to the library once."""
+def tokenize(texts: list[str | None], path: str, dtype: np.dtype) -> list[np.ndarray]:
+    """Ids of each text. Texts are cut where tokens can't span, and equal pieces are sent to the library once."""
     tok, memo = _tokenizer(path)
-    dtype = np.dtype("<u4")
-    for text in texts:
-        if not text:
-            yield np.empty(0, dtype)
-            continue
-        pieces = chunks(text)
-        if pieces is None:
-            yield np.array(tok.encode(text, add_special_tokens=False).ids, dtype)
-            continue
-        new = list({p for p in pieces if p not in memo})
-        if new:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, dtype).tobytes()
-        yield np.frombuffer(b"".join(map(memo.__getitem__, pieces)), dtype)
+    cut = [pieces(t) if t else [] for t in texts]
+    new = set()
+    for c in cut:
+        new.update(c or ())
+    if len(memo) > MEMO:
+        memo.clear()
+    new = list(new.difference(memo))
+    for piece, e in zip(new, tok.encode_batch_fast(list(map(piece_text, new)), add_special_tokens=False), strict=True):
+        memo[piece] = array(dtype.char, e.ids).tobytes()
+    return [np.frombuffer(b"".join(map(memo.__getitem__, c)), dtype) if c is not None else
+            np.array(tok.encode(t, add_special_tokens=False).ids, dtype) for t, c in zip(texts, cut, strict=True)]
+
+
+def id_type(vocabulary: int) -> np.dtype:
+    """The type that ids are packed in between the steps, little-endian."""
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
+def vocabulary_size(tokenizer_path: str) -> int:
+    return _tokenizer(tokenizer_path)[0].get_vocab_size()
+
+
+#: Characters of the texts that are encoded together.
+BATCH_CHARS = 2_000_000
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids packed as little-endian unsigned 32-bit, END_ID appended."""
+    """(doc_id, ids, counts): a row per document, ids packed by ``id_type``, END_ID appended.
+
+    Between them stand rows of null ids with ``counts``: how often each id
+    occurs in the documents before (packed ids, then as many 64-bit numbers).
+    """
     ship_package(docs.sparkSession)
+    vocabulary = vocabulary_size(tokenizer_path)
+    dtype = id_type(vocabulary)
 
     def run(batches):
         for b in batches:
-            ids = [np.append(x, np.uint32(END_ID)) for x in tokenize(b.column("text").to_pylist(), tokenizer_path)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            doc_ids, texts = b.column("doc_id"), b.column("text").to_pylist()
+            for begin, end in parts(texts, BATCH_CHARS):
+                ids = [np.append(x, dtype.type(END_ID)) for x in tokenize(texts[begin:end], tokenizer_path, dtype)]
+                seen = np.bincount(np.concatenate(ids), minlength=vocabulary)
+                found = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([doc_ids.slice(begin, end - begin), pa.nulls(1, doc_ids.type)]),
+                     pa.array([*[x.tobytes() for x in ids], None], pa.binary()),
+                     pa.array([*[None] * len(ids), found.astype("<u4").tobytes() + seen[found].astype("<i8").tobytes()], pa.binary())],
+                    names=["doc_id", "ids", "counts"])
 
-    return needed(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return needed(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 # ----------------------------------------------------------------- the model
@@ -119,17 +139,16 @@ def frequency_table(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u4"), minlength=vocabulary) if len(x) > 40_000 else 0
-            small = b"".join(x for x in b.column("ids").to_pylist() if len(x) <= 40_000)
-            total += np.bincount(np.frombuffer(small, "<u4"), minlength=vocabulary)
+            for x in b.column("counts").to_pylist():
+                n = len(x) // 12
+                total[np.frombuffer(x, "<u4", n)] += np.frombuffer(x, "<i8", n, 4 * n)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())],
                                          names=["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = encoded.select("counts").where("counts IS NOT NULL").mapInArrow(run, "id int, n long")
     counts = np.zeros(vocabulary, np.int64)
-    for r in rows.toLocalIterator():
+    for r in rows.groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.id] = r.n
     return scale_frequencies(counts)
 
@@ -241,19 +260,20 @@ def write_token_file(encoded: DataFrame, path: str, vocabulary: int, partitions:
     spark.createDataFrame([(freq.astype(np.int64).tolist(),)], "frequency array<long>") \
          .coalesce(1).write.mode("overwrite").parquet(f"{path}/frequencies")
     shared = spark.sparkContext.broadcast(freq)  # one number an id of the vocabulary
+    dtype = id_type(vocabulary)
 
     def run(batches):
         blocks = _Blocks(TaskContext.get().partitionId(), shared.value)
         for b in batches:
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                for row in blocks.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4")):
+                for row in blocks.add(doc_id, np.frombuffer(ids.as_buffer(), dtype)):
                     yield _batch([row])
         if blocks.ids:
             yield _batch([blocks.flush()])
 
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col("doc_id"), F.xxhash64("ids")]
-    ordered = encoded.select("doc_id", "ids").repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "ids")
+    ordered = encoded.select("doc_id", "ids").where("ids IS NOT NULL").repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "ids")
     ordered.mapInArrow(run, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -308,5 +328,5 @@ def op7_token_file(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_
     path = public_tokenizers.path(tokenizer)
     encoded = materialize(encode_documents(table(spark, sf_dir, "documents"), path), "token-ids")
     file = f"{checkpoint_dir(spark).rstrip('/')}/tables/token-file-{uuid.uuid4().hex}"
-    write_token_file(encoded, file, _tokenizer(path)[0].get_vocab_size())
+    write_token_file(encoded, file, vocabulary_size(path))
     return read_token_file(spark, file).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
