@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, materialize, ship_package
 
 __all__ = ["ALNUM_SEPARATORS", "alnum_words", "alnum_words_py", "checkpoint_dir", "components", "materialize",
-           "mix64", "needed", "parts", "piece_text", "pieces", "ship_package", "space_words", "table"]
+           "mix64", "needed", "part_text", "parts", "ship_package", "spaced", "space_words", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII characters that separate words of the form ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
@@ -87,29 +86,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_ODD_SPACE = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\x9f\u200b-\u200f\u2028-\u202e\u2060\ufeff\u180e]")
+def spaced(text: str) -> str | None:
+    """A non-empty ``text`` such that its parts between blanks can be encoded one by one.
 
-
-def pieces(text: str) -> list[str] | None:
-    """A non-empty ``text`` cut before its blanks and line feeds, for byte-level pre-tokenisers.
-
-    They put no token across a place where a blank or line feed follows
-    another character, and what they do inside a piece does not depend on
-    its neighbours, so pieces can be encoded one by one (see
-    :func:`piece_text`). None for texts with runs of white space or with
-    white space and control characters of other kinds: there a token may
-    span several such characters, and the text has to be encoded whole.
+    Byte-level pre-tokenisers put no token across a place where a blank or
+    line feed follows another character, and what they do between two such
+    places does not depend on what is around. A part stands for a blank and
+    itself; one that begins with a line feed for itself; the first one,
+    marked by a tab, for what follows the tab (see :func:`part_text`). None
+    for texts with runs of white space or with other characters that don't
+    print, white space among them: there a token may span several such
+    characters, and the text has to be encoded whole.
     """
-    if "  " in text or " \n" in text or "\n\n" in text or text[-1] == " " or _ODD_SPACE.search(text):
+    if "  " in text or " \n" in text or "\n\n" in text or text[-1] == " " or not text.replace("\n", " ").isprintable():
         return None
-    found = text.replace("\n", " \n").split(" ")
-    found[0] = f" {found[0]}"  # the only one with a blank: nothing stands before it
-    return found
+    return "\t" + text.replace("\n", " \n")
 
 
-def piece_text(piece: str) -> str:
-    """What a piece stands for: the blank before it is left out of the list, but for the first."""
-    return piece[1:] if piece[:1] == " " else piece if piece[:1] == "\n" else f" {piece}"
+def part_text(part: str) -> str:
+    return part[1:] if part[:1] == "\t" else part if part[:1] == "\n" else f" {part}"
 
 
 def parts(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:

@@ -16,8 +16,8 @@ task is simply run again, its block has the same bytes).
                  states and read position every ``CHECKPOINT_STEPS`` steps)
                  and ``crc32`` (of all other binary fields)
 
-A block interleaves up to ``LANES`` coder states, token i belonging to lane
-``i % LANES``; blocks do not depend on each other, and decoding can start
+A block interleaves ``LANES`` coder states (no more than it has tokens), token
+i belonging to lane ``i % LANES``; blocks do not depend on each other, and decoding can start
 at any checkpoint. A block holds whole documents.
 
 Edge cases: null and empty texts have only the end id; null ``doc_id`` sorts
@@ -38,16 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, materialize, needed, parts, piece_text, pieces, ship_package, table
+from .common import checkpoint_dir, materialize, needed, part_text, parts, ship_package, spaced, table
 
 SCALE_BITS = 20
-LANES = 1024
-BLOCK_TOKENS = 1 << 18
-CHECKPOINT_STEPS = 128
+LANES = 4096
+BLOCK_TOKENS = 1 << 19
+CHECKPOINT_STEPS = 64
 END_ID = 0
 LOW = np.uint64(1 << 31)
-#: Entries of a worker's memo of encoded pieces; it is emptied when full.
-MEMO = 600_000
+#: Entries of a worker's memo of encoded parts, of up to so many characters; it is emptied when full.
+MEMO, MEMO_CHARS = 600_000, 64
 
 BLOCKS = ("part int, block int, n_docs int, n_tokens long, before long, doc_ids binary, doc_lengths binary, payload binary, "
           "checkpoints binary, crc32 long")
@@ -63,23 +63,65 @@ def _tokenizer(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t, {}
+    begins = np.zeros(t.get_vocab_size(), bool)
+    begins[[i for token, i in t.get_vocab().items() if token[0] == "Ġ"]] = True
+    return t, {}, begins
+
+
+def _encode_parts(tok, begins: np.ndarray, words: list[str], dtype: np.dtype) -> list[bytes]:
+    """Packed ids of parts that follow a blank, many to one call.
+
+    No part holds a blank, so each token that begins with one (``Ġ`` in the
+    vocabulary's own letters) begins the next part.
+    """
+    groups = [words[i:i + 256] for i in range(0, len(words), 256)]
+    out, size = [], dtype.itemsize
+    for group, e in zip(groups, tok.encode_batch_fast(["".join([f" {w}" for w in g]) for g in groups], add_special_tokens=False),
+                        strict=True):
+        ids = np.array(e.ids, dtype)
+        at, blob = (size * np.flatnonzero(begins[ids])).tolist(), ids.tobytes()
+        if len(at) != len(group):
+            raise ValueError("the vocabulary splits blanks from what follows")
+        out += [blob[b:e] for b, e in zip(at, [*at[1:], len(blob)], strict=True)]
+    return out
+
+
+def _learn(tok, begins: np.ndarray, memo: dict[str, bytes], new: set[str], dtype: np.dtype) -> None:
+    """Encode parts that the memo lacks; a stop or comma after a letter is a token of its own."""
+    marks = {m: array(dtype.char, tok.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
+    odd, ended, words = [], [], set()
+    for p in new:
+        if p[0] in "\t\n":
+            odd.append(p)
+        elif p[-1] in marks and "a" <= p[-2:-1] <= "z":
+            ended.append(p)
+        else:
+            words.add(p)
+    words = list(words.union([c for p in ended if (c := p[:-1]) not in memo]))
+    memo.update(zip(words, _encode_parts(tok, begins, words, dtype), strict=True))
+    memo.update([(p, memo[p[:-1]] + marks[p[-1]]) for p in ended])
+    for p, e in zip(odd, tok.encode_batch_fast(list(map(part_text, odd)), add_special_tokens=False), strict=True):
+        memo[p] = array(dtype.char, e.ids).tobytes()
 
 
 def tokenize(texts: list[str | None], path: str, dtype: np.dtype) -> list[np.ndarray]:
-    """Ids of each text. Texts are cut where tokens can't span, and equal pieces are sent to the library once."""
-    tok, memo = _tokenizer(path)
-    cut = [pieces(t) if t else [] for t in texts]
-    new = set()
-    for c in cut:
-        new.update(c or ())
+    """Ids of each text. Texts are cut where tokens can't span, and equal parts are sent to the library once."""
+    tok, memo, begins = _tokenizer(path)
     if len(memo) > MEMO:
         memo.clear()
-    new = list(new.difference(memo))
-    for piece, e in zip(new, tok.encode_batch_fast(list(map(piece_text, new)), add_special_tokens=False), strict=True):
-        memo[piece] = array(dtype.char, e.ids).tobytes()
-    return [np.frombuffer(b"".join(map(memo.__getitem__, c)), dtype) if c is not None else
-            np.array(tok.encode(t, add_special_tokens=False).ids, dtype) for t, c in zip(texts, cut, strict=True)]
+    cut = [c.split(" ") if t and (c := spaced(t)) else None for t in texts]
+    known = [list(map(memo.get, c)) if c else [] for c in cut]
+    new = {p for c, k in zip(cut, known, strict=True) if None in k for p, v in zip(c, k, strict=True) if v is None}
+    _learn(tok, begins, memo, new, dtype)
+    out = []
+    for t, c, k in zip(texts, cut, known, strict=True):
+        if None in k:
+            k = [memo[p] if v is None else v for p, v in zip(c, k, strict=True)]
+        out.append(np.frombuffer(b"".join(k), dtype) if c or not t else np.array(tok.encode(t, add_special_tokens=False).ids, dtype))
+    for p in new:
+        if len(p) > MEMO_CHARS:
+            del memo[p]
+    return out
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -157,11 +199,12 @@ def frequency_table(encoded: DataFrame, vocabulary: int) -> np.ndarray:
 def rans_encode(ids: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes]:
     """(payload, checkpoints) of one block."""
     n, bits = len(ids), np.uint64(SCALE_BITS)
-    steps = -(-n // LANES)
-    state = np.full(LANES, LOW, np.uint64)
+    lanes = min(LANES, n)
+    steps = -(-n // lanes)
+    state = np.full(lanes, LOW, np.uint64)
     words, at, marks = [], 0, []
     for t in range(steps - 1, -1, -1):
-        s = ids[t * LANES:(t + 1) * LANES]
+        s = ids[t * lanes:(t + 1) * lanes]
         f, c, x = freq[s], start[s], state[:len(s)]
         full = x >= (f << np.uint64(63 - SCALE_BITS))
         out = (x[full] & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -179,15 +222,16 @@ def rans_encode(ids: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tuple[b
 def rans_decode(payload: bytes, checkpoints: bytes, n: int, freq: np.ndarray, start: np.ndarray, symbol: np.ndarray,
                 first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids of the checkpoint segments ``first`` to ``last`` (all of them by default)."""
-    size = 8 * (LANES + 1)
+    lanes = min(LANES, n)
+    size = 8 * (lanes + 1)
     last = len(checkpoints) // size if last is None else last
     if first >= last:
-        return np.empty(0, np.uint32)
-    mark = np.frombuffer(checkpoints, np.uint64, LANES + 1, first * size)
+        return np.empty(0, symbol.dtype)
+    mark = np.frombuffer(checkpoints, np.uint64, lanes + 1, first * size)
     words, at, state = np.frombuffer(payload, "<u4"), int(mark[0]), mark[1:].copy()
     bits, mask, out = np.uint64(SCALE_BITS), np.uint64((1 << SCALE_BITS) - 1), []
-    for t in range(first * CHECKPOINT_STEPS, min(last * CHECKPOINT_STEPS, -(-n // LANES))):
-        k = min(LANES, n - t * LANES)
+    for t in range(first * CHECKPOINT_STEPS, min(last * CHECKPOINT_STEPS, -(-n // lanes))):
+        k = min(lanes, n - t * lanes)
         x = state[:k]
         slot = x & mask
         s = symbol[slot]
@@ -202,7 +246,7 @@ def rans_decode(payload: bytes, checkpoints: bytes, n: int, freq: np.ndarray, st
 
 def _tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-    return freq, start, np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
+    return freq, start, np.repeat(np.arange(len(freq), dtype=id_type(len(freq))), freq.astype(np.int64))
 
 
 def _crc(*fields: bytes) -> int:
