@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality_rules, token_file, url_graph, warc
+from . import (bpe, chat, decontaminate, kneser_ney, license_scan, near_join, quality_rules, token_file,
+               url_graph, warc)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_url_graph": url_graph.op2_url_graph,
     "op3_chat": chat.op3_chat,
+    "op4_near_join": near_join.op4_near_join,
+    "op5_license_scan": license_scan.op5_license_scan,
+    "op6_kneser_ney": kneser_ney.op6_kneser_ney,
     "op7_token_file": token_file.op7_token_file,
     "op8_bpe": bpe.op8_bpe,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_warc_revisits": warc.op10_warc_revisits,
 }
 
@@ -18,5 +23,6 @@ ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_url_graph": url_graph.ORACLE,
     "op3_chat": chat.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
     "op10_warc_revisits": warc.ORACLE,
 }
