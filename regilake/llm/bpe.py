@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import needed, parts, ship_package, table
 
 #: Words of one recursive query, their bytes together, and its rounds.
-WORDS, WORD_BYTES, RECURSION = 20_000, 200_000, 12
+WORDS, WORD_BYTES, RECURSION = 60_000, 800_000, 12
 #: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO = 400_000
+MEMO = 1_000_000
 
 #: Words of up to so many bytes take one contraction of a run (``aaaa``) a round, and one window pass a round.
 SHORT = 200
@@ -178,9 +178,10 @@ class Encoder:
         if len(memo) > MEMO:
             memo.clear()
         pieces = [self.pattern.findall(t) if t else [] for t in texts]
-        self.learn({w for p in pieces for w in p if w not in memo})
-        for p in pieces:
-            yield [memo[w] for w in p]
+        known = [list(map(memo.get, p)) for p in pieces]
+        self.learn({w for p, k in zip(pieces, known, strict=True) if None in k for w, v in zip(p, k, strict=True) if v is None})
+        for p, k in zip(pieces, known, strict=True):
+            yield [memo[w] if v is None else v for w, v in zip(p, k, strict=True)] if None in k else k
 
 
 @lru_cache(maxsize=1)
@@ -189,7 +190,7 @@ def _encoder(path: str, pattern: str) -> Encoder:
 
 
 #: Characters of the texts that are encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 8_000_000
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True) -> DataFrame:

@@ -186,7 +186,7 @@ def judge(docs: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
     """``carry`` columns, lang, n_chars, bits, perplexity, limit and kept of every document."""
     carry = tuple(dict.fromkeys([*carry, "lang"]))
     good = trusted_ids(needed(labels, "doc_id", "quality", "toxic"))
-    model = train(needed(docs, "doc_id", "text").join(good, "doc_id"))
+    model = train(needed(docs, "doc_id", "text").join(good.hint("merge"), "doc_id"))  # labels grow with the documents
     known = score(docs, model, "doc_id", "lang").join(good, "doc_id")
     rows = materialize(limits(known), "kn-limits")
     by_lang = rows.where(~F.col("l_lang").eqNullSafe(F.lit("\u0000any")))
