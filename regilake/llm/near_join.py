@@ -36,7 +36,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, mix64, needed, ship_package, table
@@ -237,7 +237,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "near-nodes")
     tied = components(ties(nodes.select("node", "minhash")), "near-ties")
     members = nodes.join(tied, "node")
-    texts = with_key(docs).withColumnRenamed("doc", "node").join(tied.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    # the candidates grow with the documents, so neither side is ever broadcast
+    texts = with_key(docs).withColumnRenamed("doc", "node").join(tied.select("node").hint("merge"), "node", "left_semi") \
+                          .dropDuplicates(["node"])
     found = materialize(links(members.join(texts, "node")), "near-links")
     groups = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), "near-groups")
     counts = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
@@ -254,14 +256,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words all stay. Of rows with equal ``doc_id`` and text one stays.
     """
     groups = near_groups(docs)
-    drop = groups.where("doc != component").select("doc").distinct()
-    twice = groups.where("doc = component AND node IS NOT NULL").groupBy("doc").count().where("count > 1").select("doc")
-    drop, twice = materialize(drop, "near-drop"), materialize(twice, "near-twice")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+    drop = materialize(groups.where("doc != component").select("doc").distinct(), "near-drop")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"],
                        F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("hash")).alias("doc"))
-    kept = rows.join(drop, "doc", "left_anti")
-    once = kept.join(twice, "doc", "left_anti")
-    return once.unionByName(kept.join(twice, "doc", "left_semi").dropDuplicates(["doc"])).select("row.*")
+    kept = rows.join(drop.hint("merge"), "doc", "left_anti")
+    copy = F.row_number().over(Window.partitionBy("doc").orderBy("doc"))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    return kept.withColumn("copy", copy).where((F.col("copy") == 1) | wordless).select("row.*")
 
 
 def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
