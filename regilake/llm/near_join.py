@@ -257,12 +257,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = near_groups(docs)
     drop = materialize(groups.where("doc != component").select("doc").distinct(), "near-drop")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"],
+    wordless = ~F.coalesce(docs["text"], F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), wordless.alias("wordless"),
                        F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("hash")).alias("doc"))
     kept = rows.join(drop.hint("merge"), "doc", "left_anti")
     copy = F.row_number().over(Window.partitionBy("doc").orderBy("doc"))
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    return kept.withColumn("copy", copy).where((F.col("copy") == 1) | wordless).select("row.*")
+    return kept.withColumn("copy", copy).where("copy = 1 OR wordless").select("row.*")
 
 
 def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

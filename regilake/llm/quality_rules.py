@@ -132,7 +132,7 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(rows: DataFrame) -> DataFrame:
     """Fences of every (lang, source), from the smallest group around it that has LEAST documents."""
     names = [f"{side}_{m}" for m in METRICS for side in ("low", "high")]
-    fine = sketches(rows, ["lang", "source"])
+    fine = materialize(sketches(rows, ["lang", "source"]), "quality-sketches")
     by_lang = fine.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("metric", "bin").agg(F.sum("n").alias("n"))
     a = fences(fine, ["lang", "source"])
@@ -145,11 +145,8 @@ def thresholds(rows: DataFrame) -> DataFrame:
            .otherwise(F.col(f"{x}_c")).alias(x) for x in names])
 
 
-def judge(docs: DataFrame, *carry: str) -> DataFrame:
-    """``carry`` columns, MEASURES, metrics, ``base_failed`` and ``kept`` of every document."""
-    carry = tuple(dict.fromkeys([*carry, "lang", "source"]))
-    rows = with_metrics(materialize(measures(docs, *carry), "quality-measures"))
-    limits = thresholds(rows.where(~F.col("base_failed")))
+def judge(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` (with metrics) and ``kept``."""
     within = F.lit(True)
     for m in METRICS:
         within = within & (F.col(m) >= F.col(f"low_{m}")) & (F.col(m) <= F.col(f"high_{m}"))
@@ -158,14 +155,21 @@ def judge(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), "doc_id").select(
+    rows = with_metrics(materialize(measures(table(spark, sf_dir, "documents"), "doc_id", "lang", "source"), "quality-measures"))
+    return judge(rows, thresholds(rows.where(~F.col("base_failed")))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with exactly its columns."""
+    """The rows of ``docs`` that are kept, with exactly its columns.
+
+    The documents are measured twice, for the thresholds and for the
+    verdicts, so that no text is written in between.
+    """
+    sketched = with_metrics(measures(docs, "lang", "source"))
+    limits = materialize(thresholds(sketched.where(~F.col("base_failed"))), "quality-limits")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"], docs["lang"], docs["source"])
-    return judge(rows, "row").where("kept").select("row.*")
+    return judge(with_metrics(measures(rows, "row", "lang", "source")), limits).where("kept").select("row.*")
 
 
 ORACLE = r"""
