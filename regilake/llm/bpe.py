@@ -22,6 +22,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,7 @@ from .common import needed, parts, ship_package, table
 #: Words of one recursive query, their bytes together, and its rounds.
 WORDS, WORD_BYTES, RECURSION = 60_000, 800_000, 12
 #: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO = 1_000_000
+MEMO = 700_000
 
 #: Words of up to so many bytes take one contraction of a run (``aaaa``) a round, and one window pass a round.
 SHORT = 200
@@ -100,7 +101,7 @@ WHERE round = last
 """
 
 RESULT = """
-SELECT word, count(*) AS n, string_agg(token::VARCHAR, ',' ORDER BY pos) AS ids, unhex(string_agg(hex(bytes), '' ORDER BY pos)) AS decoded
+SELECT word, string_agg(token::VARCHAR, ',' ORDER BY pos) AS ids, unhex(string_agg(hex(bytes), '' ORDER BY pos)) AS decoded
 FROM done JOIN vocabulary USING (token) GROUP BY word
 """
 
@@ -117,7 +118,7 @@ class Encoder:
         import duckdb
 
         self.ranks, self.pattern, self.memo = read_ranks(path), regex.compile(pattern), {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         ranks = self.ranks
         self._load("vocabulary", token=np.array(list(ranks.values()), np.int32), bytes=pa.array(list(ranks), pa.binary()))
         merges = [(ranks[t[:k]] << 20 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t))
@@ -131,8 +132,8 @@ class Encoder:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode_words(self, words: list[bytes]) -> Iterator[tuple[int, int, str, bytes]]:
-        """(index of the word, number of ids, ids as text, decoded bytes) of each word, in any order."""
+    def encode_words(self, words: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
+        """(index of the word, ids as text, decoded bytes) of each word, in any order."""
         whole = [self.ranks.get(w, -1) for w in words]
         sizes = np.array([1 if t >= 0 else len(w) for w, t in zip(words, whole, strict=True)])
         ends = np.cumsum(sizes)
@@ -150,8 +151,8 @@ class Encoder:
             self.db.execute("CREATE OR REPLACE TABLE rows AS SELECT word, pos, token FROM reached WHERE more")
             if not self.db.execute("SELECT count(*) FROM rows").fetchone()[0]:
                 break
-        r = self.db.execute(RESULT).to_arrow_table()
-        return zip(*(r.column(c).to_pylist() for c in ("word", "n", "ids", "decoded")), strict=True)
+        r = self.db.sql(RESULT).to_arrow_table()
+        return zip(*(r.column(c).to_pylist() for c in ("word", "ids", "decoded")), strict=True)
 
     def learn(self, words: set[str]) -> None:
         """Encode words that the memo lacks, short and long ones apart, in pieces of bounded size."""
@@ -169,11 +170,12 @@ class Encoder:
                 self._learn(piece)
 
     def _learn(self, words: list[str]) -> None:
-        for i, n, ids, decoded in self.encode_words([w.encode("utf-8", "surrogatepass") for w in words]):
-            self.memo[words[i]] = (n, ids, decoded)
+        for i, ids, decoded in self.encode_words([w.encode("utf-8", "surrogatepass") for w in words]):
+            text = decoded.decode("utf-8", "surrogatepass")
+            self.memo[words[i]] = (ids, words[i] if text == words[i] else text)  # equal texts share their memory
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, bytes]]]:
-        """Per text its words' (number of ids, ids as text, decoded bytes)."""
+    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[str, str]]]:
+        """Per text its words' (ids, decoded text)."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
@@ -190,7 +192,7 @@ def _encoder(path: str, pattern: str) -> Encoder:
 
 
 #: Characters of the texts that are encoded together.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
@@ -202,22 +204,23 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches):
+        gc.disable()  # nothing here refers to itself, and the memo is large
         encoder = _encoder(ranks_path, pattern)
         for b in batches:
             doc_ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             for begin, end in parts(texts, BATCH_CHARS):
                 n, ids, decoded, lists = [], [], [], []
                 for words in encoder.encode(texts[begin:end]):
-                    joined = ",".join([w[1] for w in words])
-                    n.append(sum([w[0] for w in words]))
+                    joined = ",".join([w[0] for w in words])
+                    n.append(joined.count(",") + 1 if joined else 0)
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([w[2] for w in words])).hexdigest())
+                    decoded.append(hashlib.sha256("".join([w[1] for w in words]).encode("utf-8", "surrogatepass")).hexdigest())
                     if with_ids:
-                        lists.append([int(x) for x in joined.split(",")] if joined else [])
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded),
-                     *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else [])],
-                    names=[c.split()[0] for c in schema.split(", ")])
+                        lists.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
+                columns = [doc_ids.slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     return needed(docs, "doc_id", "text").mapInArrow(run, schema)
 

@@ -27,6 +27,7 @@ gives an empty file that reads back as no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -148,6 +149,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     dtype = id_type(vocabulary)
 
     def run(batches):
+        gc.disable()  # nothing here refers to itself, and the memo is large
         for b in batches:
             doc_ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             for begin, end in parts(texts, BATCH_CHARS):
