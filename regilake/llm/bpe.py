@@ -149,7 +149,7 @@ class Encoder:
             self.db.execute(f"CREATE OR REPLACE TABLE reached AS {query}")
             self.db.execute("INSERT INTO done SELECT word, pos, token FROM reached WHERE NOT more")
             self.db.execute("CREATE OR REPLACE TABLE rows AS SELECT word, pos, token FROM reached WHERE more")
-            if not self.db.execute("SELECT count(*) FROM rows").fetchone()[0]:
+            if not self.db.execute("SELECT count(*) FROM rows").fetchall()[0][0]:
                 break
         r = self.db.sql(RESULT).to_arrow_table()
         return zip(*(r.column(c).to_pylist() for c in ("word", "ids", "decoded")), strict=True)
