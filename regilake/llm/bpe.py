@@ -36,8 +36,8 @@ from .common import needed, parts, ship_package, table
 
 #: Words of one recursive query, their bytes together, and its rounds.
 WORDS, WORD_BYTES, RECURSION = 60_000, 800_000, 12
-#: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO = 700_000
+#: Entries of a worker's memo of encoded words (some 300 bytes each); it is emptied when full.
+MEMO = 1_100_000
 
 #: Words of up to so many bytes take one contraction of a run (``aaaa``) a round, and one window pass a round.
 SHORT = 200
@@ -174,10 +174,10 @@ class Encoder:
             text = decoded.decode("utf-8", "surrogatepass")
             self.memo[words[i]] = (ids, words[i] if text == words[i] else text)  # equal texts share their memory
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[str, str]]]:
+    def encode(self, texts: list[str | None], most: int = MEMO) -> Iterator[list[tuple[str, str]]]:
         """Per text its words' (ids, decoded text)."""
         memo = self.memo
-        if len(memo) > MEMO:
+        if len(memo) > most:
             memo.clear()
         pieces = [self.pattern.findall(t) if t else [] for t in texts]
         known = [list(map(memo.get, p)) for p in pieces]
@@ -195,7 +195,7 @@ def _encoder(path: str, pattern: str) -> Encoder:
 BATCH_CHARS = 4_000_000
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids (array) of every row.
 
     ``ids_sha256``: of the decimal ids joined by commas; ``decoded_sha256``: of the bytes that decoding the ids gives.
@@ -210,7 +210,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
             doc_ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             for begin, end in parts(texts, BATCH_CHARS):
                 n, ids, decoded, lists = [], [], [], []
-                for words in encoder.encode(texts[begin:end]):
+                for words in encoder.encode(texts[begin:end], memo):
                     joined = ",".join([w[0] for w in words])
                     n.append(joined.count(",") + 1 if joined else 0)
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
