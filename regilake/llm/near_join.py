@@ -104,8 +104,10 @@ def ties(classes: DataFrame) -> DataFrame:
     bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)),
                         lambda i: F.xxhash64(i, F.substring("minhash", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     rows = classes.select("node", F.explode(bands).alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    return rows.join(hubs, "bucket").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    repeated = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    shared = materialize(rows.join(repeated.hint("merge"), "bucket", "left_semi"), "near-buckets")
+    hubs = shared.groupBy("bucket").agg(F.min("node").alias("hub"))
+    return shared.join(hubs, "bucket").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
 @lru_cache(maxsize=8)
