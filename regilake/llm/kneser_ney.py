@@ -79,10 +79,10 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 def _discounts(counts: DataFrame) -> DataFrame:
     """One row: d1, d2, d3 of modified Kneser-Ney smoothing for counts ``n``."""
     t = counts.agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def d(k: int) -> Column:  # where counts of counts are missing, absolute discounting by 0.5
-        found = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+        found = k - F.try_divide((k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
         return F.coalesce(F.when((found > 0) & (found < k), found), F.lit(0.5)).alias(f"d{k}")
 
     return t.select(d(1), d(2), d(3))
