@@ -15,7 +15,8 @@ as a table to the tasks, which add up each document's log-probability.
 Verdict: of the trusted documents' bits per character, a quantile by
 language and length class (short texts scatter more); a document with more
 than it and ``MARGIN`` bits is rejected. Languages without enough trusted
-documents take the quantile over all languages.
+documents take the quantile over all languages, length classes without any
+that over all lengths.
 
 Edge cases: null and empty texts have no perplexity and are kept; null
 languages are a group of their own; a document is trusted if all its labels
@@ -175,6 +176,7 @@ def limits(scores: DataFrame) -> DataFrame:
                    .where(F.col("upto") >= QUANTILE * F.col("seen")).groupBy(*keys).agg((F.min("bin") / 100).alias("q"), F.max("seen").alias("seen"))
 
     summed = bins.groupBy("class", "bin").agg(F.sum("n").alias("n"))
+    summed = summed.unionByName(summed.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("class", F.lit(-1)))  # all lengths
     own, overall = quantile(bins, ["lang", "class"]), quantile(summed, ["class"]).select("class", F.col("q").alias("q_all"))
     return own.join(overall, "class").select(
         F.col("lang").alias("l_lang"), F.col("class").alias("l_class"),
@@ -191,10 +193,11 @@ def judge(docs: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
     rows = materialize(limits(known), "kn-limits")
     by_lang = rows.where(~F.col("l_lang").eqNullSafe(F.lit("\u0000any")))
     overall = rows.where(F.col("l_lang") == "\u0000any").select(F.col("l_class").alias("a_class"), F.col("limit").alias("a_limit"))
+    rest = overall.where("a_class = -1").select(F.col("a_limit").alias("r_limit"))  # one row or none
     scored = score(docs, model, *carry).withColumn("l", _length_class())
     joined = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["l_lang"]) & (scored["l"] == by_lang["l_class"]), "left") \
-                   .join(overall, F.col("l") == F.col("a_class"), "left")
-    limit = F.coalesce("limit", "a_limit")
+                   .join(overall, F.col("l") == F.col("a_class"), "left").join(rest, F.lit(True), "left")
+    limit = F.coalesce("limit", "a_limit", "r_limit")
     return joined.select(*carry, "n_chars", "bits", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), limit.alias("limit"),
                          F.coalesce(F.col("bits") <= limit, F.lit(True)).alias("kept"))
 
