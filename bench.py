@@ -7,7 +7,7 @@
    -> content digest -> partitioned Parquet + catalog.
 2. release_ingest -- nine release tables (bound to the driver tables)
    normalised for every competence in one job, written as 14 batches.
-3. queries -- the registered analytic queries over the written lake.
+3. queries -- the registered analytic queries, the same plans as the correctness check.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 """
@@ -28,7 +28,7 @@ from regilake.plans.load import load_csv  # noqa: E402
 from regilake.plans.registered import REGISTRY  # noqa: E402
 from regilake.plans.release_ingest import ingest_binding  # noqa: E402
 from regilake.session import build_session  # noqa: E402
-from regilake.sources.driver_tables import read_table, use_materialized_lake  # noqa: E402
+from regilake.sources.driver_tables import read_table  # noqa: E402
 
 QUERIES = (
     "agg_by_uf_beds", "agg_by_natureza_filtered", "statistics_totals", "search_page_beds",
@@ -86,7 +86,6 @@ def main() -> None:
     t0 = time.time()
     counts = ingest_binding(spark, sf_dir, lake_root)
     ingest_sec = time.time() - t0
-    use_materialized_lake(sf_dir, lake_root)
 
     times = {}
     for name in QUERIES:

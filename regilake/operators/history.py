@@ -16,9 +16,9 @@ from ..functions.rules import array_has
 from ..functions.text import norm_text_py
 
 
-def latest_version(lake: DataFrame) -> DataFrame:
-    """Per (cnes, competencia) keep the newest import (imported_at, then batch_id)."""
-    w = Window.partitionBy("cnes", "competencia").orderBy(F.desc("imported_at"), F.desc("batch_id"))
+def latest_version(lake: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Per (cnes, competencia, ``within``) keep the newest import (imported_at, then batch_id)."""
+    w = Window.partitionBy("cnes", "competencia", *[c for c in within if c != "cnes"]).orderBy(F.desc("imported_at"), F.desc("batch_id"))
     return lake.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -34,12 +34,14 @@ def timeseries(lake: DataFrame, key: str | None, key_type: str, start: str, end:
     if key is not None:
         value = key if key_type == "cnes" else norm_text_py(key)
         rows = rows.where(F.col(column) == F.lit(value))
-    rows = latest_version(rows)
+    # Of a key's own rows, so that a unit that moved counts alike with and without a key.
+    rows = latest_version(rows, [column])
     keys = [] if key is not None else [F.col(column).alias("chave")]
     return rows.groupBy(*keys, "competencia").agg(
         F.count(F.lit(1)).alias("estabelecimentos"),
         F.sum("leitos_existentes").cast("bigint").alias("leitos_existentes"),
-        F.sum("leitos_sus").cast("bigint").alias("leitos_sus"))
+        F.sum("leitos_sus").cast("bigint").alias("leitos_sus")) \
+        .orderBy(*([] if key is not None else ["chave"]), "competencia")
 
 
 def _mixed_flag(rows: DataFrame) -> DataFrame:
@@ -146,10 +148,10 @@ def lead_triggers_history(lake: DataFrame, delta_min: int,
     """Triggers for every pair of consecutive competences in one plan.
 
     ``lake`` must hold one batch per competence (e.g. ``latest_version``).
-    Each side is tagged with its pair id through a broadcast of the
-    calendar-sized pair list, then one full outer join on (pair, code).
+    Each side is tagged with its pair id through the calendar-sized pair
+    list, then one full outer join on (pair, code).
     """
-    pairs = F.broadcast(consecutive_pairs(lake))
+    pairs = consecutive_pairs(lake)
     a = lake.join(pairs.select(F.col("competencia_a").alias("competencia"),
                                F.col("competencia_b").alias("_pair")), "competencia")
     b = lake.join(pairs.select(F.col("competencia_b").alias("competencia")), "competencia") \

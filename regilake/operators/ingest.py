@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nonneg_int
-from ..functions.rules import parse_bool, slash_competence
+from ..functions.rules import competence_valid, parse_bool, slash_competence
 
 TEXT_FIELDS = ("nome_fantasia", "municipio", "uf", "tipo_estabelecimento",
                "natureza_juridica", "gestao")
@@ -41,7 +41,7 @@ def validate_rows(rows: DataFrame, has_sus_column: bool = True) -> DataFrame:
     """Typed v1 rows plus ``reject_reason`` (NULL = accepted).
 
     Code blank -> ``cnes_ausente`` (checked first); unparsable or negative
-    bed count / flag, or a malformed CSV line (``_corrupt_record``) ->
+    bed count / flag, a competence that is no month, or a malformed CSV line (``_corrupt_record``) ->
     ``valor_invalido``. A ``_has_sus`` column, when present, says per row
     whether the source file had a SUS-bed column (flag default).
     """
@@ -55,16 +55,18 @@ def validate_rows(rows: DataFrame, has_sus_column: bool = True) -> DataFrame:
         default_flag = (sus > 0) if has_sus_column else F.lit(True)
     malformed = (F.col("_corrupt_record").isNotNull() if "_corrupt_record" in rows.columns
                  else F.lit(False))
+    competence = slash_competence(F.coalesce(F.col("competencia"), F.lit("")))
     convenio = F.when(flag_raw != "", flag).otherwise(default_flag)
     cnes = F.coalesce(F.trim("cnes"), F.lit(""))
     reason = (F.when(cnes == "", F.lit("cnes_ausente"))
-              .when(malformed | ~beds_ok | ~sus_ok | ((flag_raw != "") & ~flag_ok),
+              .when(malformed | ~beds_ok | ~sus_ok
+                    | ~((competence == "") | competence_valid(competence)) | ((flag_raw != "") & ~flag_ok),
                     F.lit("valor_invalido")))
     texts = [F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) for c in TEXT_FIELDS]
     passthrough = [c for c in ("_copies",) if c in rows.columns]
     return rows.select(
         "_ord", *passthrough, cnes.alias("cnes"), *texts,
-        slash_competence(F.coalesce(F.col("competencia"), F.lit(""))).alias("competencia"),
+        competence.alias("competencia"),
         beds.alias("leitos_existentes"), sus.alias("leitos_sus"),
         convenio.alias("convenio_sus"), reason.alias("reject_reason"))
 
@@ -121,14 +123,14 @@ def content_digest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Order-free multiset digest of canonical rows (one row, one column).
 
     Per-row SHA-256 of the sorted-key JSON; the batch digest hashes the row
-    count, the XOR of the first 8 bytes and the sums of four 8-byte slices,
+    count and the sums of the eight 4-byte slices (all 256 bits),
     so equal content gives an equal id whatever the partitioning.
     """
     h = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
-    slices = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)]
+    slices = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
     agg = rows.select(*[s.alias(f"_s{i}") for i, s in enumerate(slices)]).agg(
-        F.count(F.lit(1)).alias("_n"), F.bit_xor("_s0").alias("_x"),
-        *[F.sum(f"_s{i}").cast("decimal(38,0)").alias(f"_t{i}") for i in range(4)])
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(f"_s{i}").cast("decimal(38,0)").alias(f"_t{i}") for i in range(8)])
     return agg.select(F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in
-                                               ("_n", "_x", "_t0", "_t1", "_t2", "_t3")]), 256)
+                                               ("_n", *(f"_t{i}" for i in range(8)))]), 256)
                       .alias("content_sha256"))

@@ -1,86 +1,82 @@
 """Exact whole-batch ranks without a single-task window.
 
 ``cume_dist`` / ``percent_rank`` over a whole batch are the same as
-running sums over the value histogram. The histogram (one row per
-distinct value) is range-partitioned on (keys, value); each range
-partition computes local running sums, partition totals (one row per
-partition) give the offsets, and the result joins back on the value
-(null-safe). No step holds more than one range partition of distinct
-values, whatever the batch size. NULL values sort last (as in the
-reference engine) and count in N.
+running sums over the value histogram. One pass over the input builds the
+histograms of all ranked columns (one row per column and distinct value).
+Each value falls into a bin that is a fixed, monotone function of the value
+alone, so the running sums within bins and the bin totals agree whatever
+the partitioning, without sampled bounds. No step holds more than one bin
+of distinct values, or the bin totals of one key (at most 32,770 rows, from
+64 x 256 bins a sign). NULL values sort last and count in N.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BINS_PER_DOUBLING = 256
 
-def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (),
-                partitions: int | None = None) -> DataFrame:
-    """Per (keys, value): ``cnt``, ``cum`` (rows <= value, NULLS LAST), ``n``."""
+
+def _bin(v: Column) -> Column:
+    """Monotone bin of an integer: 256 to each doubling of its magnitude."""
+    size = F.floor(F.log2(F.abs(v.cast("double")) + 1) * BINS_PER_DOUBLING)
+    return F.when(v < 0, -size).otherwise(size).cast("int")
+
+
+def value_ranks(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Per (keys, ``_spec``, ``_v``): ``cnt``, ``cum`` (rows <= value, NULLS LAST), ``n``.
+
+    ``_spec`` is the position of the column in ``values`` (integer columns).
+    """
     keys = list(keys)
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = F.col(value)
-    hist = df.groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("cnt"))
-    # NULL value -> sorts after every non-null within its keys.
-    hist = hist.withColumn("_null", F.col("_v").isNull())
-    ranged = hist.repartitionByRange(n_parts, *keys, "_null", "_v") \
-                 .withColumn("_pid", F.spark_partition_id())
-    local_w = (Window.partitionBy("_pid", *keys)
-               .orderBy("_null", F.asc_nulls_last("_v"))
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumn("_local", F.sum("cnt").over(local_w))
-    totals = local.groupBy(*keys, "_pid").agg(F.sum("cnt").alias("_ptotal"))
-    off_w = (Window.partitionBy(*keys).orderBy("_pid")
-             .rowsBetween(Window.unboundedPreceding, -1)) if keys else \
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per (keys, range partition): bounded by the partition count.
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_ptotal").over(off_w), F.lit(0))) \
-                    .withColumn("n", F.sum("_ptotal").over(
-                        Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))))
-    out = local.join(F.broadcast(offsets.select(*keys, "_pid", "_offset", "n")),
-                     [*keys, "_pid"])
-    return out.select(*keys, F.col("_v").alias(value), "cnt",
+    entries = F.array(*[F.struct(F.lit(i).alias("_spec"), F.col(c).cast("bigint").alias("_v"))
+                        for i, c in enumerate(values)])
+    hist = (df.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e._spec", "_e._v")
+            .groupBy(*keys, "_spec", "_v").agg(F.count(F.lit(1)).alias("cnt")))
+    hist = hist.withColumn("_null", F.col("_v").isNull().cast("int")) \
+               .withColumn("_bin", F.coalesce(_bin(F.col("_v")), F.lit(0)))
+    group = [*keys, "_spec"]
+    place = [*group, "_null", "_bin"]
+    within = Window.partitionBy(*place).orderBy("_v") \
+                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*group).orderBy("_null", "_bin") \
+                   .rowsBetween(Window.unboundedPreceding, -1)
+    bins = hist.groupBy(*place).agg(F.sum("cnt").alias("_total")) \
+               .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0))) \
+               .withColumn("n", F.sum("_total").over(Window.partitionBy(*group)))
+    out = hist.withColumn("_local", F.sum("cnt").over(within)).alias("h").join(
+        bins.drop("_total").alias("b"),
+        [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in place])
+    return out.select(*[F.col(f"h.{c}").alias(c) for c in group], "_v", "cnt",
                       (F.col("_local") + F.col("_offset")).alias("cum"), "n")
 
 
-def rank_table(df: DataFrame, value: str, kind: str, out: str,
-               keys: Sequence[str] = ()) -> DataFrame:
-    """One row per (keys, distinct value) with the rank ``out``."""
-    keys = list(keys)
-    r = value_ranks(df, value, keys)
+def rank_value(kind: str) -> Column:
     if kind == "cume_dist":
-        expr = F.col("cum") / F.col("n")
-    elif kind == "percent_rank":
-        expr = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise(
+        return F.col("cum") / F.col("n")
+    if kind == "percent_rank":
+        return F.when(F.col("n") <= 1, F.lit(0.0)).otherwise(
             (F.col("cum") - F.col("cnt")) / (F.col("n") - 1))
-    else:
-        raise ValueError(kind)
-    return r.select(*[F.col(k).alias(f"_rk_{k}") for k in keys],
-                    F.col(value).alias(f"_rv_{out}"), expr.alias(out))
+    raise ValueError(kind)
+
+
+def join_ranks(df: DataFrame, ranks: DataFrame, specs: Sequence[tuple[str, str, str]],
+               keys: Sequence[str] = ()) -> DataFrame:
+    """Add each ``(column, kind, name)`` from the table of :func:`value_ranks`."""
+    for i, (value, kind, name) in enumerate(specs):
+        t = ranks.where(F.col("_spec") == i).select(
+            *[F.col(k).alias(f"_rk_{k}") for k in keys], F.col("_v").alias("_rv"),
+            rank_value(kind).alias(name))
+        cond = [F.col(value).cast("bigint").eqNullSafe(F.col("_rv"))]
+        cond += [F.col(k).eqNullSafe(F.col(f"_rk_{k}")) for k in keys]
+        df = df.join(t, cond, "left").drop("_rv", *[f"_rk_{k}" for k in keys])
+    return df
 
 
 def with_ranks(df: DataFrame, specs: Sequence[tuple[str, str, str]],
                keys: Sequence[str] = ()) -> DataFrame:
-    """Add several ranks; every rank table derives from the same ``df`` so
-    the plan grows linearly with the number of ranks (not 2^k)."""
-    keys = list(keys)
-    tables = [(out, rank_table(df, value, kind, out, keys), value) for value, kind, out in specs]
-    result = df
-    for out, table, value in tables:
-        t = table.select(*[F.col(f"_rk_{k}").alias(f"_rk_{out}_{k}") for k in keys],
-                         f"_rv_{out}", out)
-        cond = [F.col(value).eqNullSafe(F.col(f"_rv_{out}"))]
-        cond += [F.col(k) == F.col(f"_rk_{out}_{k}") for k in keys]
-        result = result.join(t, cond, "left").drop(f"_rv_{out}", *[f"_rk_{out}_{k}" for k in keys])
-    return result
-
-
-def with_rank(df: DataFrame, value: str, kind: str, out: str,
-              keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``cume_dist`` or ``percent_rank`` of ``value`` as column ``out``."""
-    return with_ranks(df, [(value, kind, out)], keys)
+    """Add several ranks (``cume_dist`` or ``percent_rank``) of integer columns."""
+    return join_ranks(df, value_ranks(df, [value for value, _, _ in specs], keys), specs, keys)

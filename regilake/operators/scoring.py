@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import append_flags, array_has
+from ..session import materialize
 from .filters import apply_filters
-from .ranking import with_ranks
+from .ranking import join_ranks, value_ranks
 
+# Columns that the scores and their output read.
+SCORED = ("cnes", "nome_fantasia", "razao_social", "cnpj", "cnpj_mantenedora", "municipio", "uf",
+          "tipo_estabelecimento", "leitos_existentes", "leitos_sus", "leitos_uti",
+          "total_habilitacoes", "delta_leitos", "campos_ausentes")
 WEIGHT_NAMES = ("porte", "complexidade", "mix_pagador", "tendencia")
 
 
@@ -47,12 +52,17 @@ def score_leads(current: DataFrame, prior: DataFrame, weights: Mapping[str, floa
              .when(F.col("_p_in").isNotNull() & array_has("_p_abs", "leitos_existentes"), F.lit(None))
              .otherwise(F.col("leitos_existentes") - F.coalesce("_p_beds", F.lit(0))))
     raw = raw.withColumn("leitos_uti", uti).withColumn("delta_leitos", delta.cast("bigint"))
-    raw = with_ranks(raw, [("leitos_existentes", "cume_dist", "_cd_beds"),
-                           ("leitos_uti", "percent_rank", "_pr_uti"),
-                           ("total_habilitacoes", "percent_rank", "_pr_hab"),
-                           ("delta_leitos", "cume_dist", "_cd_delta")], keys=keys)
-    maxes = raw.groupBy(*keys).agg(F.max("leitos_uti").alias("_max_uti"),
-                                   F.max("total_habilitacoes").alias("_max_hab"))
+    # Written once: the histograms and the scored rows both read the file.
+    raw = materialize(raw.select(
+        *keys, *[c for c in SCORED if c not in keys]), "lead-rows")
+    specs = [("leitos_existentes", "cume_dist", "_cd_beds"),
+             ("leitos_uti", "percent_rank", "_pr_uti"),
+             ("total_habilitacoes", "percent_rank", "_pr_hab"),
+             ("delta_leitos", "cume_dist", "_cd_delta")]
+    ranks = materialize(value_ranks(raw, [value for value, _, _ in specs], keys), "lead-ranks")
+    raw = join_ranks(raw, ranks, specs, keys)
+    maxes = ranks.groupBy(*keys).agg(F.max(F.when(F.col("_spec") == 1, F.col("_v"))).alias("_max_uti"),
+                                     F.max(F.when(F.col("_spec") == 2, F.col("_v"))).alias("_max_hab"))
     # One row per key (per period): bounded by the calendar.
     s = raw.join(F.broadcast(maxes), list(keys)) if keys else raw.crossJoin(F.broadcast(maxes))
     porte = F.when(~array_has("campos_ausentes", "leitos_existentes"), F.lit(100) * F.col("_cd_beds"))

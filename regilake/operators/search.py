@@ -51,8 +51,8 @@ def search(rows: DataFrame, filters: Filters | Mapping[str, Any] | None = None,
 
 
 def page_with_total(page: DataFrame, total: DataFrame) -> DataFrame:
-    """Total as a column of every page row (1-row side: broadcast by size)."""
-    return page.crossJoin(F.broadcast(total))
+    """Total as a column of every page row; an empty page gives one row with the total alone."""
+    return total.join(F.broadcast(page), F.lit(True), "left").select(*page.columns, *total.columns)
 
 
 def by_code(lake: DataFrame, code: str) -> DataFrame:

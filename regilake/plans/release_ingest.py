@@ -64,11 +64,9 @@ def fetch_releases(spark: SparkSession, archives: list[str], root: str, landing:
     from ..sources.release import normalize_release, read_release_tables
 
     versions = archive_versions(spark, archives)
-    try:
-        known = {r["resource_version"] for r in LK.read_catalog(spark, root)
-                 .select("resource_version").collect()}  # one row per batch
-    except Exception:
-        known = set()
+    known = {r["resource_version"] for r in LK.catalog_if_any(spark, root)
+             .where(F.col("resource_version").isin([v["version"] for v in versions]))
+             .select("resource_version").collect()}
     todo = [v for v in versions if v["version"] not in known]
     if not todo:
         return []

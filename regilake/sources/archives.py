@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .release import MEMBER_PREFIXES, OPTIONAL_TABLES
 
-MAX_MEMBER_BYTES = 4 * 1024 ** 3
 MANIFEST_SCHEMA = ("archive string, member string, table_name string, competencia string, "
                    "bytes long, path string, status string")
 
@@ -62,9 +61,6 @@ def _unpack_partition(paths: Iterator[str], dest: str, pattern: str) -> Iterator
                 table = classify_member(info.filename, comp)
                 if table is None:
                     continue
-                if info.file_size > MAX_MEMBER_BYTES:
-                    yield (path, info.filename, table, comp, info.file_size, None, "oversize")
-                    continue
                 out_dir = os.path.join(dest, f"table={table}", f"competencia={comp}")
                 os.makedirs(out_dir, exist_ok=True)
                 target = os.path.join(out_dir, os.path.basename(info.filename))

@@ -49,38 +49,7 @@ QUALIFICATIONS = (
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced_scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-SPREAD_MIN_BYTES = 1024 * 1024
-
-
-def _input_bytes(spark: SparkSession, df: DataFrame) -> int:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
-
-
-def balanced_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    A large file written as one row group is one task, so every per-row
-    expression before the first shuffle would run on one core. Only then
-    (file metadata check, no job) the rows are dealt round-robin; a scan
-    that already has enough splits -- the normal case at scale -- is left
-    untouched, so no extra shuffle is added there.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    if _input_bytes(spark, df) < SPREAD_MIN_BYTES:
-        return df
-    return df.repartition(cores)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _s(col: Column) -> Column:
@@ -101,8 +70,11 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 
 def release_tables(spark: SparkSession, sf_dir: str,
                    unit_filter: Column | None = None,
-                   line_filter: Column | None = None) -> dict[str, DataFrame]:
-    """The nine release tables derived from the driver tables."""
+                   quantity: Column | None = None) -> dict[str, DataFrame]:
+    """The nine release tables derived from the driver tables.
+
+    ``quantity`` replaces a line's quantity, as in a corrected import.
+    """
     orders = read_table(spark, sf_dir, "orders")
     lineitem = read_table(spark, sf_dir, "lineitem")
     customer = read_table(spark, sf_dir, "customer")
@@ -142,9 +114,7 @@ def release_tables(spark: SparkSession, sf_dir: str,
     )
 
     lines = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    if line_filter is not None:
-        lines = lines.where(line_filter)
-    q = F.col("l_quantity")
+    q = F.col("l_quantity") if quantity is None else quantity
     qi = _s(q.cast("bigint"))
     leitos = lines.select(
         _competence(F.col("o_orderdate")).alias("competencia"),
@@ -186,31 +156,8 @@ def release_tables(spark: SparkSession, sf_dir: str,
     }
 
 
-# sf_dir -> lake root written by ``regilake.plans.release_ingest`` (bench, notebooks).
-_MATERIALIZED: dict[str, str] = {}
-
-
-def use_materialized_lake(sf_dir: str, root: str | None) -> None:
-    """Serve :func:`registry_lake` / :func:`revision_lake` from a written lake."""
-    if root is None:
-        _MATERIALIZED.pop(sf_dir, None)
-    else:
-        _MATERIALIZED[sf_dir] = root
-
-
-def _materialized(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame | None:
-    root = _MATERIALIZED.get(sf_dir)
-    if root is None:
-        return None
-    from .lake import read_lake
-    return read_lake(spark, root).where(F.col("batch_id").startswith(prefix))
-
-
 def registry_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lake rows of the binding: one batch per competence, ``batch_id = 'R' || competencia``."""
-    written = _materialized(spark, sf_dir, "R")
-    if written is not None:
-        return written
     rows = normalize_release(release_tables(spark, sf_dir))
     return rows.withColumn("batch_id", F.concat(F.lit("R"), F.col("competencia"))) \
                .withColumn("imported_at", F.concat(F.substring("competencia", 1, 4),
@@ -218,15 +165,13 @@ def registry_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revision_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second import of every unit built from closed line items only.
+    """A second import of every unit and line; open lines carry a corrected quantity.
 
     It is dated mid-year after the original import for even years and
     before it for odd years, so "latest import wins" picks each side.
     """
-    written = _materialized(spark, sf_dir, "V")
-    if written is not None:
-        return written
-    tables = release_tables(spark, sf_dir, line_filter=F.col("l_linestatus") == "F")
+    tables = release_tables(spark, sf_dir, quantity=F.when(
+        F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(51 - F.col("l_quantity")))
     rows = normalize_release(tables)
     year = F.substring("competencia", 1, 4).cast("int")
     return rows.withColumn("batch_id", F.concat(F.lit("V"), F.col("competencia"))) \

@@ -17,6 +17,7 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +83,16 @@ def read_catalog(spark: SparkSession, root: str) -> DataFrame:
     return cat.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def catalog_if_any(spark: SparkSession, root: str) -> DataFrame:
+    """The catalog, empty where none was written yet; any other fault is raised."""
+    try:
+        return read_catalog(spark, root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CATALOG_SCHEMA)
+
+
 def catalog_entries(rows: DataFrame, source: str, extra: Mapping[str, Any] | None = None) -> list[dict]:
     """Catalog rows of freshly written batches (one small row per batch)."""
     per_batch = rows.groupBy("batch_id").agg(
@@ -112,8 +123,7 @@ def read_lake(spark: SparkSession, root: str, catalog: DataFrame | None = None)
     """Lake rows of catalogued batches only (half-written batches stay hidden)."""
     cat = catalog if catalog is not None else read_catalog(spark, root)
     lake = read_facilities(spark, root)
-    # The catalog is one row per batch (bounded by retention): broadcast.
-    joined = lake.join(F.broadcast(cat.select("batch_id", "imported_at")), "batch_id")
+    joined = lake.join(cat.select("batch_id", "imported_at"), "batch_id")
     return joined.select(*LAKE_COLUMNS, "batch_id", "imported_at")
 
 
@@ -122,7 +132,7 @@ def read_lake_unchecked(spark: SparkSession, root: str, rows: DataFrame) -> Data
     building their catalog rows; ``imported_at`` comes from ``rows``."""
     ids = rows.select("batch_id", "imported_at").distinct()
     written = read_facilities(spark, root).select("batch_id", "competencia")
-    return written.join(F.broadcast(ids), "batch_id")
+    return written.join(ids, "batch_id")
 
 
 def list_batches(lake: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
@@ -133,7 +143,7 @@ def list_batches(lake: DataFrame, catalog: DataFrame | None = None) -> DataFrame
         F.max("imported_at").alias("imported_at"))
     if catalog is not None:
         counts = counts.drop("imported_at").join(
-            F.broadcast(catalog.select("batch_id", "source", "filters_json", "imported_at")),
+            catalog.select("batch_id", "source", "filters_json", "imported_at"),
             "batch_id")
     return counts.orderBy(F.desc("imported_at"), F.desc("batch_id"))
 
@@ -172,10 +182,7 @@ def register_parquet(spark: SparkSession, path: str, root: str, batch_id: str,
     if missing or extra:
         raise ContractError(f"contract mismatch: missing={missing} extra={extra}")
     entry = dict(entry or {})
-    try:
-        known = read_catalog(spark, root).where(F.col("batch_id") == batch_id).first()
-    except Exception:
-        known = None
+    known = catalog_if_any(spark, root).where(F.col("batch_id") == batch_id).first()
     if known is None:
         rows = df.select(*[F.col(f.name).cast(f.dataType) for f in LAKE_SCHEMA.fields])
         write_batch(rows, root, batch_id)

@@ -8,6 +8,7 @@ the same key, so AQE can reuse the exchange.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -96,19 +97,34 @@ def bed_classes(leito: DataFrame, tipo_leito: DataFrame | None) -> DataFrame:
     Accent folding and the contains tests run on the dictionary (a few
     thousand rows), not on every bed row; the fact side joins booleans.
     """
-    spark = leito.sparkSession
-    tipo = tipo_leito if tipo_leito is not None else default_bed_types(spark)
     keep = ["competencia"] if "competencia" in leito.columns else []
     l = leito.select(*keep, F.trim("co_leito").alias("codigo"),
                      TX.upper_unaccent(F.coalesce("descricao", F.lit(""))).alias("ds_leito"),
                      F.trim("tipo").alias("_tipo"))
-    t = tipo.select(*[F.col(c).alias(f"t_{c}") for c in tipo.columns if c == "competencia"],
-                    F.trim("codigo").alias("t_codigo"),
-                    TX.upper_unaccent(F.coalesce("descricao", F.lit(""))).alias("t_ds"))
-    cond = F.col("_tipo") == F.col("t_codigo")
-    if keep and "t_competencia" in t.columns:
-        cond = cond & (F.col("competencia") == F.col("t_competencia"))
-    d = l.join(t, cond, "left").withColumn("ds_tipo", F.coalesce("t_ds", F.lit("")))
+
+    def types(tipo: DataFrame, prefix: str) -> DataFrame:
+        return tipo.select(
+            *[F.col(c).alias(f"{prefix}_{c}") for c in tipo.columns if c == "competencia"],
+            F.trim("codigo").alias(f"{prefix}_codigo"),
+            TX.upper_unaccent(F.coalesce("descricao", F.lit(""))).alias(f"{prefix}_ds"))
+
+    default = types(default_bed_types(leito.sparkSession), "d")
+    if tipo_leito is None:
+        d = l.join(default, F.col("_tipo") == F.col("d_codigo"), "left")
+        ds = F.col("d_ds")
+    else:
+        own = types(tipo_leito, "t")
+        cond = F.col("_tipo") == F.col("t_codigo")
+        ds = F.col("t_ds")
+        monthly = bool(keep) and "t_competencia" in own.columns
+        d = l.join(own, cond & (F.col("competencia") == F.col("t_competencia")) if monthly else cond,
+                   "left")
+        if monthly:  # a month without rows of its own takes the default types
+            months = tipo_leito.select(F.col("competencia").alias("o_competencia")).distinct()
+            d = d.join(months, F.col("competencia") == F.col("o_competencia"), "left") \
+                 .join(default, F.col("_tipo") == F.col("d_codigo"), "left")
+            ds = F.when(F.col("o_competencia").isNotNull(), ds).otherwise(F.col("d_ds"))
+    d = d.withColumn("ds_tipo", F.coalesce(ds, F.lit("")))
     uti = F.contains("ds_leito", F.lit("UTI"))
     return d.select(
         *keep, "codigo",
@@ -292,11 +308,23 @@ def normalize_release(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out.select(*LAKE_COLUMNS)
 
 
+def _release_files(spark, landing: str, table: str) -> list[str]:
+    """CSV members of one table, nine a month, through the cluster's file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{landing.rstrip('/')}/table={table}/competencia=*/*.[cC][sS][vV]")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(st.getPath().toString() for st in fs.globStatus(path) or [])
+
+
 def read_release_tables(spark, landing: str) -> dict[str, DataFrame]:
     """Unpacked release CSVs (``table=<t>/competencia=<YYYYMM>/*.csv``) ->
     canonical string tables. ``;``-separated, Latin-1, header, strict
-    (FAILFAST); only the allow-listed columns are selected."""
-    import os
+    (FAILFAST); only the allow-listed columns are selected.
+
+    Months may order or name their columns differently: files are grouped
+    by header, each group is read by its own and resolved by name.
+    """
+    import csv
 
     from pyspark.sql import types as T
 
@@ -304,18 +332,25 @@ def read_release_tables(spark, landing: str) -> dict[str, DataFrame]:
 
     tables: dict[str, DataFrame] = {}
     for table, fields in TABLE_FIELDS.items():
-        path = os.path.join(landing, f"table={table}")
-        if not os.path.isdir(path):
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for f in _release_files(spark, landing, table):
+            lines = read_head(spark, f).decode("latin-1").splitlines()
+            if not lines:
+                raise MissingColumnsError(f"release file without a header: {f}")
+            groups.setdefault(tuple(next(csv.reader(lines[:1], delimiter=";"))), []).append(f)
+        if not groups:
             if table in OPTIONAL_TABLES:
                 continue
             raise MissingColumnsError(f"missing release table {table}")
-        first = next(os.path.join(r, f) for r, _, fs in os.walk(path) for f in fs if f.endswith(".csv"))
-        header = read_head(spark, first).decode("latin-1").splitlines()[0].split(";")
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-        raw = (spark.read.schema(schema).option("header", True).option("sep", ";")
-               .option("encoding", "ISO-8859-1").option("mode", "FAILFAST").csv(path))
-        raw = raw.withColumn("competencia", F.regexp_extract(
-            F.col("_metadata.file_path"), r"competencia=([0-9]{6})", 1))
-        # Every table keeps its month: dimension joins happen within a release.
-        tables[table] = resolve_columns(raw, fields, keep=("competencia",))
+        parts = []
+        for header, files in groups.items():
+            schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+            raw = (spark.read.schema(schema).option("header", True).option("sep", ";")
+                   .option("quote", '"').option("escape", '"')
+                   .option("encoding", "ISO-8859-1").option("mode", "FAILFAST").csv(files))
+            raw = raw.withColumn("competencia", F.regexp_extract(
+                F.col("_metadata.file_path"), r"competencia=([0-9]{6})", 1))
+            # Every table keeps its month: dimension joins happen within a release.
+            parts.append(resolve_columns(raw, fields, keep=("competencia",)))
+        tables[table] = functools.reduce(DataFrame.unionByName, parts)
     return tables

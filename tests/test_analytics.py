@@ -171,3 +171,24 @@ def test_match_collector_and_uf_map(spark):
     long = AG.uf_distribution(rows, "cnpj_mantenedora")
     m = AG.as_map(long, "cnpj_mantenedora", "uf", "unidades_uf").first()["distribuicao"]
     assert m == {"RJ": 1, "SP": 2}
+
+
+def test_series_of_all_keys_equals_each_key_when_a_unit_moves(spark):
+    rows = spark.createDataFrame(
+        [("1", "202401", "a", 10, 5, "2024-01-01", "x"), ("1", "202401", "b", 12, 6, "2024-02-01", "y"),
+         ("2", "202401", "a", 1, 1, "2024-02-01", "y"), ("1", "202402", "b", 3, 2, "2024-03-01", "z")],
+        "cnes string, competencia string, municipio_normalizado string, leitos_existentes long, "
+        "leitos_sus long, imported_at string, batch_id string")
+    every = H.timeseries(rows, None, "municipio", "202401", "202412").collect()
+    for city in ("a", "b"):
+        one = [tuple(r) for r in H.timeseries(rows, city, "municipio", "202401", "202412").collect()]
+        assert one == [tuple(r)[1:] for r in every if r["chave"] == city]
+
+
+def test_total_is_kept_on_an_empty_page(spark):
+    page = spark.createDataFrame([("1",), ("2",)], "cnes string")
+    total = page.groupBy().count().withColumnRenamed("count", "total")
+    assert [(r["cnes"], r["total"]) for r in SE.page_with_total(page.offset(5).limit(2), total).collect()] \
+        == [(None, 2)]
+    assert [(r["cnes"], r["total"]) for r in SE.page_with_total(page.orderBy("cnes").limit(2), total).collect()] \
+        == [("1", 2), ("2", 2)]

@@ -5,6 +5,8 @@ import os
 import shutil
 import zipfile
 
+import pytest
+
 from regilake.plans.load import load_csv
 from regilake.sources import archives as AR
 from regilake.sources import lake as LK
@@ -199,12 +201,78 @@ def test_normalize_csv_reports_empty_and_derived(spark, tmpdir_path):
     assert "convenio_sus" in out["campos_derivados"]
 
 
-def test_executor_side_sniffing_matches_driver(spark, tmpdir_path):
+def _csv(folder, name, data: bytes):
+    path = os.path.join(folder, name)
+    with open(path, "wb") as f:
+        f.write(data)
+    return path
+
+
+def test_sniffing_many_files_matches_each_alone(spark, tmpdir_path):
     from regilake.sources import csv_files as CF
-    paths = []
-    for i in range(CF.DRIVER_SNIFF_MAX_FILES + 3):
-        p = os.path.join(tmpdir_path, f"f{i}.csv")
+    paths = [os.path.join(tmpdir_path, f"f {i}.csv") for i in range(5)]
+    for i, p in enumerate(paths):
         shutil.copy(os.path.join(FIX, "valid.csv" if i % 2 else "invalid_rows.csv"), p)
-        paths.append(p)
-    many = CF.sniff_many(spark, paths)
-    assert many == {p: CF.sniff(spark, p) for p in paths}
+    assert CF.sniff_many(spark, paths) == {p: CF.sniff(spark, p) for p in paths}
+
+
+def test_encoding_is_decided_from_the_whole_file(spark, tmpdir_path):
+    from regilake.sources import csv_files as CF
+    line = "1234567,Unidade,São Luís\n"
+    head = "CNES,NOME_FANTASIA,MUNICIPIO\n"
+    pad = head + "x" * (65_535 - len(head)) + "é\n" + line  # the letter straddles byte 65,536
+    assert CF.sniff(spark, _csv(tmpdir_path, "u.csv", pad.encode())).encoding == "UTF-8"
+    late = (head + "1,a,b\n" * 20_000).encode() + line.encode("latin-1")
+    assert CF.sniff(spark, _csv(tmpdir_path, "l.csv", late)).encoding == "ISO-8859-1"
+    with pytest.raises(CF.CsvLoadError):
+        CF.sniff(spark, _csv(tmpdir_path, "e.csv", b""))
+
+
+def test_quoted_delimiters_quotes_and_line_breaks(spark, tmpdir_path):
+    from regilake.sources import csv_files as CF
+    data = ('CNES,NOME_FANTASIA,MUNICIPIO,UF\n'
+            '1111111,"HOSPITAL ""SAO"" JOAO, LTDA",A,SP\n'
+            '2222222,"DUAS\nLINHAS",B,SP\n3333333,SIMPLES,C,SP\n')
+    (dialect, df), = CF.read_raw(spark, [_csv(tmpdir_path, "q.csv", data.encode())])
+    assert dialect.quoted_breaks
+    got = {r["CNES"]: (r["NOME_FANTASIA"], r["MUNICIPIO"]) for r in df.collect()}
+    assert got == {"1111111": ('HOSPITAL "SAO" JOAO, LTDA', "A"), "2222222": ("DUAS\nLINHAS", "B"),
+                   "3333333": ("SIMPLES", "C")}
+
+
+def test_months_with_other_headers_and_without_the_optional_table(spark, tmpdir_path):
+    other = dict(RELEASE)
+    other["rlEstabComplementar"] = [";".join(reversed(line.split(";")))
+                                    for line in RELEASE["rlEstabComplementar"]]
+    first = _write_release(tmpdir_path, "202501")
+    second = _write_release(tmpdir_path, "202502", other)
+    clean = os.path.join(tmpdir_path, "clean")
+    os.makedirs(clean)
+    target = os.path.join(clean, os.path.basename(second))
+    with zipfile.ZipFile(second) as src, zipfile.ZipFile(target, "w") as dst:
+        for info in src.infolist():
+            if not info.filename.startswith("tbTipoLeito"):
+                dst.writestr(info, src.read(info))
+    landing = os.path.join(tmpdir_path, "landing3")
+    AR.unpack_archives(spark, [first, target], landing).collect()
+    rows = {r["competencia"]: r for r in normalize_release(read_release_tables(spark, landing)).collect()}
+    assert set(rows) == {"202501", "202502"}
+    for r in rows.values():
+        assert (r["leitos_existentes"], r["leitos_sus"], r["uf"]) == (100, 60, "AM")
+        assert (r["leitos_cirurgicos"], r["leitos_clinicos"], r["leitos_complementares"]) == (30, 40, 30)
+
+
+def test_free_text_competence_is_rejected(spark, tmpdir_path):
+    from regilake.plans.load import plan_csv_load
+    data = "CNES,COMPETENCIA,LEITOS_EXISTENTES,LEITOS_SUS\n1111111,LIXO QUALQUER,1,1\n2222222,2024/05,1,1\n"
+    rows = plan_csv_load(spark, [_csv(tmpdir_path, "c.csv", data.encode())]).validated.collect()
+    assert {r["cnes"]: r["reject_reason"] for r in rows} == {"1111111": "valor_invalido", "2222222": None}
+
+
+def test_only_a_missing_catalog_reads_as_empty(spark, tmpdir_path):
+    assert LK.catalog_if_any(spark, os.path.join(tmpdir_path, "none")).count() == 0
+    root = os.path.join(tmpdir_path, "broken")
+    os.makedirs(LK.catalog_path(root))
+    _csv(LK.catalog_path(root), "part-0.parquet", b"no parquet file")
+    with pytest.raises(Exception):
+        LK.catalog_if_any(spark, root).count()

@@ -24,3 +24,18 @@ def test_single_row_percent_rank_is_zero(spark):
     df = spark.createDataFrame([(1, 5)], "id int, v int")
     r = with_ranks(df, [("v", "percent_rank", "pr"), ("v", "cume_dist", "cd")]).first()
     assert r["pr"] == 0.0 and r["cd"] == 1.0
+
+
+def test_ranks_do_not_rest_on_a_reused_exchange(spark):
+    df = spark.range(60_000).select("id", ((F.col("id") * 7919) % 9973 - 4000).alias("v"))
+    w = Window.orderBy("v")
+    want = df.select("id", F.cume_dist().over(w).alias("cd"))
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        for value in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", value)
+            ours = with_ranks(df, [("v", "cume_dist", "got")]).join(want, "id")
+            assert ours.where(F.abs(F.col("got") - F.col("cd")) > 1e-12).count() == 0
+            assert ours.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
