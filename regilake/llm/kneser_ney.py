@@ -1,22 +1,30 @@
-"""Operator 6: quality classifier by an interpolated modified Kneser-Ney n-gram model.
-
-The model predicts a character from the two before it and is trained on all
-trusted documents (label quality 1 and not toxic). Characters fall into
-``CLASSES`` classes: printable ASCII one by one, control characters
-together, all others by code point modulo ``OTHERS``; so a text of any
-language is covered and the model has ``CLASSES ** 3`` entries at most.
-
-Counting: tasks add up trigrams of whole batches, Spark sums them by
-trigram. Probabilities: joins of the trigram counts with the continuation
-counts of the shorter n-grams (each a sharded aggregate) and with the
-discounts of each order. The seen n-grams, bounded as above, are broadcast
-as a table to the tasks, which add up each document's log-probability.
-
-Verdict: of the trusted documents' bits per character, a quantile by
+"""Operator 6: quality classifier by interpolated modified Kneser-Ney n-gram models.
+
+The word model counts the word pairs of the labelled documents, without a
+bound on words or pairs: words are runs of letters and digits of any script
+(single letters in scripts without blanks) and runs of other characters, in
+lower case, as 64-bit hashes. Every document's distinct pairs are looked up
+by sharded joins in the table of seen pairs, which holds finished
+probabilities; pairs not seen are joined with the back-off weights of their
+first word and the continuation probabilities of their second. The sums by
+document are its bits a word and its perplexity.
+
+Documents are dealt to two folds by their text, and each is judged by the
+models of the other fold, so that no labelled document is judged by its own
+words and the trusted ones' quantiles hold for unseen documents too.
+
+The character model (trigrams of ``CLASSES`` classes: printable ASCII one by
+one, others by code point modulo ``OTHERS``) is trained on all trusted
+documents (label quality 1 and not toxic). It only adds a measure that
+rejects junk in which no word pair stands; its table has ``CLASSES ** 3``
+entries and is broadcast.
+
+Verdict: of the trusted documents' values of each measure, a quantile by
 language and length class (short texts scatter more); a document with more
-than it and ``MARGIN`` bits is rejected. Languages without enough trusted
-documents take the quantile over all languages, length classes without any
-that over all lengths.
+is rejected. The character model has seen the trusted documents, so there
+``MARGIN`` bits are added. Languages without enough trusted documents take
+the quantile over all languages, length classes without any that over all
+lengths.
 
 Edge cases: null and empty texts have no perplexity and are kept; null
 languages are a group of their own; a document is trusted if all its labels
@@ -32,12 +40,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, needed, parts, ship_package, table
+from .common import materialize, mix64, needed, parts, ship_package, table
 
 OTHERS = 95
 CLASSES = 2 + 95 + OTHERS  # a text's start, control characters, printable ASCII, others
 QUANTILE, MARGIN, LEAST = 0.99, 0.5, 50
 BATCH_CHARS = 4_000_000
+#: Letters of scripts without blanks, one word each; other words; pairs of words that are sorted together.
+ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{ALONE}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
+BATCH_WORDS = 2_000_000
+#: What a document is judged by, with the bits added to the trusted documents' quantile.
+MEASURES = {"char_bits": MARGIN, "bits": 0.0}
 
 
 def _class_table() -> np.ndarray:
@@ -77,16 +91,21 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
     return needed(docs, "text").mapInArrow(run, "w int, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """One row: d1, d2, d3 of modified Kneser-Ney smoothing for counts ``n``."""
-    t = counts.agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+def _discount_columns() -> list[Column]:
+    """d1, d2, d3 of modified Kneser-Ney smoothing from the counts of counts n1 to n4."""
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def d(k: int) -> Column:  # where counts of counts are missing, absolute discounting by 0.5
         found = k - F.try_divide((k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
         return F.coalesce(F.when((found > 0) & (found < k), found), F.lit(0.5)).alias(f"d{k}")
 
-    return t.select(d(1), d(2), d(3))
+    return [d(1), d(2), d(3)]
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """One row: the discounts for counts ``n``."""
+    t = counts.agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    return t.select(*_discount_columns())
 
 
 def _level(counts: DataFrame, lower: DataFrame, context: Column, rest: Column) -> tuple[DataFrame, DataFrame]:
@@ -139,11 +158,11 @@ def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, *carry: str) -> DataFrame:
-    """``carry`` columns, n_chars and bits (per character; null for texts without characters)."""
+    """``carry`` columns, n_chars and char_bits (per character; null for texts without characters)."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = needed(docs, *carry, "text")
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry] + ["n_chars long", "bits double"])
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry] + ["n_chars long", "char_bits double"])
 
     def run(batches):
         model, costs = shared.value, None
@@ -156,58 +175,188 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None, *carry: str) ->
                 n.append(len(t))
                 bits.append(float(costs[trigrams(t)].sum(dtype=np.float64)) / len(t) if t and costs is not None else None)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(n, pa.int64()), pa.array(bits, pa.float64())],
-                                             names=[*carry, "n_chars", "bits"])
+                                             names=[*carry, "n_chars", "char_bits"])
 
     return rows.mapInArrow(run, schema)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``hash``, which tells documents of one id apart."""
+    return docs.withColumn("hash", F.xxhash64("text"))
+
+
+def word_pairs(docs: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, hash, carry, f, g, h, w, n): the distinct pairs ``g`` of a word ``h`` and the next, ``w``, of each row.
+
+    ``f`` is the document's fold. Before the first word stands 0.
+    """
+    ship_package(docs.sparkSession)
+    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    rows = docs.select("doc_id", "hash", *carry, F.transform(found, lambda w: F.xxhash64(w)).alias("ids")).where(F.size("ids") > 0)
+    kept = ["doc_id", "hash", *carry]
+    schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + ["g long", "h long", "w long", "n int"])
+
+    def run(batches):
+        for b in batches:
+            sizes = b.column("ids").value_lengths().to_numpy()
+            ends, begin = np.cumsum(sizes), 0
+            while begin < len(sizes):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + BATCH_WORDS, "right")))
+                part, size = b.slice(begin, end - begin), sizes[begin:end]
+                w = part.column("ids").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                row = np.repeat(np.arange(len(size)), size)
+                h = np.append(np.uint64(0), w[:-1])
+                h[np.cumsum(size)[:-1]] = 0
+                g = mix64(h + np.uint64(0x9E3779B97F4A7C15)) ^ mix64(w)
+                g = mix64(g + h)
+                order = np.lexsort((g, row))
+                first = np.flatnonzero(np.append(True, (np.diff(g[order]) != 0) | (np.diff(row[order]) != 0)))
+                n = np.diff(np.append(first, len(g))).astype(np.int32)
+                at = order[first]
+                of = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c).take(of) for c in kept], *[pa.array(x[at].view(np.int64)) for x in (g, h, w)], pa.array(n)],
+                    names=[*kept, "g", "h", "w", "n"])
+                begin = end
+
+    return rows.mapInArrow(run, schema).withColumn("f", F.pmod("hash", F.lit(2)).cast("int"))
+
+
+def _cut(counts: DataFrame) -> DataFrame:
+    """``counts`` with the discount ``d`` of each count, by model ``m``."""
+    t = counts.groupBy("m").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    t = F.broadcast(t.select("m", *_discount_columns()))  # a row a model
+    return counts.join(t, "m").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))) \
+                 .drop("d1", "d2", "d3")
+
+
+class WordModels:
+    """Tables by fold ``f`` of the documents to be judged, a column a class: of seen pairs, contexts and words.
+
+    ``labelled`` are keyed documents with ``cls``. Model ``2 * cls + f`` is trained on the labelled documents of the other fold.
+    """
+
+    def __init__(self, labelled: DataFrame):
+        pairs = word_pairs(labelled, "cls").withColumn("m", 2 * F.col("cls") + 1 - F.col("f"))
+        counts = materialize(pairs.groupBy("m", "g", "h", "w").agg(F.sum("n").alias("n")), "kn-pairs")
+        follow = counts.groupBy("m", "w").agg(F.count("*").alias("n"))  # after how many words a word stands
+        ones = materialize(_cut(follow), "kn-words")
+        size = 1 + ones.select("w").distinct().count()  # one more for words not seen
+        sums = {r.m: (r.total, r.cut / r.total / size) for r in
+                ones.groupBy("m").agg(F.sum("n").alias("total"), F.sum("d").alias("cut")).collect()}  # four rows at most
+        #: by model: probability of a word not seen
+        self.floor = {m: f for m, (_, f) in sums.items()}
+        pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("m")) if values else F.lit(None)
+        p1 = (F.col("n") - F.col("d")) / pick({m: float(t) for m, (t, _) in sums.items()}) + pick(self.floor)
+        self.words = materialize(self._wide(ones.select("m", "w", p1.alias("v")), "w", "one"), "kn-continuations")
+        two = _cut(counts)
+        heads = materialize(two.groupBy("m", "h").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("v")), "kn-contexts")
+        self.heads = materialize(self._wide(heads, "h", "gamma"), "kn-weights")
+        seen = two.join(heads.select("m", "h", "total").hint("merge"), ["m", "h"]).select(
+            "m", "g", "h", "w", ((F.col("n") - F.col("d")) / F.col("total")).alias("v"))
+        seen = self._wide(seen, "g", "part", F.first("h").alias("h"), F.first("w").alias("w"))
+        seen = seen.join(self.heads.hint("merge"), ["f", "h"], "left").join(self.words.hint("merge"), ["f", "w"], "left")
+        self.pairs = materialize(seen.select("f", "g", *[
+            (F.coalesce(f"part{c}", F.lit(0.0)) + self._backed(c)).alias(f"p{c}") for c in (0, 1)], F.lit(True).alias("seen")), "kn-seen-pairs")
+
+    @staticmethod
+    def _wide(rows: DataFrame, key: str, name: str, *more: Column) -> DataFrame:
+        return rows.groupBy(F.pmod("m", F.lit(2)).cast("int").alias("f"), key).agg(
+            *[F.max(F.when(F.floor(F.col("m") / 2) == c, F.col("v"))).alias(f"{name}{c}") for c in (0, 1)], *more)
+
+    def _backed(self, c: int) -> Column:
+        """Back-off probability in class ``c``; null without a model of it."""
+        floor = F.lit(None).cast("double")
+        for f in (0, 1):
+            if 2 * c + f in self.floor:
+                floor = F.when(F.col("f") == f, F.lit(self.floor[2 * c + f])).otherwise(floor)
+        return F.coalesce(f"gamma{c}", F.lit(1.0)) * F.when(floor.isNotNull(), F.coalesce(f"one{c}", floor))
+
+    def probabilities(self, pairs: DataFrame) -> DataFrame:
+        """Rows of word_pairs with p0 and p1, the probabilities of their second word in each class."""
+        rows = pairs.join(self.pairs.hint("merge"), ["f", "g"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+        # seen pairs need no back-off: their key is the pair's, so that they spread and (but for a clash) meet nothing
+        for key, table in (("h", self.heads), ("w", self.words)):
+            rows = rows.withColumn(key, F.when(F.col("seen"), F.col("g")).otherwise(F.col(key))).join(table.hint("merge"), ["f", key], "left")
+        return rows.select("doc_id", "hash", "n", *[F.when(F.col("seen"), F.col(f"p{c}")).otherwise(self._backed(c)).alias(f"p{c}") for c in (0, 1)])
+
+
+def _mean(bits: Column) -> Column:
+    """Mean over a document's words, in whole millionths so that no order of summing shows."""
+    return F.sum(F.col("n") * F.round(bits * 1e6).cast("long")) / F.sum(F.when(bits.isNotNull(), F.col("n"))) / 1e6
+
+
+def word_scores(docs: DataFrame, models: WordModels) -> DataFrame:
+    """(doc_id, hash, bits) of the keyed documents that have words: bits a word among trusted text."""
+    return models.probabilities(word_pairs(docs)).groupBy("doc_id", "hash").agg(_mean(-F.log2("p0")).alias("bits"))
+
+
+def label_classes(labels: DataFrame) -> DataFrame:
+    """(doc_id, cls) of the labelled documents that train: 0 for trusted ones."""
+    return trusted_ids(labels).withColumn("cls", F.lit(0))
+
+
 def _length_class() -> Column:
     return F.least(F.floor(F.log2(F.greatest("n_chars", F.lit(1)))), F.lit(11)).cast("int")
 
 
 def limits(scores: DataFrame) -> DataFrame:
-    """(l_lang, l_class, limit) from the scores of trusted documents: quantiles of bins of 1/100 bit."""
-    bins = scores.where("bits IS NOT NULL").groupBy("lang", _length_class().alias("class"), F.ceil(F.col("bits") * 100).alias("bin")) \
-                 .agg(F.count("*").alias("n"))
+    """(l_lang, l_class, found) from the scores of trusted documents, ``found`` a map from measure to limit.
+
+    Limits are quantiles of bins of 1/100 bit.
+    """
+    values = F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value"), F.lit(margin).alias("margin"))
+                                for m, margin in MEASURES.items()]))
+    bins = scores.select("lang", _length_class().alias("class"), values).where("value IS NOT NULL") \
+                 .groupBy("measure", "margin", "lang", "class", F.ceil(F.col("value") * 100).alias("bin")).agg(F.count("*").alias("n"))
 
     def quantile(rows: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys)
         return rows.select(*keys, "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("seen")) \
                    .where(F.col("upto") >= QUANTILE * F.col("seen")).groupBy(*keys).agg((F.min("bin") / 100).alias("q"), F.max("seen").alias("seen"))
 
-    summed = bins.groupBy("class", "bin").agg(F.sum("n").alias("n"))
-    summed = summed.unionByName(summed.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("class", F.lit(-1)))  # all lengths
-    own, overall = quantile(bins, ["lang", "class"]), quantile(summed, ["class"]).select("class", F.col("q").alias("q_all"))
-    return own.join(overall, "class").select(
-        F.col("lang").alias("l_lang"), F.col("class").alias("l_class"),
-        (F.when(F.col("seen") >= LEAST, F.col("q")).otherwise(F.greatest("q", "q_all")) + MARGIN).alias("limit")).unionByName(
-        overall.select(F.lit("\u0000any").alias("l_lang"), F.col("class").alias("l_class"), (F.col("q_all") + MARGIN).alias("limit")))
-
-
-def judge(docs: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
-    """``carry`` columns, lang, n_chars, bits, perplexity, limit and kept of every document."""
-    carry = tuple(dict.fromkeys([*carry, "lang"]))
-    good = trusted_ids(needed(labels, "doc_id", "quality", "toxic"))
-    model = train(needed(docs, "doc_id", "text").join(good.hint("merge"), "doc_id"))  # labels grow with the documents
-    known = score(docs, model, "doc_id", "lang").join(good, "doc_id")
-    rows = materialize(limits(known), "kn-limits")
+    summed = bins.groupBy("measure", "margin", "class", "bin").agg(F.sum("n").alias("n"))
+    summed = summed.unionByName(summed.groupBy("measure", "margin", "bin").agg(F.sum("n").alias("n")).withColumn("class", F.lit(-1)))  # all lengths
+    own = quantile(bins, ["measure", "margin", "lang", "class"])
+    overall = quantile(summed, ["measure", "margin", "class"]).select("measure", "class", "margin", F.col("q").alias("q_all"))
+    rows = own.join(overall.drop("margin"), ["measure", "class"]).select(
+        "measure", F.col("lang").alias("l_lang"), F.col("class").alias("l_class"),
+        (F.when(F.col("seen") >= LEAST, F.col("q")).otherwise(F.greatest("q", "q_all")) + F.col("margin")).alias("limit")).unionByName(
+        overall.select("measure", F.lit("\u0000any").alias("l_lang"), F.col("class").alias("l_class"), (F.col("q_all") + F.col("margin")).alias("limit")))
+    return rows.groupBy("l_lang", "l_class").agg(F.map_from_entries(F.collect_list(F.struct("measure", "limit"))).alias("found"))
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, hash, lang, n_chars, the measures, perplexity (a word) and kept of every document."""
+    docs = _keyed(needed(docs, "doc_id", "text", "lang"))
+    labels = needed(labels, "doc_id", "quality", "toxic")
+    labelled = docs.join(label_classes(labels).hint("merge"), "doc_id")  # labels grow with the documents
+    models = WordModels(labelled)
+    chars = score(docs, train(labelled.where("cls = 0")), "doc_id", "hash", "lang")
+    words = word_scores(docs, models)
+    scored = chars.alias("c").join(words.alias("s").hint("merge"), F.col("c.hash").eqNullSafe(F.col("s.hash")) & F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
+    scored = materialize(scored.select("c.*", *[f"s.{m}" for m in MEASURES if m != "char_bits"]), "kn-scores")
+    rows = materialize(limits(scored.join(trusted_ids(labels), "doc_id")), "kn-limits")
     by_lang = rows.where(~F.col("l_lang").eqNullSafe(F.lit("\u0000any")))
-    overall = rows.where(F.col("l_lang") == "\u0000any").select(F.col("l_class").alias("a_class"), F.col("limit").alias("a_limit"))
-    rest = overall.where("a_class = -1").select(F.col("a_limit").alias("r_limit"))  # one row or none
-    scored = score(docs, model, *carry).withColumn("l", _length_class())
+    overall = rows.where(F.col("l_lang") == "\u0000any").select(F.col("l_class").alias("a_class"), F.col("found").alias("a_found"))
+    rest = overall.where("a_class = -1").select(F.col("a_found").alias("r_found"))  # one row or none
+    scored = scored.withColumn("l", _length_class())
     joined = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["l_lang"]) & (scored["l"] == by_lang["l_class"]), "left") \
                    .join(overall, F.col("l") == F.col("a_class"), "left").join(rest, F.lit(True), "left")
-    limit = F.coalesce("limit", "a_limit", "r_limit")
-    return joined.select(*carry, "n_chars", "bits", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), limit.alias("limit"),
-                         F.coalesce(F.col("bits") <= limit, F.lit(True)).alias("kept"))
+    kept = F.lit(True)
+    for m in MEASURES:
+        limit = F.coalesce(*[F.try_element_at(c, F.lit(m)) for c in ("found", "a_found", "r_found")])
+        kept = kept & F.coalesce(F.col(m) <= limit, F.lit(True))
+    return joined.select("doc_id", "hash", "lang", "n_chars", *MEASURES, F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), kept.alias("kept"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with exactly its columns."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], docs["text"], docs["lang"])
-    return judge(rows, labels, "row").where("kept").select("row.*")
+    gone = judge(docs, labels).where(~F.col("kept")).select(F.col("doc_id").alias("id"), "hash", F.col("lang").alias("in")).distinct()
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["hash"])
+                     & docs["lang"].eqNullSafe(gone["in"]), "left_anti")
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select(
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "lang", "n_chars", F.round("perplexity", 4).alias("perplexity"), "kept")

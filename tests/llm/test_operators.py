@@ -162,6 +162,38 @@ def test_kneser_ney_is_a_distribution_and_tells_junk(spark):
     assert kneser_ney.filter_documents(docs, labels.where("quality = 5")).count() == len(rows)
 
 
+@pytest.fixture(scope="module")
+def cyrillic(spark):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choices("абвгдежзиклмнопрст", k=r.randint(2, 7))) for _ in range(40)]
+    rows = [(i, " ".join(r.choices(vocabulary, k=40)), "ru") for i in range(120)]
+    rows.append((500, "".join(c if c == " " else chr(ord(c) + 95) for c in rows[7][1]), "ru"))  # the same character classes
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), \
+        spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+
+
+def test_kneser_ney_knows_words_of_any_script(cyrillic):
+    docs, labels = cyrillic
+    got = {r.doc_id: r for r in kneser_ney.judge(docs, labels).collect()}
+    assert got[500].char_bits == pytest.approx(got[7].char_bits)
+    assert not got[500].kept and got[500].perplexity > 2 * got[7].perplexity
+    assert sum(r.kept for r in got.values()) >= 115
+
+
+def test_kneser_ney_word_pairs_are_a_distribution(cyrillic, spark):
+    docs, labels = cyrillic
+    labelled = kneser_ney._keyed(docs).join(kneser_ney.label_classes(labels), "doc_id")
+    models = kneser_ney.WordModels(labelled)
+    seen = kneser_ney.word_pairs(labelled, "cls").withColumn("f", 1 - F.col("f"))
+    counts = {(r.f, r.h, r.w): r.g for r in seen.collect()}
+    f, h = 0, next(iter(counts))[1]
+    known = [r.w for r in models.words.where("f = 0").collect()]
+    rows = [(1, 1, f, counts.get((f, h, w), -k), h, w, 1) for k, w in enumerate([*known, 12345])]
+    p = [r.p0 for r in models.probabilities(spark.createDataFrame(rows, "doc_id long, hash long, f int, g long, h long, w long, n int")).collect()]
+    more = models.words.select("w").distinct().count() - len(known)  # words that only the other model knows
+    assert sum(p) + more * min(p) == pytest.approx(1, abs=1e-6)
+
+
 def test_token_file_round_trip(spark, docs, empty, tmpdir_path):
     from tokenizers import Tokenizer
 
