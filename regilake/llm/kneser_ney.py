@@ -19,6 +19,11 @@ documents (label quality 1 and not toxic). It only adds a measure that
 rejects junk in which no word pair stands; its table has ``CLASSES ** 3``
 entries and is broadcast.
 
+A second word model is trained on the documents labelled as of low quality;
+by how much it makes the words likelier than trusted text does is a measure
+(mean). A third is trained on the toxic ones; there the worst word counts, by
+its continuation probabilities, as a few insults hardly move a mean.
+
 Verdict: of the trusted documents' values of each measure, a quantile by
 language and length class (short texts scatter more); a document with more
 is rejected. The character model has seen the trusted documents, so there
@@ -51,7 +56,7 @@ ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{
 WORD = rf"[{ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{ALONE}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
 BATCH_WORDS = 2_000_000
 #: What a document is judged by, with the bits added to the trusted documents' quantile.
-MEASURES = {"char_bits": MARGIN, "bits": 0.0}
+MEASURES = {"char_bits": MARGIN, "bits": 0.0, "ratio": 0.0, "worst": 0.0}
 
 
 def _class_table() -> np.ndarray:
@@ -249,7 +254,7 @@ class WordModels:
         pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("m")) if values else F.lit(None)
         p1 = (F.col("n") - F.col("d")) / pick({m: float(t) for m, (t, _) in sums.items()}) + pick(self.floor)
         self.words = materialize(self._wide(ones.select("m", "w", p1.alias("v")), "w", "one"), "kn-continuations")
-        two = _cut(counts)
+        two = _cut(counts.where("m < 4"))
         heads = materialize(two.groupBy("m", "h").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("v")), "kn-contexts")
         self.heads = materialize(self._wide(heads, "h", "gamma"), "kn-weights")
         seen = two.join(heads.select("m", "h", "total").hint("merge"), ["m", "h"]).select(
@@ -257,28 +262,36 @@ class WordModels:
         seen = self._wide(seen, "g", "part", F.first("h").alias("h"), F.first("w").alias("w"))
         seen = seen.join(self.heads.hint("merge"), ["f", "h"], "left").join(self.words.hint("merge"), ["f", "w"], "left")
         self.pairs = materialize(seen.select("f", "g", *[
-            (F.coalesce(f"part{c}", F.lit(0.0)) + self._backed(c)).alias(f"p{c}") for c in (0, 1)], F.lit(True).alias("seen")), "kn-seen-pairs")
+            (F.coalesce(f"part{c}", F.lit(0.0)) + self._backed(c)).alias(f"p{c}") for c in (0, 1)], self._toxic().alias("t"), F.lit(True).alias("seen")), "kn-seen-pairs")
 
     @staticmethod
     def _wide(rows: DataFrame, key: str, name: str, *more: Column) -> DataFrame:
         return rows.groupBy(F.pmod("m", F.lit(2)).cast("int").alias("f"), key).agg(
-            *[F.max(F.when(F.floor(F.col("m") / 2) == c, F.col("v"))).alias(f"{name}{c}") for c in (0, 1)], *more)
+            *[F.max(F.when(F.floor(F.col("m") / 2) == c, F.col("v"))).alias(f"{name}{c}") for c in (0, 1, 2)], *more)
 
-    def _backed(self, c: int) -> Column:
-        """Back-off probability in class ``c``; null without a model of it."""
+    def _alone(self, c: int) -> Column:
+        """Continuation probability in class ``c``; null without a model of it."""
         floor = F.lit(None).cast("double")
         for f in (0, 1):
             if 2 * c + f in self.floor:
                 floor = F.when(F.col("f") == f, F.lit(self.floor[2 * c + f])).otherwise(floor)
-        return F.coalesce(f"gamma{c}", F.lit(1.0)) * F.when(floor.isNotNull(), F.coalesce(f"one{c}", floor))
+        return F.when(floor.isNotNull(), F.coalesce(f"one{c}", floor))
+
+    def _backed(self, c: int) -> Column:
+        return F.coalesce(f"gamma{c}", F.lit(1.0)) * self._alone(c)
+
+    def _toxic(self) -> Column:
+        """Bits by which toxic text makes the word likelier than trusted text; pairs are too rare to tell."""
+        return F.log2(self._alone(2) / self._alone(0))
 
     def probabilities(self, pairs: DataFrame) -> DataFrame:
-        """Rows of word_pairs with p0 and p1, the probabilities of their second word in each class."""
+        """Rows of word_pairs with p0 and p1, the probabilities of their second word in each class, and its toxic bits ``t``."""
         rows = pairs.join(self.pairs.hint("merge"), ["f", "g"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
         # seen pairs need no back-off: their key is the pair's, so that they spread and (but for a clash) meet nothing
         for key, table in (("h", self.heads), ("w", self.words)):
             rows = rows.withColumn(key, F.when(F.col("seen"), F.col("g")).otherwise(F.col(key))).join(table.hint("merge"), ["f", key], "left")
-        return rows.select("doc_id", "hash", "n", *[F.when(F.col("seen"), F.col(f"p{c}")).otherwise(self._backed(c)).alias(f"p{c}") for c in (0, 1)])
+        return rows.select("doc_id", "hash", "n", *[F.when(F.col("seen"), F.col(f"p{c}")).otherwise(self._backed(c)).alias(f"p{c}") for c in (0, 1)],
+                           F.when(F.col("seen"), F.col("t")).otherwise(self._toxic()).alias("t"))
 
 
 def _mean(bits: Column) -> Column:
@@ -287,13 +300,24 @@ def _mean(bits: Column) -> Column:
 
 
 def word_scores(docs: DataFrame, models: WordModels) -> DataFrame:
-    """(doc_id, hash, bits) of the keyed documents that have words: bits a word among trusted text."""
-    return models.probabilities(word_pairs(docs)).groupBy("doc_id", "hash").agg(_mean(-F.log2("p0")).alias("bits"))
+    """(doc_id, hash, bits, ratio, worst) of the keyed documents that have words.
+
+    Bits a word among trusted text, the mean of the bits by which low-quality
+    text makes a word likelier, and the most by which toxic text makes any one.
+    """
+    return models.probabilities(word_pairs(docs)).groupBy("doc_id", "hash").agg(
+        _mean(-F.log2("p0")).alias("bits"), _mean(F.log2(F.col("p1") / F.col("p0"))).alias("ratio"), F.max(F.round("t", 6)).alias("worst"))
 
 
 def label_classes(labels: DataFrame) -> DataFrame:
-    """(doc_id, cls) of the labelled documents that train: 0 for trusted ones."""
-    return trusted_ids(labels).withColumn("cls", F.lit(0))
+    """(doc_id, cls) of the labelled documents that train: 0 trusted, 1 of low quality, 2 toxic, if all labels say so.
+
+    A document of low quality that is toxic too has both rows.
+    """
+    said = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max("quality").alias("q"), F.min(F.coalesce("toxic", F.lit(0))).alias("t"))
+    return trusted_ids(labels).withColumn("cls", F.lit(0)).unionByName(
+        said.where("q = 0").select("doc_id", F.lit(1).alias("cls"))).unionByName(said.where("t = 1").select("doc_id", F.lit(2).alias("cls")))
 
 
 def _length_class() -> Column:

@@ -194,6 +194,18 @@ def test_kneser_ney_word_pairs_are_a_distribution(cyrillic, spark):
     assert sum(p) + more * min(p) == pytest.approx(1, abs=1e-6)
 
 
+def test_kneser_ney_finds_a_few_insults(spark):
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdefghiklmnoprst", k=r.randint(2, 7))) for _ in range(80)]
+    texts = [r.choices(vocabulary, k=80) for _ in range(260)]
+    for t in texts[200:]:
+        t[r.randrange(80)] = r.choice(["idiot", "scum"])
+    docs = spark.createDataFrame([(i, " ".join(t), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 200)) for i in range(250)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in kneser_ney.filter_documents(docs, labels).collect()}
+    assert not kept & set(range(200, 260)) and len(kept) >= 190
+
+
 def test_token_file_round_trip(spark, docs, empty, tmpdir_path):
     from tokenizers import Tokenizer
 
