@@ -1,9 +1,11 @@
 """Operator 5: licence scan with a positional index of rare words.
 
-The templates' words are indexed by position. Of each text, the licence
-words with the highest inverse document frequency in the corpus are looked
-up; their postings, moved by the positions in the text, vote for places
-``(template, offset)``; at the best places the mandatory key phrases of the
+The templates' words are indexed by position. In each text that holds all
+words of a template's key phrases, these and the template's words with the
+highest inverse document frequency in the corpus are looked up; their
+postings, moved by the positions in the text, vote for places
+``(template, offset)``, so that a standing key phrase always makes its place a
+candidate, whatever else the file holds. At the places with enough votes the mandatory key phrases of the
 template must stand, in order, near where the template has them. Fixed
 phrases (``BASE``) are found everywhere besides.
 
@@ -51,7 +53,7 @@ TEMPLATES = {
     "cc-by-nc": ("licensed under cc by nc 4 0", ("cc by nc",)),
     "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 }
-#: Licence words looked up in a text, words that a place may be off, and votes that make a place a candidate.
+#: Words of a template looked up in a text besides those of its key phrases, words that a place may be off, and votes that make a place a candidate.
 RAREST, SLACK, VOTES = 12, 3, 2
 
 
@@ -67,6 +69,7 @@ class Index:
             if any(at is None for _, at in found):
                 raise ValueError(f"a key phrase of {name} isn't in its template")
             self.phrases[name] = found
+        self.keys = {name: frozenset(w for p, _ in found for w in p) for name, found in self.phrases.items()}
         self.postings = defaultdict(list)
         for name, words in self.words.items():
             for i, w in enumerate(words):
@@ -98,12 +101,14 @@ def scan(words: list[bytes], index: Index, idf: dict[bytes, float]) -> tuple[int
             if found:
                 labels.add(label)
     base = set(labels)
-    rarest = sorted((w for w in present if w in index.postings), key=lambda w: (-idf.get(w, 0.0), w))[:RAREST]
     votes = Counter()
-    for w in rarest:
-        for name, i in index.postings[w]:
-            for name_offset in {(name, p - i) for p in at[w]}:
-                votes[name_offset] += 1
+    for name, keys in index.keys.items():
+        if not keys <= present:
+            continue
+        rarest = sorted(present.intersection(index.words[name]), key=lambda w: (-idf.get(w, 0.0), w))[:RAREST]
+        for w in keys.union(rarest):
+            for i in [i for owner, i in index.postings[w] if owner == name]:
+                votes.update([(name, p - i) for p in at[w]])
     for (name, offset), n in votes.items():
         if n >= min(VOTES, len(index.words[name])) and _verified(words, at, index.phrases[name], offset):
             template = index.words[name]

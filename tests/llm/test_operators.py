@@ -149,6 +149,18 @@ def test_licences(docs, empty):
         assert name in found[4] and found[5] > 0.99
 
 
+def test_licences_of_one_file():
+    index = license_scan.Index(license_scan.TEMPLATES, license_scan.BASE)
+    idf = dict.fromkeys(index.postings, 1.0)
+    names = ["mit", "isc", "bsd", "gpl", "unlicense", "apache"]
+    whole = " x y ".join(license_scan.TEMPLATES[n][0] for n in names).encode().split()
+    assert set(names) <= set(license_scan.scan(whole, index, idf)[4])
+    everything = " ".join(text for text, _ in license_scan.TEMPLATES.values()).encode().split()
+    assert set(license_scan.scan(everything, index, idf)[4]) >= set(license_scan.TEMPLATES)
+    alone = "this work is a creative commons attribution of gnu terms".encode().split()  # a key phrase among other templates' words
+    assert "cc-by" in license_scan.scan([*everything[:100], *alone], index, idf)[4]
+
+
 def test_kneser_ney_is_a_distribution_and_tells_junk(spark):
     good = ["the cat sat on the mat and the dog sat on the log"] * 30
     rows = [(i, f"{t} {i}", "en") for i, t in enumerate(good)] + [(100, "###$$$ %%%&&& ***###", "en"), (101, None, None), (102, "", "fr")]
