@@ -11,14 +11,16 @@ The as-of join needs no window over a whole URL's history: the records of a
 URL are dealt to time slices of ``SLICE_SECONDS``; within a slice a window
 finds the latest response, and what earlier slices leave behind is a window
 over one row per slice. So a URL with a third of all records is spread over
-its slices. Only keys and validators are sorted; bodies are fetched by
-record id afterwards.
+its slices. Only keys and validators are sorted. What is found depends on URL
+and time alone, so it is joined back by these, one row each; headers of the
+responses are fetched afterwards by all the facts of the response. Record ids
+may be null or shared.
 
 Edge cases: records with a null URL or time, and revisits without an earlier
 response or with another validator, stay with a null target and say why in
 ``status``; ties in time are broken by record id, the larger is later, and
-a response comes before a revisit of the same time; equal rows are kept,
-each resolved alike; an empty table gives no rows; other columns are ignored.
+a response comes before a revisit of the same time; every revisit row gives one
+row, equal ones are resolved alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,17 +58,17 @@ def header(headers: Column, name: str) -> Column:
     return F.try_element_at(headers, F.lit(name))
 
 
-def _keys(records: DataFrame) -> DataFrame:
+def _keys(records: DataFrame, *carry: str) -> DataFrame:
     full = (F.col("warc_type") == "response")
     return records.select(
         "record_id", canonical_url(F.col("target_uri")).alias("url"), F.col("warc_time").cast("timestamp").alias("at"),
         (F.col("warc_type") == "revisit").alias("revisit"), full.alias("full"),
         F.col("payload_digest").alias("digest"), header(F.col("headers"), "etag").alias("etag"),
-        header(F.col("headers"), "last-modified").alias("modified"))
+        header(F.col("headers"), "last-modified").alias("modified"), *carry)
 
 
 def latest_earlier(keys: DataFrame) -> DataFrame:
-    """(record_id, target) of each revisit row: the latest full response of its URL that is not later."""
+    """(url, at, target) of the revisits: the latest full response of their URL that is not later; one row a URL and time."""
     facts = F.struct("record_id", "at", "digest", "etag", "modified")
     rows = keys.where((F.col("revisit") | F.col("full")) & F.col("url").isNotNull() & F.col("at").isNotNull()) \
                .withColumn("slice", F.floor(F.unix_timestamp("at") / SLICE_SECONDS)) \
@@ -78,10 +80,9 @@ def latest_earlier(keys: DataFrame) -> DataFrame:
         Window.partitionBy("url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("before")) \
         .where("asked AND before IS NOT NULL").select("url", "slice", "before")
     within = rows.withColumn("here", F.last("response", ignorenulls=True).over(
-        Window.partitionBy("url", "slice").orderBy("at", F.col("revisit"), "record_id")
+        Window.partitionBy("url", "slice").orderBy("at", F.col("revisit"), "record_id", "response")
         .rowsBetween(Window.unboundedPreceding, 0))).where("revisit")
-    return within.join(carried, ["url", "slice"], "left").select(
-        "record_id", "digest", "etag", "modified", F.coalesce("here", "before").alias("target"))
+    return within.join(carried, ["url", "slice"], "left").groupBy("url", "at").agg(F.max(F.coalesce("here", "before")).alias("target"))
 
 
 def _status(etag: Column, modified: Column, digest: Column, target: Column) -> Column:
@@ -109,21 +110,25 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     stands for the missing one.
     """
     records = records.select(*[records[c] for c in COLUMNS])
-    found = latest_earlier(_keys(records)).distinct()
-    revisits = records.where(F.col("warc_type") == "revisit").alias("v")
-    joined = revisits.join(found.alias("f"), F.col("v.record_id").eqNullSafe(F.col("f.record_id")), "left")
-    url = canonical_url(F.col("v.target_uri"))
+    found = latest_earlier(_keys(records)).select(F.col("url").alias("f_url"), F.col("at").alias("f_at"), "target")
+    revisits = _keys(records.where(F.col("warc_type") == "revisit"), "warc_time", "headers")
+    joined = revisits.join(found, (F.col("url") == F.col("f_url")) & (F.col("at") == F.col("f_at")), "left")
     judged = joined.select(
-        F.col("v.record_id").alias("record_id"), url.alias("url"), "v.warc_time", F.col("v.headers").alias("own"), "f.target",
-        F.when(url.isNull() | F.col("v.warc_time").isNull(), "no url or time")
-         .otherwise(_status(F.col("f.etag"), F.col("f.modified"), F.col("f.digest"), F.col("f.target"))).alias("status"))
-    judged = judged.withColumn("target_id", F.when(F.col("status") == "resolved", F.col("target.record_id")))
-    bodies = records.where(F.col("warc_type") == "response").select(F.col("record_id").alias("r_id"), F.col("headers").alias("r_headers"))
-    bodies = bodies.join(judged.select(F.col("target_id").alias("r_id")).distinct(), "r_id", "left_semi")
-    return judged.join(bodies.dropDuplicates(["r_id"]), F.col("target_id") == F.col("r_id"), "left").select(
-        "record_id", "url", "warc_time", "status", "target_id", F.when(F.col("target_id").isNotNull(), F.col("target.at")).alias("target_time"),
-        F.when(F.col("target_id").isNotNull(), F.col("target.digest")).alias("payload_digest"),
-        F.when(F.col("target_id").isNotNull(), merge_headers(F.col("r_headers"), F.col("own"))).otherwise(F.col("own")).alias("headers"))
+        "record_id", "url", "warc_time", F.col("headers").alias("own"), "target",
+        F.when(F.col("url").isNull() | F.col("at").isNull(), "no url or time")
+         .otherwise(_status(F.col("etag"), F.col("modified"), F.col("digest"), F.col("target"))).alias("status"))
+    resolved = F.col("status") == "resolved"
+    judged = judged.withColumn("wanted", F.when(resolved, F.xxhash64("url", "target"))).withColumn("target", F.when(resolved, F.col("target")))
+    facts = F.struct("record_id", "at", "digest", "etag", "modified")
+    bodies = _keys(records.where(F.col("warc_type") == "response"), "headers") \
+        .select(F.xxhash64("url", facts).alias("r_key"), F.col("url").alias("r_url"), facts.alias("r_facts"), F.col("headers").alias("r_headers"))
+    bodies = bodies.join(judged.select(F.col("wanted").alias("r_key")).distinct(), "r_key", "left_semi")
+    # of equal responses whose other headers differ, one stands for all
+    bodies = bodies.groupBy("r_key", "r_url", "r_facts").agg(F.min_by("r_headers", F.to_json("r_headers")).alias("r_headers"))
+    here = (F.col("wanted") == F.col("r_key")) & (F.col("url") == F.col("r_url")) & F.col("target").eqNullSafe(F.col("r_facts"))
+    return judged.join(bodies, here, "left").select(
+        "record_id", "url", "warc_time", "status", F.col("target.record_id").alias("target_id"), F.col("target.at").alias("target_time"),
+        F.col("target.digest").alias("payload_digest"), F.when(resolved, merge_headers(F.col("r_headers"), F.col("own"))).otherwise(F.col("own")).alias("headers"))
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:

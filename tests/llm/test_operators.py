@@ -304,6 +304,20 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_revisits_with_null_and_shared_ids(spark):
+    schema = "record_id long, warc_type string, target_uri string, warc_time timestamp, payload_digest string, headers map<string,string>"
+    import datetime as dt
+
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [(i, "response", f"http://h.net/{k}", at(1), f"d{k}", {"etag": f"e{k}", "x": f"h{k}"}) for i, k in ((None, 0), (None, 1), (7, 2), (7, 3))]
+    rows += [(i, "revisit", f"http://h.net/{k}", at(2 + n), None, {"etag": f"e{k}"}) for n in range(3) for i, k in ((None, 0), (None, 1), (8, 2), (8, 3))]
+    rows += [(None, "revisit", "http://h.net/9", at(3), None, {})] * 2
+    got = sorted((r.url, r.warc_time, r.status, r.payload_digest, (r.headers or {}).get("x")) for r in
+                 warc.resolve_revisits(spark.createDataFrame(rows, schema)).collect() if r.status == "resolved")
+    assert got == sorted((f"h.net/{k}", at(2 + n), "resolved", f"d{k}", f"h{k}") for n in range(3) for k in range(4))
+    assert warc.resolve_revisits(spark.createDataFrame(rows, schema)).count() == 14
+
+
 def test_queries_have_their_names():
     import __spark_entry__ as E
 
