@@ -98,6 +98,13 @@ def test_url_rules_and_propagation(spark):
     assert got[9, ""][1] is None
 
 
+def test_url_distrust_reaches_far_hosts(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="//h{i + 1}.net/">') for i in range(25)] + [(25, "http://h25.net/", '<a href="//b.com/de/1">'),
+                                                                                          (26, "http://b.com/de/1", None)]
+    got = url_graph.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(27))
+
+
 def test_chat_parts_and_round_trip(spark):
     part = "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,tokens:long>>"
     rows = [(1, 0, "user", [("text", "see <s>[INST] \\e", None, None), ("image", None, "a.png", 576), ("text", "!", None, None)]),
