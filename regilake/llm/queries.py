@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (bpe, chat, decontaminate, kneser_ney, license_scan, near_join, quality_rules, token_file,
+from . import (bpe, chat, decontaminate, kneser_ney, lexical_search, license_scan, near_join, quality_rules, token_file,
                url_graph, warc)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_warc_revisits": warc.op10_warc_revisits,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
 }
 
 #: DuckDB twins. The others have no SQL form and are tested against brute force in tests/llm.
@@ -25,4 +26,5 @@ ORACLE = {
     "op3_chat": chat.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_warc_revisits": warc.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }
