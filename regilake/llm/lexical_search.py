@@ -14,10 +14,11 @@ times impact (the formula of :func:`weight` and :func:`impact`). Steps:
    terms (or one longer item). An item's weights fold into a vector over the
    coordinates, so a batch's upper bounds for a block of documents are one
    matrix product.
-4. The ``SEEDS`` highest bounds of an item are scored exactly from the whole
-   texts. The 20th score is the threshold: only documents whose bound reaches
-   it are kept, and they are scored in descending order of their bounds, in
-   slices that grow fourfold, until no bound left reaches the threshold.
+4. A histogram of each item's bounds is counted. Documents are scored exactly,
+   from the whole texts, in descending order of their bounds: first the
+   ``SLICE`` highest of each item, then slices that grow ``GROWTH``-fold. The
+   k-th best score so far is the threshold, and the search ends when no bound
+   left reaches it.
 
 Equal texts have equal scores: they are scored once, and the ``k`` least
 doc_ids of a text stand for all its rows. Texts are told apart by two 64-bit
@@ -41,14 +42,14 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import alnum_words_py, materialize, mix64, needed, parts, ship_package, table
 
-K, SLOTS, LEAST_WIDTH = 20, 2, 32
-ITEMS, TERMS, SEEDS, SLICE, STEPS = 256, 8192, 64, 256, 32
-FILTER_BITS, PART_CHARS, CELLS, BROADCAST_ROWS = 1 << 22, 4_000_000, 1_000_000, 200_000
+K, SLOTS, LEAST_WIDTH = 20, 8, 32
+ITEMS, TERMS, SLICE, GROWTH, STEPS, BINS = 256, 8192, 256, 8, 32, 32 * 53
+FILTER_BITS, PART_CHARS, CELLS, BROADCAST_PAIRS = 1 << 22, 4_000_000, 1_000_000, 400_000
 #: Impacts are at most 10 ** 6; level 0 is no term, level i stands for impacts up to the i-th value.
 LEVELS = np.concatenate([[0], np.ceil(10.0 ** 6 * 1.03 ** -np.arange(254, -1, -1))])
 
@@ -175,7 +176,7 @@ class Batch:
         return self._by_width[width]
 
     def bounds(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks of (h1, h2, bounds[text, item]), a text once a block; sums are whole numbers below 2 ** 53."""
+        """Blocks of (h1, h2, bounds[text, item]), a text once a block; sums are exact, whole numbers below 2 ** 53."""
         for b in batches:
             h1, h2 = b.column("h1").to_numpy(), b.column("h2").to_numpy()
             first = pd.DataFrame({"a": h1, "b": h2}).drop_duplicates().index.to_numpy()
@@ -191,62 +192,54 @@ class Batch:
                     yield h1[first[own]], h2[first[own]], LEVELS[grid[:, at]] @ weights
 
 
-def seeds(index: DataFrame, batch: Batch) -> DataFrame:
-    """(qid, h1, h2): the SEEDS highest bounds of each item."""
-    def best(qid, found):
-        a, b, u = map(np.concatenate, zip(*found, strict=True))
-        order = np.argsort(-u, kind="stable")
-        frame = pd.DataFrame({"qid": qid, "h1": a[order], "h2": b[order], "bound": u[order].astype(np.int64)})
-        return frame.drop_duplicates(["h1", "h2"]).head(SEEDS)
+def bins_of(bounds: np.ndarray) -> np.ndarray:
+    """STEPS bins to a power of two; 0 for no bound at all."""
+    return np.floor(STEPS * np.log2(np.maximum(bounds, 1))).astype(np.int64)
 
+
+def histogram(index: DataFrame, batch: Batch) -> np.ndarray:
+    """Documents by item and bin of their bound: ITEMS * BINS numbers at most (or one item's BINS)."""
     def run(batches):
-        found = [[] for _ in batch.qids]
-        cut, held = np.zeros(len(batch.qids)), np.zeros(len(batch.qids), np.int64)
-        for a, b, u in batch.bounds(batches):
-            for q in np.flatnonzero((u > cut).any(axis=0)):
-                rows = np.flatnonzero(u[:, q] > cut[q])
-                found[q].append((a[rows], b[rows], u[rows, q]))
-                held[q] += len(rows)
-                if held[q] > 16 * SEEDS:
-                    top = best(batch.qids[q], found[q])
-                    found[q] = [(top.h1.to_numpy(), top.h2.to_numpy(), top.bound.to_numpy(np.float64))]
-                    held[q] = len(top)
-                    if len(top) == SEEDS:
-                        cut[q] = top.bound.iloc[-1]
-        out = [best(q, f) for q, f in zip(batch.qids, found, strict=True) if f]
-        if out:
-            yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
-
-    rows = index.select("h1", "h2", "sketch").mapInArrow(run, "qid long, h1 long, h2 long, bound long").distinct()
-    w = Window.partitionBy("qid").orderBy(F.desc("bound"), "h1", "h2")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= SEEDS).select("qid", "h1", "h2")
-
-
-def reaching(index: DataFrame, batch: Batch, threshold: dict[int, int]) -> DataFrame:
-    """(qid, h1, h2, bound): all texts whose bound reaches the item's threshold."""
-    least = np.array([threshold[q] for q in batch.qids.tolist()], np.float64)
+        n = len(batch.qids)
+        seen = np.zeros(n * BINS, np.int64)
+        for _, _, u in batch.bounds(batches):
+            seen += np.bincount((bins_of(u) + np.arange(n) * BINS).ravel(), minlength=n * BINS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
+
+    rows = index.select("h1", "h2", "sketch").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(len(batch.qids) * BINS, np.int64)
+    seen[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return seen.reshape(-1, BINS)
+
 
+def within(index: DataFrame, batch: Batch, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> DataFrame:
+    """(qid, h1, h2): texts whose bound is ``least`` at least and whose bin is from ``low`` to below ``high``, by item."""
     def run(batches):
         for a, b, u in batch.bounds(batches):
-            row, q = np.nonzero(u >= least)
+            found = bins_of(u)
+            row, q = np.nonzero((u >= least) & (found >= low) & (found < high))
             if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(batch.qids[q]), pa.array(a[row]), pa.array(b[row]), pa.array(u[row, q].astype(np.int64))],
-                                                 names=["qid", "h1", "h2", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(batch.qids[q]), pa.array(a[row]), pa.array(b[row])], names=["qid", "h1", "h2"])
 
-    return index.select("h1", "h2", "sketch").mapInArrow(run, "qid long, h1 long, h2 long, bound long").distinct()
+    return index.select("h1", "h2", "sketch").mapInArrow(run, "qid long, h1 long, h2 long").distinct()
 
 
-def _small(rows: DataFrame) -> DataFrame:
+def _small(rows: DataFrame, size: Column | int = 1) -> DataFrame:
     """``rows`` (a written table) with a broadcast hint, if counting shows that they are few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    total = rows.agg(F.sum(F.lit(size) if isinstance(size, int) else size)).first()[0] or 0
+    return F.broadcast(rows) if total <= BROADCAST_PAIRS else rows
 
 
 def rescored(docs: DataFrame, pairs: DataFrame, batch: Batch, documents: int, terms: int) -> DataFrame:
     """(qid, h1, h2, score): exact scores of the pairs (qid, h1, h2) from the whole texts."""
     def run(batches):
         for b in batches:
-            out = []
+            out, seen = [], set()
             for h1, h2, text, qids in zip(*[b.column(c).to_pylist() for c in ("h1", "h2", "text", "qids")], strict=True):
+                if (h1, h2) in seen:
+                    continue
+                seen.add((h1, h2))
                 words = alnum_words_py(text)
                 counted, factor = Counter(words), length_factor(len(words), documents, terms)
                 for q in qids:
@@ -258,41 +251,32 @@ def rescored(docs: DataFrame, pairs: DataFrame, batch: Batch, documents: int, te
 
     # a text is asked for by each of the batch's items once at most
     asked = materialize(pairs.groupBy("h1", "h2").agg(F.collect_set("qid").alias("qids")), "lexical-asked")
-    found = _keyed(docs).select("h1", "h2", "text").join(_small(asked), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
-    return materialize(found.mapInArrow(run, "qid long, h1 long, h2 long, score long"), "lexical-scores")
+    found = _keyed(docs).select("h1", "h2", "text").join(_small(asked, F.size("qids")), ["h1", "h2"])
+    return materialize(found.mapInArrow(run, "qid long, h1 long, h2 long, score long").distinct(), "lexical-scores")
 
 
-def thresholds(scores: DataFrame, batch: Batch, k: int) -> dict[int, int]:
+def thresholds(scores: DataFrame, batch: Batch, k: int) -> np.ndarray:
     """The k-th best score of each item's texts so far; 1 where there are fewer."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"))
     rows = scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     found = {r.qid: r.least for r in rows.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).collect()}
-    return {q: found.get(q, 1) for q in batch.qids.tolist()}
+    return np.array([found.get(q, 1) for q in batch.qids.tolist()], np.int64)
 
 
-def best_documents(spark: SparkSession, docs: DataFrame, index: DataFrame, batch: Batch, documents: int, terms: int, k: int) -> DataFrame:
+def best_documents(docs: DataFrame, index: DataFrame, batch: Batch, documents: int, terms: int, k: int) -> DataFrame:
     """(qid, rank, doc_id, score) of one batch of items."""
-    first = materialize(seeds(index, batch), "lexical-seeds")
-    scores = rescored(docs, first, batch, documents, terms)
-    threshold = thresholds(scores, batch, k)
-    left = materialize(reaching(index, batch, threshold).join(first, ["qid", "h1", "h2"], "left_anti")
-                       .withColumn("bin", F.floor(STEPS * F.log2("bound")).cast("int")), "lexical-left")
-    above, size = dict.fromkeys(threshold, 1 << 30), SLICE
-    while True:
-        # (qid, threshold, bins already scored): a row for each item of the batch
-        state = F.broadcast(spark.createDataFrame([(q, threshold[q], above[q]) for q in threshold], "qid long, least long, above int"))
-        open_ = left.join(state, "qid").where((F.col("bound") >= F.col("least")) & (F.col("bin") < F.col("above")))
-        bins = open_.groupBy("qid", "bin").agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("bin")))
-        cuts = {r.qid: r.cut for r in bins.withColumn("before", upto - F.col("n")).where(F.col("before") < size)
-                .groupBy("qid").agg(F.min("bin").alias("cut")).collect()}
-        if not cuts:
-            break
-        cut = F.broadcast(spark.createDataFrame(list(cuts.items()), "qid long, cut int"))
-        taken = open_.join(cut, "qid").where(F.col("bin") >= F.col("cut")).select("qid", "h1", "h2")
-        scores = scores.unionByName(rescored(docs, taken, batch, documents, terms))
-        threshold = thresholds(scores, batch, k)
-        above, size = above | cuts, 4 * size
+    n = len(batch.qids)
+    seen = histogram(index, batch)
+    at_least = np.cumsum(seen[:, ::-1], axis=1)[:, ::-1]  # documents in a bin or a higher one
+    least, high, size, scores = np.ones(n, np.int64), np.full(n, BINS), SLICE, None
+    while scores is None or (high > bins_of(least)).any():
+        # from the highest bin that has ``size`` documents with all above it, or as far down as the threshold allows
+        low = np.minimum(np.maximum((at_least >= size).sum(axis=1) - 1, bins_of(least)), high)
+        if scores is None or any(seen[i, low[i]:high[i]].any() for i in range(n)):
+            found = rescored(docs, within(index, batch, low, high, least), batch, documents, terms)
+            scores = found if scores is None else scores.unionByName(found)
+            least = thresholds(scores, batch, k)
+        high, size = low, size * GROWTH
     w = Window.partitionBy("qid").orderBy(F.desc("score"))
     texts = materialize(scores.withColumn("place", F.rank().over(w)).where(F.col("place") <= k).drop("place"), "lexical-texts")
     order = F.col("doc_id").asc_nulls_last()
@@ -327,7 +311,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     weighed = materialize(asked.join(df, "term").select("qid", "term", (weight * F.col("tf")).alias("weight")).where(F.col("weight") > 0)
                           .groupBy("qid").agg(F.collect_list(F.struct("term", "weight")).alias("terms")), "lexical-weights")
     index = sketches(docs, documents, terms)
-    found = [best_documents(spark, docs, index, batch, documents, terms, k) for batch in batches_of(weighed)]
+    found = [best_documents(docs, index, batch, documents, terms, k) for batch in batches_of(weighed)]
     names = asked.select("qid", "item_id").distinct()
     if not found:
         kind = docs.schema["doc_id"].dataType

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bpe, chat, decontaminate, kneser_ney, lexical_search, license_scan, near_join, quality_rules, token_file,
+from . import (bpe, chat, decontaminate, kneser_ney, lexical_search, license_scan, mixing, near_join, quality_rules,
+               token_file,
                url_graph, warc)
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_warc_revisits": warc.op10_warc_revisits,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_mix_sources": mixing.op12_mix_sources,
 }
 
 #: DuckDB twins. The others have no SQL form and are tested against brute force in tests/llm.
