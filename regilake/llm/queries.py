@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bpe, chat, decontaminate, kneser_ney, lexical_search, license_scan, mixing, near_join, quality_rules,
-               token_file,
-               url_graph, warc)
+from . import (bpe, chat, decontaminate, drift_means, kneser_ney, lexical_search, license_scan, mixing, near_join,
+               quality_rules, token_file, url_graph, warc)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,6 +18,7 @@ QUERIES = {
     "op10_warc_revisits": warc.op10_warc_revisits,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_mix_sources": mixing.op12_mix_sources,
+    "op13_drift_means": drift_means.op13_drift_means,
 }
 
 #: DuckDB twins. The others have no SQL form and are tested against brute force in tests/llm.
@@ -29,4 +29,5 @@ ORACLE = {
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_warc_revisits": warc.ORACLE,
     "op11_lexical_search": lexical_search.ORACLE,
+    "op13_drift_means": drift_means.ORACLE,
 }
