@@ -6,9 +6,10 @@ itself is a single predicate that Catalyst pushes below projections.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_text_py
 
 MAX_CODES = 500
-# Above this many codes the IN list becomes a broadcast left-semi join.
-IN_LIST_LIMIT = 64
 FILTER_KEYS = frozenset({"uf", "gestao", "convenio_sus", "municipio", "tipo_estabelecimento",
                          "natureza_juridica", "min_leitos", "max_leitos", "cnes_list"})
 
@@ -64,16 +63,14 @@ class Filters:
                 raise ValueError(f"codes must have 7 digits: {bad[:3]}")
 
 
-def predicate(f: Filters) -> Column:
-    """Exact (uf, gestao upper; flag), partial (case-insensitive contains),
-    inclusive bed range and code list -- all ANDed."""
+def unit_predicate(f: Filters) -> Column:
+    """What an establishment's own columns decide: exact state and management,
+    partial city, type and legal nature (case-insensitive), code list."""
     cond = F.lit(True)
     if f.uf is not None:
         cond = cond & (F.col("uf") == F.lit(str(f.uf).upper()))
     if f.gestao is not None:
         cond = cond & (F.col("gestao") == F.lit(str(f.gestao).upper()))
-    if f.convenio_sus is not None:
-        cond = cond & (F.col("convenio_sus") == F.lit(bool(f.convenio_sus)))
     if f.municipio:
         cond = cond & F.contains(F.lower("municipio_normalizado"),
                                  F.lit(norm_text_py(f.municipio).lower()))
@@ -83,23 +80,45 @@ def predicate(f: Filters) -> Column:
     if f.natureza_juridica:
         cond = cond & F.contains(F.lower("natureza_juridica"),
                                  F.lit(f.natureza_juridica.lower()))
+    if f.cnes_list:  # at most MAX_CODES; Spark turns a long IN into one hash set
+        cond = cond & F.col("cnes").isin([str(c) for c in f.cnes_list])
+    return cond
+
+
+def bed_predicate(f: Filters) -> Column:
+    """What the bed totals decide: agreement flag and inclusive bed range."""
+    cond = F.lit(True)
+    if f.convenio_sus is not None:
+        cond = cond & (F.col("convenio_sus") == F.lit(bool(f.convenio_sus)))
     if f.min_leitos is not None:
         cond = cond & (F.col("leitos_existentes") >= F.lit(int(f.min_leitos)))
     if f.max_leitos is not None:
         cond = cond & (F.col("leitos_existentes") <= F.lit(int(f.max_leitos)))
-    if f.cnes_list and len(f.cnes_list) <= IN_LIST_LIMIT:
-        cond = cond & F.col("cnes").isin([str(c) for c in f.cnes_list])
     return cond
 
 
+def predicate(f: Filters) -> Column:
+    return unit_predicate(f) & bed_predicate(f)
+
+
+def as_filters(filters: Filters | Mapping[str, Any] | None) -> Filters:
+    return filters if isinstance(filters, Filters) else Filters.from_mapping(filters)
+
+
+def filters_json(filters: Filters | Mapping[str, Any] | None) -> str:
+    """The filters that are set, as sorted JSON in canonical form: the catalog's record and part of a batch's identity."""
+    f = as_filters(filters)
+    values = {k: v for k, v in asdict(f).items() if v is not None and v != () and v != ""}
+    for k in ("uf", "gestao"):
+        if k in values:
+            values[k] = str(values[k]).upper()
+    if "cnes_list" in values:
+        values["cnes_list"] = sorted(set(map(str, values["cnes_list"])))
+    return json.dumps(values, sort_keys=True, ensure_ascii=False)
+
+
 def apply_filters(df: DataFrame, filters: Filters | Mapping[str, Any] | None) -> DataFrame:
-    f = filters if isinstance(filters, Filters) else Filters.from_mapping(filters)
-    out = df.where(predicate(f))
-    if f.cnes_list and len(f.cnes_list) > IN_LIST_LIMIT:
-        # Bounded by MAX_CODES, so the broadcast side has a proven size.
-        codes = df.sparkSession.createDataFrame([(str(c),) for c in f.cnes_list], "cnes string")
-        out = out.join(F.broadcast(codes), "cnes", "left_semi")
-    return out
+    return df.where(predicate(as_filters(filters)))
 
 
 def for_batch(lake: DataFrame, batch_id: str | None) -> DataFrame:

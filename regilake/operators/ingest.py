@@ -18,8 +18,9 @@ TEXT_FIELDS = ("nome_fantasia", "municipio", "uf", "tipo_estabelecimento",
                "natureza_juridica", "gestao")
 
 
-def exact_dedupe(raw: DataFrame, content: Sequence[str], ordinal: str = "_ord") -> DataFrame:
-    """Keep one row per exact content (the first in file order) + ``_copies``.
+def exact_dedupe(raw: DataFrame, content: Sequence[str], ordinal: str = "_ord", within: Sequence[str] = ()) -> DataFrame:
+    """Keep one row per exact content (the first in file order) + ``_copies``;
+    ``within`` names columns (the file) whose values are deduplicated apart.
 
     The signature is SHA-256 of the JSON of the named columns (header names
     included). One shuffle: ``min(struct(ordinal, row))`` is combined map-side,
@@ -29,12 +30,12 @@ def exact_dedupe(raw: DataFrame, content: Sequence[str], ordinal: str = "_ord")
         sig = F.sha2(F.col(content[0]), 256)  # already a canonical text
     else:
         sig = F.sha2(F.to_json(F.struct(*[F.col(c) for c in content])), 256)
-    # The signature replaces the content columns; only the row travels.
-    others = [c for c in raw.columns if c != ordinal and not (c.startswith("_content"))]
-    firsts = raw.withColumn("_sig", sig).groupBy("_sig").agg(
+    # the JSON of all columns stays behind; the typed row travels with the ordinal
+    others = [c for c in raw.columns if c != ordinal and c not in within and not c.startswith("_content")]
+    firsts = raw.withColumn("_sig", sig).groupBy(*within, "_sig").agg(
         F.min(F.struct(F.col(ordinal), *[F.col(c) for c in others])).alias("_r"),
         F.count(F.lit(1)).alias("_copies"))
-    return firsts.select("_r.*", "_copies")
+    return firsts.select(*within, "_r.*", "_copies")
 
 
 def validate_rows(rows: DataFrame, has_sus_column: bool = True) -> DataFrame:
@@ -63,7 +64,7 @@ def validate_rows(rows: DataFrame, has_sus_column: bool = True) -> DataFrame:
                     | ~((competence == "") | competence_valid(competence)) | ((flag_raw != "") & ~flag_ok),
                     F.lit("valor_invalido")))
     texts = [F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) for c in TEXT_FIELDS]
-    passthrough = [c for c in ("_copies",) if c in rows.columns]
+    passthrough = [c for c in ("_file", "_copies") if c in rows.columns]
     return rows.select(
         "_ord", *passthrough, cnes.alias("cnes"), *texts,
         competence.alias("competencia"),
@@ -75,42 +76,23 @@ def _first_non_empty(c: str, ordinal: str) -> Column:
     return F.coalesce(F.min(F.when(F.col(c) != "", F.struct(F.col(ordinal), F.col(c))))[c], F.lit(""))
 
 
-def consolidate(accepted: DataFrame, ordinal: str = "_ord") -> DataFrame:
-    """One row per (cnes, competencia): first non-empty text in file order,
+def consolidate(accepted: DataFrame, ordinal: str = "_ord", keys: Sequence[str] = ()) -> DataFrame:
+    """One row per (keys, cnes, competencia): first non-empty text in file order,
     OR of the SUS flag, SUM of beds. All partial-aggregatable."""
-    return accepted.groupBy("cnes", "competencia").agg(
+    return accepted.groupBy(*keys, "cnes", "competencia").agg(
         *[_first_non_empty(c, ordinal).alias(c) for c in TEXT_FIELDS],
         F.bool_or("convenio_sus").alias("convenio_sus"),
         F.sum("leitos_existentes").cast("bigint").alias("leitos_existentes"),
         F.sum("leitos_sus").cast("bigint").alias("leitos_sus"))
 
 
-def load_summary(raw: DataFrame, deduped: DataFrame, validated: DataFrame,
-                 consolidated: DataFrame) -> DataFrame:
-    """One-row audit: read / accepted (consolidated rows) / rejected / ignored
-    and the reasons as sorted-key JSON."""
-    read = raw.agg(F.count(F.lit(1)).alias("rows_read"))
-    kept = deduped.agg(F.count(F.lit(1)).alias("_kept"))
-    rej = validated.where(F.col("reject_reason").isNotNull()).groupBy("reject_reason").count()
-    reasons = rej.agg(
-        F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("rows_rejected"),
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("reject_reason", "count"))))).alias("rejection_reasons"))
-    acc = consolidated.agg(F.count(F.lit(1)).alias("accepted_count"))
-    out = read.crossJoin(kept).crossJoin(reasons).crossJoin(acc)
-    return out.select("rows_read", "accepted_count", "rows_rejected",
-                      (F.col("rows_read") - F.col("_kept")).alias("rows_ignored"),
-                      F.coalesce("rejection_reasons", F.lit("{}")).alias("rejection_reasons"))
-
-
-def load_summary_from_validated(validated: DataFrame, accepted_count: int) -> DataFrame:
-    """Same audit from the validated distinct rows alone (carrying ``_copies``):
-    read = sum of copies, ignored = read - distinct rows."""
-    per_reason = validated.groupBy("reject_reason").agg(
+def load_audit(validated: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """read / rejected / ignored rows and the reasons, per ``keys``, from the validated
+    distinct rows alone (carrying ``_copies``): read = sum of copies, ignored = read - distinct rows."""
+    per_reason = validated.groupBy(*keys, "reject_reason").agg(
         F.sum("_copies").alias("_read"), F.count(F.lit(1)).alias("_rows"))
-    return per_reason.agg(
+    return per_reason.groupBy(*keys).agg(
         F.sum("_read").cast("bigint").alias("rows_read"),
-        F.lit(accepted_count).cast("bigint").alias("accepted_count"),
         F.coalesce(F.sum(F.when(F.col("reject_reason").isNotNull(), F.col("_rows"))), F.lit(0))
          .cast("bigint").alias("rows_rejected"),
         (F.sum("_read") - F.sum("_rows")).cast("bigint").alias("rows_ignored"),
@@ -119,8 +101,16 @@ def load_summary_from_validated(validated: DataFrame, accepted_count: int) -> Da
             F.lit("{}")).alias("rejection_reasons"))
 
 
-def content_digest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free multiset digest of canonical rows (one row, one column).
+def load_summary(validated: DataFrame, consolidated: DataFrame) -> DataFrame:
+    """One-row audit: the counts of the validated rows beside the number of consolidated rows (a scalar subquery)."""
+    accepted = consolidated.agg(F.count(F.lit(1)).alias("n")).scalar()
+    audit = load_audit(validated)
+    return audit.select(F.coalesce("rows_read", F.lit(0)).alias("rows_read"), accepted.alias("accepted_count"),
+                        "rows_rejected", F.coalesce("rows_ignored", F.lit(0)).alias("rows_ignored"), "rejection_reasons")
+
+
+def content_digest(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Order-free multiset digest of canonical rows, per ``keys`` (one row, one column without).
 
     Per-row SHA-256 of the sorted-key JSON; the batch digest hashes the row
     count and the sums of the eight 4-byte slices (all 256 bits),
@@ -128,9 +118,9 @@ def content_digest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     h = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
     slices = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
-    agg = rows.select(*[s.alias(f"_s{i}") for i, s in enumerate(slices)]).agg(
+    agg = rows.select(*keys, *[s.alias(f"_s{i}") for i, s in enumerate(slices)]).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(f"_s{i}").cast("decimal(38,0)").alias(f"_t{i}") for i in range(8)])
-    return agg.select(F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in
-                                               ("_n", *(f"_t{i}" for i in range(8)))]), 256)
+    return agg.select(*keys, F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in
+                                                      ("_n", *(f"_t{i}" for i in range(8)))]), 256)
                       .alias("content_sha256"))

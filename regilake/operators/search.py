@@ -62,13 +62,13 @@ def by_code(lake: DataFrame, code: str) -> DataFrame:
             .limit(1))
 
 
-def by_municipality(rows: DataFrame, name: str, min_beds: int | None = None,
-                    max_beds: int | None = None, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    return search(rows, {"municipio": name, "min_leitos": min_beds, "max_leitos": max_beds},
-                  "municipio", 0, limit)
+def by_municipality(rows: DataFrame, name: str, filters: Mapping[str, Any] | None = None,
+                    order_by: str = "leitos_existentes", limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Units of a city, largest first; ``filters`` are the other search filters."""
+    return search(rows, {**(filters or {}), "municipio": name}, order_by, 0, limit)
 
 
-def by_uf(rows: DataFrame, uf: str, min_beds: int | None = None,
-          max_beds: int | None = None, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    return search(rows, {"uf": uf, "min_leitos": min_beds, "max_leitos": max_beds},
-                  "leitos_existentes", 0, limit)
+def by_uf(rows: DataFrame, uf: str, filters: Mapping[str, Any] | None = None,
+          order_by: str = "leitos_existentes", limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Units of a state, largest first; ``filters`` are the other search filters."""
+    return search(rows, {**(filters or {}), "uf": uf}, order_by, 0, limit)

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as AG
-from ..operators.filters import apply_filters
+from ..operators.filters import apply_filters, match_collector
 from ..sources.driver_tables import registry_lake
+from ..sources.lookups import PRIVATE_NATURE_CODES
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -95,6 +96,46 @@ def search_page_municipio_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.page_with_total(page, total)
 
 
+@register("search_city")
+def search_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The city tool with its defaults: largest units first."""
+    rows = for_batch(registry_lake(spark, sf_dir), PAIR_B)
+    page, total = SE.by_municipality(rows, "natíon_1", {"gestao": "e", "max_leitos": 400, "tipo_estabelecimento": "HOSPITAL"})
+    return SE.page_with_total(page, total)
+
+
+@register("search_state")
+def search_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = for_batch(registry_lake(spark, sf_dir), PAIR_B)
+    page, total = SE.by_uf(rows, "go", {"natureza_juridica": "sociedade", "convenio_sus": True})
+    return SE.page_with_total(page, total)
+
+
+@register("search_codes")
+def search_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of 500 codes (the tool's limit) in every batch."""
+    codes = [f"{i:07d}" for i in range(3, 1503, 3)]
+    rows = apply_filters(registry_lake(spark, sf_dir), {"cnes_list": codes})
+    return rows.select("batch_id", "cnes", "municipio", "leitos_existentes", "leitos_sus")
+
+
+@register("agg_by_city")
+def agg_by_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AG.aggregate_by(apply_filters(registry_lake(spark, sf_dir), {"uf": "am"}), "municipio", "leitos_sus")
+
+
+@register("collector_match")
+def collector_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collector's rule over raw release rows: city, bed range and private legal nature codes."""
+    t = release_tables(spark, sf_dir)
+    beds = RL.bed_totals(t["leitos"], t["leito"], t["tipo_leito"])
+    units = RL.first_unit_per_code(t["estabelecimento"]).withColumn("co_unidade", F.trim("co_unidade")) \
+        .join(beds, ["competencia", "co_unidade"]).join(t["municipio"].select(F.col("codigo").alias("municipio"), "nome"), "municipio")
+    rows = units.select("competencia", "cnes", F.col("nome").alias("municipio"), F.col("natureza").alias("natureza_juridica"),
+                        F.coalesce("total_exist", F.lit(0)).cast("bigint").alias("leitos_existentes"))
+    return match_collector(rows, "Nátion_2", 20, 300, PRIVATE_NATURE_CODES)
+
+
 @register("by_code")
 def by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.by_code(_both_imports(spark, sf_dir), "0000010").select(
@@ -254,7 +295,8 @@ def consolidate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("load_summary_events")
 def load_summary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return IG.load_summary(*_event_load(spark, sf_dir))
+    _, _, validated, consolidated = _event_load(spark, sf_dir)
+    return IG.load_summary(validated, consolidated)
 
 
 @register("content_digest_events")
@@ -272,12 +314,12 @@ def exact_dedupe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- text, rollups, exports, catalog ---------------------------------------------------
 from ..functions import text as TX  # noqa: E402
-from ..functions.rules import dedupe_key  # noqa: E402
 from ..operators.rollup import top_bucket_rollup  # noqa: E402
-from ..schema import CRM_COLUMNS  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
 from ..sources import lake as LK  # noqa: E402
+from . import export as EX  # noqa: E402
+from .release_ingest import ingest_binding  # noqa: E402
 from ..sources.driver_tables import NATURE_CODES  # noqa: E402
-from ..sources.lookups import PRIVATE_NATURE_CODES  # noqa: E402
 from ..functions.rules import prefix_any  # noqa: E402
 
 
@@ -312,16 +354,8 @@ def top_bucket_rollup_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("crm_projection")
 def crm_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = for_batch(registry_lake(spark, sf_dir), PAIR_B)
-    cols = []
-    for name in CRM_COLUMNS:
-        if name == "chave_deduplicacao":
-            cols.append(dedupe_key("cnes", "cnpj").alias(name))
-        elif name in ("habilitacoes", "campos_ausentes"):
-            cols.append(F.array_join(name, ",").alias(name))
-        else:
-            cols.append(F.col(name))
-    return rows.select(*cols)
+    rows = EX.crm_projection(for_batch(registry_lake(spark, sf_dir), PAIR_B))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("habilitacoes", "campos_ausentes")})
 
 
 def _catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,3 +431,59 @@ def score_leads_history(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .drop("competencia").withColumnRenamed("_next", "competencia")
     scored = SC.score_leads(current, prior, SCORE_WEIGHTS, keys=("competencia",))
     return scored.withColumn("campos_ausentes", F.array_join("campos_ausentes", ","))
+
+
+# --- the written lake ------------------------------------------------------------------------
+FETCH_FILTERS = {"uf": "go", "tipo_estabelecimento": "Hospital", "min_leitos": 20, "max_leitos": 5000}
+
+
+@register("fetch_filtered")
+def fetch_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a fetch with filters publishes: the clauses work on the raw release tables."""
+    rows = registry_lake(spark, sf_dir, FETCH_FILTERS)
+    return rows.select("batch_id", "cnes", "uf", "tipo_estabelecimento", "leitos_existentes", "leitos_sus", "leitos_clinicos",
+                       F.array_join("habilitacoes", ",").alias("habilitacoes"), "total_habilitacoes",
+                       F.array_join("campos_ausentes", ",").alias("campos_ausentes"))
+
+
+@register("fetch_filtered_beds")
+def fetch_filtered_beds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters on bed totals alone still spare other units' qualifications."""
+    rows = registry_lake(spark, sf_dir, {"convenio_sus": False, "max_leitos": 60})
+    return rows.select("batch_id", "cnes", "leitos_existentes", "leitos_sus", "convenio_sus", "total_habilitacoes")
+
+
+def written_lake(spark: SparkSession, sf_dir: str) -> str:
+    """Both imports written as a lake of their own in the shared folder; its root."""
+    import uuid
+    root = f"{checkpoint_dir(spark).rstrip('/')}/lakes/{uuid.uuid4().hex}"
+    ingest_binding(spark, sf_dir, root)
+    return root
+
+
+def _by_state(lake: DataFrame) -> DataFrame:
+    return lake.groupBy("batch_id", "imported_at", "uf").agg(
+        F.count("*").alias("estabelecimentos"), F.sum("leitos_existentes").alias("leitos_existentes"))
+
+
+@register("written_lake_by_state")
+def written_lake_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lake as users have it: written, then read through the catalog, whose choice of batches prunes partitions."""
+    root = written_lake(spark, sf_dir)
+    return _by_state(LK.read_lake(spark, root, LK.read_catalog(spark, root).where(F.col("imported_at") < "1997")))
+
+
+@register("written_lake_batches")
+def written_lake_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing from the catalog alone."""
+    return LK.list_catalogued(LK.read_catalog(spark, written_lake(spark, sf_dir))).drop("filters_json")
+
+
+@register("written_lake_retained")
+def written_lake_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lake after one batch was purged and retention kept the current one and the three newest others."""
+    root = written_lake(spark, sf_dir)
+    LK.remove_batches(spark, root, ["V199812"])
+    LK.retain(spark, root, 4, "R199912")
+    default = LK.default_batch(spark, root)["batch_id"]
+    return _by_state(LK.read_lake(spark, root)).withColumn("padrao", F.col("batch_id") == default)

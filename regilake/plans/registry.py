@@ -7,7 +7,6 @@ small dict of them) built from the partition-pruned lake.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -48,10 +47,10 @@ class Registry:
     def _batch_row(self, batch_id: str | None) -> dict[str, Any]:
         cat = self.catalog()
         if batch_id is None:
-            rows = cat.orderBy(F.desc("imported_at"), F.desc("batch_id")).limit(1).collect()
-            if not rows:
+            row = LK.default_batch(self.spark, self.root)
+            if row is None:
                 raise BatchError("no batch loaded")
-            return rows[0].asDict()
+            return row
         rows = cat.where(F.col("batch_id") == batch_id).collect()  # at most one row
         if not rows:
             raise BatchError(f"unknown batch: {batch_id}")
@@ -86,13 +85,17 @@ class Registry:
         page, total = SE.search(rows, filters, order_by, offset, limit, v2=v2)
         return {"batch_id": b["batch_id"], "rows": page, "total": total}
 
-    def by_municipality(self, name, min_beds=None, max_beds=None, limit=500):
-        _, rows = self._rows(None)
-        return SE.by_municipality(rows, name, min_beds, max_beds, limit)
+    def by_municipality(self, name, limit=50, order_by="leitos_existentes", batch_id=None, **filters):
+        """``filters``: uf, tipo_estabelecimento, natureza_juridica, gestao, convenio_sus, min_leitos, max_leitos."""
+        b, rows = self._rows(batch_id)
+        page, total = SE.by_municipality(rows, name, filters, order_by, limit)
+        return {"batch_id": b["batch_id"], "rows": page, "total": total}
 
-    def by_uf(self, uf, min_beds=None, max_beds=None, limit=500):
-        _, rows = self._rows(None)
-        return SE.by_uf(rows, uf, min_beds, max_beds, limit)
+    def by_uf(self, uf, limit=100, order_by="leitos_existentes", batch_id=None, **filters):
+        """``filters``: municipio and those of :meth:`by_municipality`."""
+        b, rows = self._rows(batch_id)
+        page, total = SE.by_uf(rows, uf, filters, order_by, limit)
+        return {"batch_id": b["batch_id"], "rows": page, "total": total}
 
     def by_code(self, code: str) -> DataFrame:
         return SE.by_code(self.lake(), code)
@@ -148,11 +151,33 @@ class Registry:
         return {"leads": SC.top_leads(scored, limit), "warnings": self._warnings(a, b)}
 
     def list_batches(self) -> DataFrame:
-        return LK.list_batches(self.lake(), self.catalog())
+        return LK.list_catalogued(self.catalog())
 
     def retention_victims(self, keep: int, current: str | None = None) -> DataFrame:
         return LK.retention_victims(self.list_batches(), keep, current)
 
+    def purge(self, batch_id: str) -> dict[str, Any]:
+        """Remove one batch; the newest one left becomes the default if it was that."""
+        gone = LK.remove_batches(self.spark, self.root, [batch_id])[0]
+        default = LK.default_batch(self.spark, self.root)
+        return {**gone, "default": default and default["batch_id"]}
+
+    def retain(self, keep: int) -> list[dict[str, Any]]:
+        """Keep the default batch and the newest others, ``keep`` in all."""
+        default = LK.default_batch(self.spark, self.root)
+        return LK.retain(self.spark, self.root, keep, default and default["batch_id"])
+
+    def register(self, path: str, **context) -> dict[str, Any]:
+        return LK.register_parquet(self.spark, path, self.root, **context)
+
+    def normalize(self, paths: Sequence[str], dest: str) -> dict[str, Any]:
+        from .normalize import normalize_csv
+        return normalize_csv(self.spark, list(paths), dest)
+
+    def competences(self, rows: DataFrame, column: str, year: int | None = None) -> DataFrame:
+        from ..sources.manifest import competences_in_file
+        return competences_in_file(rows, column, year)
+
     def export(self, fmt, dest, filters=None, codes=None, order_by="cnes", offset=0, limit=None,
                profile=None, batch_id=None):
         b = self._batch_row(batch_id)  # resolved once: the export is a snapshot
@@ -164,9 +189,5 @@ class Registry:
     def load(self, paths: Sequence[str]) -> dict[str, Any]:
         return load_csv(self.spark, list(paths), self.root)
 
-    def fetch(self, archives: Sequence[str], landing: str) -> list[dict]:
-        return fetch_releases(self.spark, list(archives), self.root, landing)
-
-    @staticmethod
-    def filters_json(filters: Mapping[str, Any] | None) -> str:
-        return json.dumps(dict(filters or {}), sort_keys=True, ensure_ascii=False)
+    def fetch(self, archives: Sequence[str], landing: str, filters: Mapping[str, Any] | None = None) -> list[dict]:
+        return fetch_releases(self.spark, list(archives), self.root, landing, filters)

@@ -6,20 +6,28 @@ catalog rows last; a retried job rewrites the same partitions.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Mapping, Sequence
+from typing import Any
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.filters import Filters, filters_json
 from ..sources import lake as LK
-from ..sources.driver_tables import registry_lake, revision_lake
+from ..sources.archives import ArchiveError, competence_of, land_releases, landed_tables, open_seekable
+from ..sources.driver_tables import registry_lake, release_imported_at, revision_imported_at, revision_lake
+from ..sources.release import normalize_release
 
 
 def ingest_binding(spark: SparkSession, sf_dir: str, root: str) -> dict[str, int]:
-    """Normalise both imports of the driver-table binding into ``root``."""
+    """Normalise both imports of the driver-table binding into ``root``, one commit each."""
     counts = {}
-    for name, build in (("release", registry_lake), ("revision", revision_lake)):
-        rows = build(spark, sf_dir)
-        LK.write_batches(rows, root)
-        written = LK.read_lake_unchecked(spark, root, rows)
-        entries = LK.catalog_entries(written, source=f"binding_{name}")
+    for name, prefix, build, imported_at in (("release", "R", registry_lake, release_imported_at()),
+                                             ("revision", "V", revision_lake, revision_imported_at())):
+        LK.write_batches(build(spark, sf_dir), root)
+        written = LK.read_facilities(spark, root).where(F.col("batch_id").startswith(prefix))
+        entries = LK.catalog_entries(written, f"binding_{name}", imported_at)
         LK.append_catalog_rows(spark, root, entries)
         counts[name] = sum(e["accepted_count"] for e in entries)
     return counts
@@ -28,71 +36,69 @@ def ingest_binding(spark: SparkSession, sf_dir: str, root: str) -> dict[str, int
 NORMALIZER_VERSION = "regilake-release-1"
 
 
-def archive_versions(spark: SparkSession, archives: list[str]) -> list[dict]:
-    """(path, competence, version) from file metadata only (size + mtime)."""
-    import re
-
-    from ..sources.manifest import ARCHIVE_RE
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = re.compile(ARCHIVE_RE.replace("(?i)", ""), re.IGNORECASE)
-    out = []
-    for a in archives:
-        m = pattern.match(a.rsplit("/", 1)[-1])
-        if not m:
-            continue
-        p = jvm.org.apache.hadoop.fs.Path(a)
-        st = p.getFileSystem(conf).getFileStatus(p)
-        out.append({"path": a, "competence": m.group(1),
-                    "version": f"{st.getLen()}:{st.getModificationTime()}:{NORMALIZER_VERSION}"})
-    return out
-
-
-def fetch_releases(spark: SparkSession, archives: list[str], root: str, landing: str) -> list[dict]:
-    """Normalise only archives whose (competence, version) is not catalogued yet.
-
-    New archives are unpacked in parallel (one task per archive), checked
-    through the manifest, normalised in one multi-month job and published
-    as one batch per competence.
+def archive_hashes(spark: SparkSession, archives: Sequence[str]) -> dict[str, str]:
+    """SHA-256 of each archive's bytes, read in pieces by one task per archive."""
+    from ..session import ship_package
+    ship_package(spark)
+    sc = spark.sparkContext
+    paths = spark.createDataFrame([(a,) for a in archives], "archive string") \
+        .repartition(max(1, min(len(archives), 4 * sc.defaultParallelism)))
+
+    def run(frames):
+        import pandas as pd
+        for frame in frames:
+            rows = []
+            for a in frame["archive"]:
+                h = hashlib.sha256()
+                with open_seekable(a) as f:
+                    while piece := f.read(1 << 20):
+                        h.update(piece)
+                rows.append((a, h.hexdigest()))
+            yield pd.DataFrame(rows, columns=["archive", "sha256"])
+
+    return {r.archive: r.sha256 for r in paths.mapInPandas(run, "archive string, sha256 string").collect()}
+
+
+def fetch_releases(spark: SparkSession, archives: Sequence[str], root: str, landing: str,
+                   filters: Filters | Mapping[str, Any] | None = None, max_bytes: int | None = None) -> list[dict]:
+    """Publish one batch per archive's competence, normalised with the filters pushed into the release tables.
+
+    What an archive holds is told by the hash of its bytes: a batch whose
+    bytes, normaliser version and filters are catalogued, and whose stored
+    rows still number what its catalog row says, is used again; where rows
+    are missing it is made anew. All new archives are landed, normalised and
+    written in one job each, and published in one commit.
     """
-    import hashlib
-    import os
-
-    from pyspark.sql import functions as F
-
-    from ..sources.archives import manifest_problems, unpack_archives
-    from ..sources.release import normalize_release, read_release_tables
-
-    versions = archive_versions(spark, archives)
-    known = {r["resource_version"] for r in LK.catalog_if_any(spark, root)
-             .where(F.col("resource_version").isin([v["version"] for v in versions]))
-             .select("resource_version").collect()}
-    todo = [v for v in versions if v["version"] not in known]
+    made = filters_json(filters)
+    named = {a: competence_of(a) for a in archives}
+    hashes = archive_hashes(spark, archives)
+    todo = [{"path": a, "competence": named[a], "sha256": hashes[a],
+             "version": f"{hashes[a]}:{NORMALIZER_VERSION}"} for a in archives]
+    for v in todo:
+        v["batch_id"] = LK.context_id(v["version"], "release_archive", v["competence"], made)
+    if len({v["competence"] for v in todo}) < len(todo):
+        raise ArchiveError("more than one archive for a competence")
+    ids = [v["batch_id"] for v in todo]
+    known = {r.batch_id: r.accepted_count for r in LK.catalog_if_any(spark, root).where(F.col("batch_id").isin(ids)).collect()}
+    if known:
+        stored = _stored(spark, root, list(known))
+        todo = [v for v in todo if known.get(v["batch_id"], -1) != stored.get(v["batch_id"], 0)]
     if not todo:
         return []
-    stage = os.path.join(landing, hashlib.sha256(
-        "|".join(sorted(v["version"] for v in todo)).encode()).hexdigest()[:16])
-    manifest = unpack_archives(spark, [v["path"] for v in todo], stage)
-    problems = [r.asDict() for r in manifest_problems(manifest).collect()
-                if r["faltando"] or r["duplicadas"]]
-    if problems:
-        raise ValueError(f"invalid release archives: {problems}")
-    rows = normalize_release(read_release_tables(spark, stage))
-    ids = {v["competence"]: f"release-{v['competence']}-"
-           + hashlib.sha256(v["version"].encode()).hexdigest()[:12] for v in todo}
-    mapping = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
-    rows = rows.withColumn("batch_id", mapping[F.col("competencia")])
+    tables = land_releases(spark, [v["path"] for v in todo], landing, max_bytes)
+    tables = landed_tables(tables, [v["competence"] for v in todo])
+    batch = F.create_map(*[F.lit(x) for v in todo for x in (v["competence"], v["batch_id"])])  # one entry per archive
+    rows = normalize_release(tables, filters).withColumn("batch_id", batch[F.col("competencia")])
     LK.write_batches(rows, root)
-    # One grouped count for every new batch (one row per batch comes back).
-    counts = {r["batch_id"]: r["n"] for r in LK.read_facilities(spark, root)
-              .where(F.col("batch_id").isin(list(ids.values())))
-              .groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    entries = []
-    for v in todo:
-        count = counts.get(ids[v["competence"]], 0)
-        entries.append({"batch_id": ids[v["competence"]], "source": "release_archive",
-                        "competence": v["competence"], "resource_version": v["version"],
-                        "source_file": v["path"], "contract_version": "v2",
-                        "accepted_count": count, "filters_json": "{}"})
+    counts = _stored(spark, root, [v["batch_id"] for v in todo])
+    entries = [{"batch_id": v["batch_id"], "source": "release_archive", "competence": v["competence"],
+                "resource_version": v["version"], "content_sha256": v["sha256"], "source_file": v["path"],
+                "contract_version": "v2", "accepted_count": counts.get(v["batch_id"], 0), "filters_json": made} for v in todo]
     LK.append_catalog_rows(spark, root, entries)
     return entries
+
+
+def _stored(spark: SparkSession, root: str, batch_ids: list[str]) -> dict[str, int]:
+    """Rows in the lake by batch (footers and partition pruning; one row per batch)."""
+    return {r.batch_id: r.n for r in LK.read_facilities(spark, root).where(F.col("batch_id").isin(batch_ids))
+            .groupBy("batch_id").agg(F.count("*").alias("n")).collect()}

@@ -82,4 +82,6 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("content_sha256", _STR, True),
     T.StructField("imported_at", _STR, False),
     T.StructField("written_at", _STR, True),
+    T.StructField("removed", _BOOL, True),
+    T.StructField("default_since", _STR, True),
 ])

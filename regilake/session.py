@@ -71,7 +71,7 @@ def ship_package(spark: SparkSession) -> None:
     Python tasks do not depend on PYTHONPATH of the worker machines.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or getattr(sc, "_regilake_shipped", False):
+    if getattr(sc, "_regilake_shipped", False):
         return
     package = pathlib.Path(__file__).resolve().parent
     target = pathlib.Path(tempfile.mkdtemp(prefix="regilake-ship-")) / "regilake.zip"

@@ -156,12 +156,21 @@ def release_tables(spark: SparkSession, sf_dir: str,
     }
 
 
-def registry_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+def release_imported_at() -> Column:
+    return F.concat(F.substring("competencia", 1, 4), F.lit("-12-31T00:00:00+00:00"))
+
+
+def revision_imported_at() -> Column:
+    year = F.substring("competencia", 1, 4).cast("int")
+    return F.concat((year + F.when(year % 2 == 0, F.lit(1)).otherwise(F.lit(0))).cast("string"),
+                    F.lit("-06-30T00:00:00+00:00"))
+
+
+def registry_lake(spark: SparkSession, sf_dir: str, filters=None) -> DataFrame:
     """Lake rows of the binding: one batch per competence, ``batch_id = 'R' || competencia``."""
-    rows = normalize_release(release_tables(spark, sf_dir))
+    rows = normalize_release(release_tables(spark, sf_dir), filters)
     return rows.withColumn("batch_id", F.concat(F.lit("R"), F.col("competencia"))) \
-               .withColumn("imported_at", F.concat(F.substring("competencia", 1, 4),
-                                                   F.lit("-12-31T00:00:00+00:00")))
+               .withColumn("imported_at", release_imported_at())
 
 
 def revision_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,11 +182,8 @@ def revision_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = release_tables(spark, sf_dir, quantity=F.when(
         F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(51 - F.col("l_quantity")))
     rows = normalize_release(tables)
-    year = F.substring("competencia", 1, 4).cast("int")
     return rows.withColumn("batch_id", F.concat(F.lit("V"), F.col("competencia"))) \
-               .withColumn("imported_at", F.concat(
-                   (year + F.when(year % 2 == 0, F.lit(1)).otherwise(F.lit(0))).cast("string"),
-                   F.lit("-06-30T00:00:00+00:00")))
+               .withColumn("imported_at", revision_imported_at())
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

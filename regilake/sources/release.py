@@ -8,8 +8,8 @@ the same key, so AQE can reuse the exchange.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from ..functions import text as TX
 from ..functions.numeric import decimal_comma, range_or_null, try_bigint
 from ..functions.rules import (append_flags, code_label, competence_valid,
                                geo_reliable, mmyyyy_to_yyyymm, OPEN_END)
+from ..operators.filters import Filters, as_filters, bed_predicate, unit_predicate
 from ..schema import ABSENT_WHEN_NO_BEDS, ABSENT_WHEN_NO_SUS, LAKE_COLUMNS
 from .lookups import default_bed_types, uf_bounds
 
@@ -65,21 +66,21 @@ class MissingColumnsError(ValueError):
     pass
 
 
+def chosen_headers(headers: Sequence[str], fields: Mapping[str, tuple[str, ...]], where: str = "") -> dict[str, str]:
+    """Canonical field -> source header, the first alias that exists."""
+    by_norm = {TX.norm_column_name(h): h for h in headers}
+    chosen = {canon: next((by_norm[a] for a in aliases if a in by_norm), None) for canon, aliases in fields.items()}
+    missing = sorted(canon for canon, h in chosen.items() if h is None)
+    if missing:
+        raise MissingColumnsError(f"missing fields: {', '.join(missing)}" + (f" ({where})" if where else ""))
+    return chosen
+
+
 def resolve_columns(df: DataFrame, fields: Mapping[str, tuple[str, ...]],
                     keep: tuple[str, ...] = ("competencia",)) -> DataFrame:
     """Select canonical names from aliased headers; only these columns are read."""
-    by_norm = {TX.norm_column_name(c): c for c in df.columns}
-    chosen, missing = [], []
-    for canon, aliases in fields.items():
-        src = next((by_norm[a] for a in aliases if a in by_norm), None)
-        if src is None:
-            missing.append(canon)
-        else:
-            chosen.append(F.col(f"`{src}`").alias(canon))
-    if missing:
-        raise MissingColumnsError("missing fields: " + ", ".join(sorted(missing)))
-    extra = [F.col(k) for k in keep if k in df.columns]
-    return df.select(*extra, *chosen)
+    chosen = [F.col(f"`{h}`").alias(canon) for canon, h in chosen_headers(df.columns, fields).items()]
+    return df.select(*[F.col(k) for k in keep if k in df.columns], *chosen)
 
 
 def _dim_join(left: DataFrame, dim: DataFrame, left_key: Column, prefix: str) -> DataFrame:
@@ -178,25 +179,25 @@ def qualification_rows(habilitacoes: DataFrame, habilitacao: DataFrame,
     """(competencia, co_unidade, codigo, descricao) active at each competence.
 
     A monthly snapshot (table with ``competencia``) is checked against its
-    own month. A history-wide interval table is range-joined with the
-    competences being normalised (at most 12 per year, validated by
-    pattern, hence broadcast): BroadcastNestedLoopJoin, big side streamed.
+    own month. Of a history-wide interval table each row is exploded to the
+    asked months that it covers: the sorted months (at most 12 a year,
+    checked by pattern) come as one array from a scalar subquery, so there
+    is neither a nested loop nor a row for a month that nobody asked for.
     """
     monthly = "competencia" in habilitacoes.columns
     h = habilitacoes.select(
         *(["competencia"] if monthly else []),
         F.trim("co_unidade").alias("co_unidade"), F.trim("codigo").alias("codigo"),
         mmyyyy_to_yyyymm("inicio").alias("start"),
-        F.trim("fim").alias("fim_raw"), mmyyyy_to_yyyymm("fim").alias("end"))
-    h = h.where(F.col("start").isNotNull()
-                & ((F.col("fim_raw") == OPEN_END) | F.col("end").isNotNull()))
-    active_cond = (F.col("start") <= F.col("competencia")) & (
-        (F.col("fim_raw") == OPEN_END) | (F.col("end") >= F.col("competencia")))
+        F.when(F.trim("fim") == OPEN_END, F.lit(OPEN_END)).otherwise(mmyyyy_to_yyyymm("fim")).alias("end"))
+    h = h.where(F.col("start").isNotNull() & F.col("end").isNotNull())
     if monthly:
-        active = h.where(active_cond)
+        active = h.where(F.col("competencia").between(F.col("start"), F.col("end")))
     else:
-        comps = F.broadcast(competences.where(competence_valid("competencia")).distinct())
-        active = h.join(comps, active_cond, "inner")
+        months = competences.where(competence_valid("competencia")) \
+                            .agg(F.array_sort(F.collect_set("competencia")).alias("months"))
+        active = h.withColumn("_months", months.scalar()).withColumn("competencia", F.explode(F.filter(
+            "_months", lambda m: m.between(F.col("start"), F.col("end"))))).drop("_months")
     name_cols = [F.trim("codigo").alias("n_codigo"),
                  F.nullif(F.trim("descricao"), F.lit("")).alias("n_desc")]
     cond = F.col("codigo") == F.col("n_codigo")
@@ -235,48 +236,78 @@ def first_unit_per_code(estab: DataFrame) -> DataFrame:
     return picked.select("competencia", "cnes", "r.*").drop("_unit")
 
 
-def normalize_release(tables: Mapping[str, DataFrame]) -> DataFrame:
+def of_units(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Raw rows of the kept units only; history-wide tables keep a unit's rows for any of its months."""
+    keys = ["competencia"] if "competencia" in rows.columns else []
+    kept = units.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_unit").alias("_k_unit")).distinct()
+    cond = F.trim("co_unidade") == F.col("_k_unit")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
+    return rows.join(kept, cond, "left_semi")
+
+
+def normalize_release(tables: Mapping[str, DataFrame],
+                      filters: Filters | Mapping[str, Any] | None = None) -> DataFrame:
     """Nine release tables (string columns, canonical names) -> lake rows.
 
     ``estabelecimento`` and ``leitos`` carry ``competencia``; dimension tables
     may carry it too (then they join per month).
+
+    With ``filters`` the result is that of filtering the lake rows, but the
+    clauses work on the release itself: what the establishment decides picks
+    the units, and bed and qualification rows of other units leave by a
+    semi-join before they are aggregated; what the bed totals decide leaves
+    before qualifications are looked at.
     """
     spark = tables["estabelecimento"].sparkSession
+    chosen = as_filters(filters)
     estab = first_unit_per_code(tables["estabelecimento"])
-    beds = bed_totals(tables["leitos"], tables["leito"], tables.get("tipo_leito"))
+    leitos, habilitacoes = tables["leitos"], tables["habilitacoes"]
     competences = tables["estabelecimento"].select("competencia")
-    quals = qualification_sets(qualification_rows(
-        tables["habilitacoes"], tables["habilitacao"], competences))
 
     e = _dim_join(estab, tables["municipio"], F.col("municipio"), "m")
     e = _dim_join(e, tables["tipo_unidade"], F.col("tipo_unidade"), "tu")
     e = _dim_join(e, tables["natureza"], F.col("natureza"), "nj")
-    e = e.withColumn("_unit", F.trim("co_unidade"))
-    b = beds.withColumnRenamed("co_unidade", "_unit")
-    q = quals.withColumnRenamed("co_unidade", "_unit")
-    e = e.join(b, ["competencia", "_unit"], "left").join(q, ["competencia", "_unit"], "left")
+    # the establishment's canonical columns first: the filters name them
+    e = e.drop("municipio", "tipo_unidade", "natureza").withColumns({
+        "_unit": F.trim("co_unidade"),
+        "uf": F.coalesce(F.upper(F.trim("m_uf")), F.lit("")),
+        "municipio": F.coalesce(F.trim("m_nome"), F.lit("")),
+        "tipo_estabelecimento": F.coalesce(F.trim("tu_descricao"), F.lit("")),
+        "natureza_juridica": F.coalesce(F.trim("nj_descricao"), F.lit("")),
+        "gestao": F.coalesce(F.trim("gestao"), F.lit("")),
+    }).withColumn("municipio_normalizado", TX.norm_text("municipio"))
+    by_unit = any(v for k, v in vars(chosen).items() if k not in ("convenio_sus", "min_leitos", "max_leitos"))
+    by_beds = chosen.convenio_sus is not None or chosen.min_leitos is not None or chosen.max_leitos is not None
+    if by_unit:
+        e = e.where(unit_predicate(chosen))
+        leitos = of_units(leitos, e)
+    beds = bed_totals(leitos, tables["leito"], tables.get("tipo_leito")).withColumnRenamed("co_unidade", "_unit")
+    e = e.join(beds, ["competencia", "_unit"], "left").withColumns({
+        "leitos_existentes": F.coalesce("total_exist", F.lit(0)).cast("bigint"),
+        "leitos_sus": F.coalesce("total_sus", F.lit(0)).cast("bigint"),
+        "convenio_sus": F.coalesce(F.col("total_sus") > 0, F.lit(False))})
+    if by_beds:
+        e = e.where(bed_predicate(chosen))
+    if by_unit or by_beds:
+        habilitacoes = of_units(habilitacoes, e)
+    quals = qualification_sets(qualification_rows(habilitacoes, tables["habilitacao"], competences))
+    e = e.join(quals.withColumnRenamed("co_unidade", "_unit"), ["competencia", "_unit"], "left")
 
     lat = decimal_comma("latitude")
     lon = decimal_comma("longitude")
     e = e.join(uf_bounds(spark).withColumnRenamed("uf", "_box_uf"),
-               F.upper(F.trim(F.col("m_uf"))) == F.col("_box_uf"), "left")
-    municipio = F.coalesce(F.trim("m_nome"), F.lit(""))
+               F.col("uf") == F.col("_box_uf"), "left")
     absent = append_flags(F.lit(None), [
         (F.col("total_exist").isNull(), ABSENT_WHEN_NO_BEDS),
         (F.col("total_sus").isNull(), ABSENT_WHEN_NO_SUS),
     ])
     out = e.select(
         F.col("competencia"),
-        F.coalesce(F.upper(F.trim("m_uf")), F.lit("")).alias("uf"),
-        municipio.alias("municipio"),
-        F.col("cnes"),
+        "uf", "municipio", "cnes",
         TX.fallback_name("nome_fantasia", "razao_social").alias("nome_fantasia"),
-        F.coalesce(F.trim("tu_descricao"), F.lit("")).alias("tipo_estabelecimento"),
-        F.coalesce(F.trim("nj_descricao"), F.lit("")).alias("natureza_juridica"),
-        F.coalesce(F.trim("gestao"), F.lit("")).alias("gestao"),
-        F.coalesce("total_exist", F.lit(0)).cast("bigint").alias("leitos_existentes"),
-        F.coalesce("total_sus", F.lit(0)).cast("bigint").alias("leitos_sus"),
-        F.coalesce(F.col("total_sus") > 0, F.lit(False)).alias("convenio_sus"),
+        "tipo_estabelecimento", "natureza_juridica", "gestao",
+        "leitos_existentes", "leitos_sus", "convenio_sus",
         TX.blank_to_null("razao_social").alias("razao_social"),
         TX.digits_only("cnpj").alias("cnpj"),
         TX.digits_only("cnpj_mantenedora").alias("cnpj_mantenedora"),
@@ -303,54 +334,6 @@ def normalize_release(tables: Mapping[str, DataFrame]) -> DataFrame:
         F.coalesce("habilitacoes", F.array().cast("array<string>")).alias("habilitacoes"),
         F.coalesce("total_habilitacoes", F.lit(0)).cast("bigint").alias("total_habilitacoes"),
         absent.alias("campos_ausentes"),
-        TX.norm_text(municipio).alias("municipio_normalizado"),
+        "municipio_normalizado",
     )
     return out.select(*LAKE_COLUMNS)
-
-
-def _release_files(spark, landing: str, table: str) -> list[str]:
-    """CSV members of one table, nine a month, through the cluster's file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        f"{landing.rstrip('/')}/table={table}/competencia=*/*.[cC][sS][vV]")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(st.getPath().toString() for st in fs.globStatus(path) or [])
-
-
-def read_release_tables(spark, landing: str) -> dict[str, DataFrame]:
-    """Unpacked release CSVs (``table=<t>/competencia=<YYYYMM>/*.csv``) ->
-    canonical string tables. ``;``-separated, Latin-1, header, strict
-    (FAILFAST); only the allow-listed columns are selected.
-
-    Months may order or name their columns differently: files are grouped
-    by header, each group is read by its own and resolved by name.
-    """
-    import csv
-
-    from pyspark.sql import types as T
-
-    from .csv_files import read_head
-
-    tables: dict[str, DataFrame] = {}
-    for table, fields in TABLE_FIELDS.items():
-        groups: dict[tuple[str, ...], list[str]] = {}
-        for f in _release_files(spark, landing, table):
-            lines = read_head(spark, f).decode("latin-1").splitlines()
-            if not lines:
-                raise MissingColumnsError(f"release file without a header: {f}")
-            groups.setdefault(tuple(next(csv.reader(lines[:1], delimiter=";"))), []).append(f)
-        if not groups:
-            if table in OPTIONAL_TABLES:
-                continue
-            raise MissingColumnsError(f"missing release table {table}")
-        parts = []
-        for header, files in groups.items():
-            schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-            raw = (spark.read.schema(schema).option("header", True).option("sep", ";")
-                   .option("quote", '"').option("escape", '"')
-                   .option("encoding", "ISO-8859-1").option("mode", "FAILFAST").csv(files))
-            raw = raw.withColumn("competencia", F.regexp_extract(
-                F.col("_metadata.file_path"), r"competencia=([0-9]{6})", 1))
-            # Every table keeps its month: dimension joins happen within a release.
-            parts.append(resolve_columns(raw, fields, keep=("competencia",)))
-        tables[table] = functools.reduce(DataFrame.unionByName, parts)
-    return tables

@@ -10,7 +10,7 @@ import pytest
 from regilake.plans.load import load_csv
 from regilake.sources import archives as AR
 from regilake.sources import lake as LK
-from regilake.sources.release import normalize_release, read_release_tables
+from regilake.sources.release import normalize_release
 
 FIX = os.path.join(os.path.dirname(__file__), "fixtures")
 
@@ -94,13 +94,9 @@ def _write_release(folder, competence="202501", overrides=None):
 
 def _normalize(spark, tmp, overrides=None):
     archive = _write_release(tmp, overrides=overrides)
-    landing = os.path.join(tmp, "landing")
-    manifest = AR.unpack_archives(spark, [archive], landing)
-    statuses = {r["status"] for r in manifest.collect()}
+    statuses = {r["status"] for r in AR.manifest(spark, [archive]).collect()}
     assert "unsafe_name" in statuses and "ok" in statuses
-    problems = AR.manifest_problems(manifest).first()
-    assert problems["faltando"] == [] and problems["duplicadas"] == []
-    return normalize_release(read_release_tables(spark, landing)).collect()
+    return normalize_release(AR.land_releases(spark, [archive], os.path.join(tmp, "landing"))).collect()
 
 
 def test_release_archive_normalization(spark, tmpdir_path):
@@ -140,8 +136,7 @@ def test_release_without_optional_bed_type_table(spark, tmpdir_path):
             if not info.filename.startswith("tbTipoLeito"):
                 dst.writestr(info, src.read(info))
     landing = os.path.join(tmpdir_path, "landing2")
-    AR.unpack_archives(spark, [target], landing).collect()
-    r = normalize_release(read_release_tables(spark, landing)).first()
+    r = normalize_release(AR.land_releases(spark, [target], landing)).first()
     # Default bed types: 1 = CIRURGICO, 2 = CLINICO, 3 = COMPLEMENTAR.
     assert r["leitos_cirurgicos"] == 30 and r["leitos_complementares"] == 30
 
@@ -176,21 +171,139 @@ def test_fetch_releases_skips_known_archives(spark, tmpdir_path):
 
 
 def test_register_parquet_contract(spark, tmpdir_path):
-    import pytest
+    from pyspark.sql import functions as F
+
     from conftest import lake_rows
     path = os.path.join(tmpdir_path, "v2.parquet")
-    lake_rows(spark, [dict(cnes="0000001", competencia="202501")]).drop("batch_id", "imported_at") \
-        .write.parquet(path)
+    rows = lake_rows(spark, [dict(cnes="0000001", competencia="202501"), dict(cnes="0000002", competencia="202502")]) \
+        .drop("batch_id", "imported_at")
+    rows.repartition(2).write.parquet(path)
     root = os.path.join(tmpdir_path, "lake")
-    e = LK.register_parquet(spark, path, root, "ext-1", {"source": "s1"})
-    assert e["accepted_count"] == 1
-    e2 = LK.register_parquet(spark, path, root, "ext-1", {"source": "s2"})
+    e = LK.register_parquet(spark, path, root, "s1")
+    assert e["accepted_count"] == 2 and e["competence"] == "202501,202502"
+    copy = os.path.join(tmpdir_path, "copy.parquet")
+    shutil.copytree(path, copy)
+    e2 = LK.register_parquet(spark, copy, root, "s1", etag="t")  # the same bytes under another name
+    assert e2["batch_id"] == e["batch_id"]
     cat = LK.read_catalog(spark, root).collect()
-    assert len(cat) == 1 and cat[0]["source"] == "s2" and cat[0]["imported_at"] == e["imported_at"]
+    assert len(cat) == 1 and cat[0]["etag"] == "t" and cat[0]["imported_at"] == e["imported_at"]
+    assert LK.register_parquet(spark, path, root, "s2")["batch_id"] != e["batch_id"]
+    assert LK.register_parquet(spark, path, root, "s1", filters={"uf": "am"})["filters_json"] == '{"uf": "AM"}'
+    same = LK.register_parquet(spark, path, root, resource_version="v7")
+    assert LK.register_parquet(spark, copy, root, resource_version="v7")["batch_id"] == same["batch_id"]
     bad = os.path.join(tmpdir_path, "bad.parquet")
     spark.createDataFrame([("1", "x")], "cnes string, nu_cpf string").write.parquet(bad)
-    with pytest.raises(LK.ContractError):
-        LK.register_parquet(spark, bad, root, "ext-2")
+    with pytest.raises(LK.ContractError, match="nu_cpf"):
+        LK.register_parquet(spark, bad, root)
+    typed = os.path.join(tmpdir_path, "typed.parquet")
+    rows.withColumn("leitos_sus", F.col("leitos_sus").cast("string")).write.parquet(typed)
+    with pytest.raises(LK.ContractError, match="leitos_sus: string instead of bigint"):
+        LK.register_parquet(spark, typed, root)
+
+
+def _zip(folder, competence, members):
+    path = os.path.join(folder, f"base_de_dados_cnes_{competence}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for name, lines in members:
+            zf.writestr(name, ("\r\n".join(lines) + "\r\n").encode("latin-1"))
+    return path
+
+
+def test_members_with_odd_names_breaks_in_quotes_and_other_columns(spark, tmpdir_path):
+    tables = {**RELEASE, "tbMunicipio": ["NO_MUNICIPIO;CO_SIGLA_ESTADO;CO_MUNICIPIO;X", '"SÃO ""JOÃO"";\nDO SUL";AM;130260;z']}
+    odd = [(f"dir/{'_'.join(n)}_v2-{'202501'}.CSV", lines) for n, lines in tables.items()]
+    archive = _zip(tmpdir_path, "202501", [*odd, ("readme.txt", ["x"]), ("/abs/tbMunicipio202501.csv", ["x"])])
+    found = AR.land_releases(spark, [archive], os.path.join(tmpdir_path, "landing"))
+    assert found["municipio"].first()["nome"] == 'SÃO "JOÃO";\nDO SUL'
+    assert found["municipio"].columns == ["codigo", "nome", "uf", "competencia"]
+    r = normalize_release(found).first()
+    assert (r["leitos_existentes"], r["uf"]) == (100, "AM")
+
+
+def test_archives_with_missing_duplicate_or_broken_members_are_refused(spark, tmpdir_path):
+    def folder(name):
+        os.makedirs(path := os.path.join(tmpdir_path, name))
+        return path
+
+    whole = [(f"{n}202501.csv", lines) for n, lines in RELEASE.items()]
+    twice = _zip(folder("a"), "202501", [*whole, ("TB-LEITO-202501.csv", RELEASE["tbLeito"])])
+    with pytest.raises(AR.ArchiveError, match="duplicadas.*leito"):
+        AR.check_archives(spark, [twice])
+    with pytest.raises(AR.ArchiveError, match="faltando.*municipio"):
+        AR.check_archives(spark, [_zip(folder("b"), "202501", [m for m in whole if "Municipio" not in m[0]])])
+    with pytest.raises(AR.ArchiveError, match="faltando"):  # members of another month
+        AR.check_archives(spark, [_zip(folder("c"), "202502", whole)])
+    good = _zip(folder("d"), "202501", whole)
+    with pytest.raises(AR.ArchiveError, match="more than 10 bytes"):
+        AR.check_archives(spark, [good], max_bytes=10)
+    with pytest.raises(AR.ArchiveError):
+        AR.check_archives(spark, [os.path.join(tmpdir_path, "other.zip")])
+    ragged = dict(whole) | {"tbLeito202501.csv": ["CO_LEITO;DS_LEITO;CO_TIPO_LEITO", "L1;x"]}
+    with pytest.raises(Exception, match="row 2 has 2 fields"):
+        AR.land_releases(spark, [_zip(folder("e"), "202501", ragged.items())], os.path.join(tmpdir_path, "l"))
+
+
+def test_one_input_partition_per_member(spark, tmpdir_path):
+    archives = []
+    for c in ("202501", "202502", "202503"):
+        archives.append(_zip(tmpdir_path, c, [(f"{n}{c}.csv", lines) for n, lines in RELEASE.items()]))
+    rows = AR.read_table(spark, archives, "leitos")
+    assert rows.rdd.getNumPartitions() == 3 and rows.count() == 9
+    assert {r.competencia for r in rows.collect()} == {"202501", "202502", "202503"}
+
+
+def test_annual_archive_holds_one_csv(spark, tmpdir_path):
+    path = _zip(tmpdir_path, "202500", [("Leitos_2025.csv", ["COMP;UF;MUNICÍPIO", "202501;AM;MANAUS"]), ("leia.txt", ["x"])])
+    df = AR.read_annual(spark, [path])
+    assert df.columns == ["COMP", "UF", "MUNICÍPIO"] and df.collect()[0].asDict() == {"COMP": "202501", "UF": "AM", "MUNICÍPIO": "MANAUS"}
+    with pytest.raises(Exception, match="2 CSV members"):
+        AR.read_annual(spark, [_zip(tmpdir_path, "202599", [("a.csv", ["A"]), ("b.csv", ["B"])])]).count()
+
+
+def test_fetch_with_filters_verifies_bytes_and_rows(spark, tmpdir_path):
+    from regilake.plans.release_ingest import fetch_releases
+    archive = _write_release(tmpdir_path, "202501")
+    root, landing = os.path.join(tmpdir_path, "lake"), os.path.join(tmpdir_path, "landing")
+    everything = fetch_releases(spark, [archive], root, landing)[0]
+    chosen = fetch_releases(spark, [archive], root, landing, {"uf": "am", "min_leitos": 100, "municipio": "Manáus"})[0]
+    none = fetch_releases(spark, [archive], root, landing, {"uf": "SP"})[0]
+    assert (everything["accepted_count"], chosen["accepted_count"], none["accepted_count"]) == (1, 1, 0)
+    assert chosen["filters_json"] == '{"min_leitos": 100, "municipio": "Manáus", "uf": "AM"}'
+    assert len({e["batch_id"] for e in (everything, chosen, none)}) == 3
+    os.utime(archive)  # another time, same bytes: nothing to do
+    assert fetch_releases(spark, [archive], root, landing, {"min_leitos": 100, "municipio": "Manáus", "uf": "AM"}) == []
+    shutil.rmtree(os.path.join(LK.facilities_path(root), "competencia=202501", f"batch_id={everything['batch_id']}"))
+    again = fetch_releases(spark, [archive], root, landing)  # catalogued, but its rows are gone
+    assert again[0]["batch_id"] == everything["batch_id"] and again[0]["accepted_count"] == 1
+    _write_release(tmpdir_path, "202501", {"rlEstabComplementar": ["CO_UNIDADE;CO_LEITO;QT_EXIST;QT_SUS", "U1;L1;31;20"]})
+    assert fetch_releases(spark, [archive], root, landing)[0]["batch_id"] != everything["batch_id"]
+
+
+def test_many_files_load_in_as_many_jobs_as_one(spark, tmpdir_path):
+    from regilake.plans.load import load_csv_files
+    head = "CNES,COMPETENCIA,NOME_FANTASIA,LEITOS_EXISTENTES,LEITOS_SUS\n"
+    paths = [_csv(tmpdir_path, f"f {i}.csv", (head + f"{i:07d},202401,U{i},{i},1\n" * (1 + i % 2) + ",202401,x,1,1\n").encode()) for i in range(6)]
+    paths.append(_csv(tmpdir_path, "same.csv", open(paths[0], "rb").read()))
+    bad = [_csv(tmpdir_path, "nocode.csv", b"A,B\n1,2\n"), _csv(tmpdir_path, "empty.csv", b"")]
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(files, name):
+        spark.sparkContext.setJobGroup(name, name)
+        out = load_csv_files(spark, files, os.path.join(tmpdir_path, name))
+        n = len(tracker.getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return n, {os.path.basename(r["path"]): r for r in out}
+
+    one, _ = jobs(paths[1:2], "one")
+    many, got = jobs(paths + bad, "many")
+    assert many <= one + 2
+    assert "error" in got["nocode.csv"] and "error" in got["empty.csv"]
+    assert got["f 0.csv"]["batch_id"] == got["same.csv"]["batch_id"] and got["same.csv"]["reused"]
+    assert [got[f"f {i}.csv"]["rows_ignored"] for i in range(6)] == [0, 1, 0, 1, 0, 1]
+    assert got["f 1.csv"]["rejection_reasons"] == '{"cnes_ausente":1}' and got["f 1.csv"]["rows_read"] == 3
+    lake = LK.read_lake(spark, os.path.join(tmpdir_path, "many"))
+    assert lake.count() == 6 and LK.read_catalog(spark, os.path.join(tmpdir_path, "many")).count() == 6
+    assert load_csv(spark, [paths[2]], os.path.join(tmpdir_path, "many"))["reused"]  # the same id as loaded alone
 
 
 def test_normalize_csv_reports_empty_and_derived(spark, tmpdir_path):
@@ -254,8 +367,7 @@ def test_months_with_other_headers_and_without_the_optional_table(spark, tmpdir_
             if not info.filename.startswith("tbTipoLeito"):
                 dst.writestr(info, src.read(info))
     landing = os.path.join(tmpdir_path, "landing3")
-    AR.unpack_archives(spark, [first, target], landing).collect()
-    rows = {r["competencia"]: r for r in normalize_release(read_release_tables(spark, landing)).collect()}
+    rows = {r["competencia"]: r for r in normalize_release(AR.land_releases(spark, [first, target], landing)).collect()}
     assert set(rows) == {"202501", "202502"}
     for r in rows.values():
         assert (r["leitos_existentes"], r["leitos_sus"], r["uf"]) == (100, 60, "AM")
