@@ -234,7 +234,7 @@ def test_means_of_few_large_and_no_vectors(spark):
     assert sorted((r.cluster, r.distance) for r in got.collect()) == [(i, 0) for i in range(5)] and len(centroids) == 5
     none, centroids = drift_means.cluster_vectors(spark.createDataFrame([], VECTORS))
     assert none.count() == 0 and len(centroids) == 0 and {"vec_id", "cluster", "distance"} <= set(none.columns)
-    large = [(i, [x * 1e5 for x in v]) for i, v in vectors(40, 5)]
+    large = [(i, [float(np.float32(x * 1e5)) for x in v]) for i, v in vectors(40, 5)]
     got, _ = drift_means.cluster_vectors(spark.createDataFrame([(*r, "v", 1) for r in large], VECTORS))
     assert sorted(((r.vec_id, r.cluster, r.distance) for r in got.collect()), key=repr) == brute_means(large)[0]
     with pytest.raises(Exception, match="component"):
