@@ -220,7 +220,8 @@ def block_parts(places: DataFrame, plan: Plan) -> DataFrame:
 
 def mix(places: DataFrame, plan: Plan) -> DataFrame:
     """(shard, slot, at, s, block, row, first, words): the mix, a row for each part of a document in each slot."""
-    taken = slots(places.sparkSession, plan)
+    # Spark takes the slots for few, since they come from a few shard numbers: they grow with the words, so never broadcast
+    taken = slots(places.sparkSession, plan).hint("merge")
     parts = block_parts(places, plan).join(taken, ["s", "block"]).where(F.col("at") < F.col("n"))
     return parts.select("shard", "slot", "at", "s", "block", "row", "first", F.least("words", F.col("n") - F.col("at")).alias("words"))
 
