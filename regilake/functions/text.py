@@ -2,13 +2,17 @@
 
 Spark has no Unicode normalisation function, so accent folding is a
 ``translate`` whose table is derived by rule from Python's Unicode
-database at import time (driver side, a few hundred characters).
+database at import time (driver side). Characters that fold to more than
+one letter (ligatures, fractions, unit signs) are cut out of the text and
+spelt out letter by letter, only in rows that hold one.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,10 +38,36 @@ def _fold_table(form: str) -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+def _ascii_folds() -> dict[str, str]:
+    """Every character outside ASCII that keeps something of it under NFKD -> ASCII -> lower case."""
+    out = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= code < 0xE000:
+            fold = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode().lower()
+            if fold:
+                out[chr(code)] = fold
+    return out
+
+
+def _char_class(chars: Iterable[str]) -> str:
+    """A regular-expression class of the characters, as ranges."""
+    codes, runs = sorted(map(ord, chars)), []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+_FOLDS = _ascii_folds()
+# longest folds first: translate deletes characters that have no n-th letter
+_SPELT = sorted((c for c, f in _FOLDS.items() if len(f) > 1), key=lambda c: (-len(_FOLDS[c]), c))
+_SPELT_CLASS = _char_class(_SPELT)
+# A private-use character marks the cuts; it has no fold itself.
+_CUT = "\ue000"
 # NFD folding = strip accents only (ª, º and ß survive, as in SQL strip_accents).
 _NFD_FROM, _NFD_TO = _fold_table("NFD")
-# NFKD folding additionally maps compatibility characters (ª -> a, NBSP -> space).
-_NFKD_FROM, _NFKD_TO = _fold_table("NFKD")
 
 
 def upper_unaccent(col: Column | str) -> Column:
@@ -46,11 +76,28 @@ def upper_unaccent(col: Column | str) -> Column:
     return F.upper(F.translate(c, _NFD_FROM + "ß", _NFD_TO + "ẞ"))
 
 
+def _first_letters(c: Column) -> Column:
+    return F.translate(c, "".join(_FOLDS) + _CUT, "".join(f[0] for f in _FOLDS.values()))
+
+
+def _spelt_out(c: Column) -> Column:
+    """The text with all letters of all folds: each cut is after a character's first letter and before its others."""
+    longest = len(_FOLDS[_SPELT[0]])
+
+    def piece(p: Column, i: Column) -> Column:
+        own = F.substring(p, 1, 1)
+        rest = [F.translate(own, "".join(_SPELT), "".join(_FOLDS[x][k] for x in _SPELT if len(_FOLDS[x]) > k)) for k in range(1, longest)]
+        return F.when(i == 0, _first_letters(p)).otherwise(F.concat(*rest, _first_letters(F.substr(p, F.lit(2)))))
+
+    cut = F.regexp_replace(F.translate(c, _CUT, ""), f"({_SPELT_CLASS})", f"$1{_CUT}$1")
+    return F.array_join(F.transform(F.split(cut, _CUT), piece), "")
+
+
 def norm_text(col: Column | str) -> Column:
-    """NFKD -> ASCII -> casefold -> single spaces, trimmed."""
+    """NFKD -> ASCII -> casefold -> single spaces, trimmed; equal to :func:`norm_text_py` for every text."""
     c = F.col(col) if isinstance(col, str) else col
-    folded = F.translate(F.lower(c), _NFKD_FROM, _NFKD_TO)
-    ascii_only = F.regexp_replace(folded, "[^\\x00-\\x7F]", "")
+    folded = F.when(c.rlike(_SPELT_CLASS), _spelt_out(c)).when(c.rlike("[^\\x00-\\x7F]"), _first_letters(c)).otherwise(c)
+    ascii_only = F.lower(F.regexp_replace(folded, "[^\\x00-\\x7F]", ""))
     return F.trim(F.regexp_replace(ascii_only, WHITESPACE_RE, " "))
 
 

@@ -145,9 +145,7 @@ def by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- quality ------------------------------------------------------------------
 @register("validate_batches")
 def validate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _both_imports(spark, sf_dir)
-    rows = both.unionByName(both.withColumn("batch_id", F.lit("ALL")))
-    return QA.validate(rows)
+    return QA.validate(_both_imports(spark, sf_dir), rollup="ALL")
 
 
 @register("bed_pivot_poison")
@@ -337,7 +335,8 @@ def top_bucket_rollup_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     c = read_table(spark, sf_dir, "customer")
     rows = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-              .where(F.year("o_orderdate") == 1997)
+              .where((F.col("o_orderdate") >= F.lit("1997-01-01").cast(o.schema["o_orderdate"].dataType))
+                     & (F.col("o_orderdate") < F.lit("1998-01-01").cast(o.schema["o_orderdate"].dataType)))
               .join(c, F.col("o_custkey") == F.col("c_custkey")))
     k = F.col("c_custkey")
     nature = F.element_at(F.array(*[F.lit(x) for x in NATURE_CODES]), (k % 5 + 1).cast("int"))
@@ -389,7 +388,7 @@ def union_missing_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sources on the driver tables ----------------------------------------------------------
 from ..sources.annual import AnnualRequest, normalize_annual  # noqa: E402
-from ..sources.driver_tables import annual_rows  # noqa: E402
+from ..sources.driver_tables import annual_rows, catalog_pages  # noqa: E402
 from ..sources.manifest import competences_in_file, latest_resource, resource_manifest  # noqa: E402
 
 ANNUAL_REQUEST = AnnualRequest("199712", establishment_type="hospital", legal_nature="sociedade",
@@ -416,8 +415,12 @@ def competences_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("resource_manifest_pages")
 def resource_manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog resources embedded in the crawled pages (latest per year)."""
-    pages = read_table(spark, sf_dir, "pages")
-    return latest_resource(resource_manifest(pages, "dados.example.org", "/dataset/"))
+    return latest_resource(resource_manifest(catalog_pages(spark, sf_dir), "dados.example.org", "/dataset/"))
+
+
+@register("resource_manifest_all")
+def resource_manifest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resource_manifest(catalog_pages(spark, sf_dir), "dados.example.org", "/dataset/")
 
 
 @register("score_leads_history")

@@ -239,3 +239,31 @@ def annual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         nature.alias("NATUREZA_JURIDICA"), nat_desc[nature].alias("DESC_NATUREZA_JURIDICA"),
         _s(F.col("c_acctbal").cast("bigint")).alias("LEITOS_EXISTENTES"),
         _s(k % 50).alias("LEITOS_SUS"))
+
+
+def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with two catalog listings behind each page's own text, as a data portal embeds them.
+
+    Years, states, formats, hosts and missing names follow from the page's
+    number, so every rule of the manifest meets both sides.
+    """
+    k = F.col("page_id")
+    year = _s(2005 + k % 21)
+
+    def resource(name: Column, url: Column, fmt: Column, state: Column, modified: Column) -> Column:
+        return F.struct(F.concat(F.lit("r"), _s(k % 97)).alias("id"), name.alias("name"), fmt.alias("format"),
+                        state.alias("state"), url.alias("url"), modified.alias("last_modified"))
+
+    day = F.concat(F.lit("20"), F.lpad(_s(k % 24), 2, "0"), F.lit("-0"), _s(k % 9 + 1), F.lit("-11"))
+    base = F.when(k % 13 == 0, F.lit("http://dados.example.org/dataset/")).when(k % 17 == 0, F.lit("https://other.example.org/dataset/")) \
+            .when(k % 19 == 0, F.lit("https://dados.example.org/file/")).otherwise(F.lit("https://dados.example.org/dataset/"))
+    first = resource(F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Leitos "), year)),
+                     F.concat(base, F.lit("leitos_"), year, F.lit(".csv")),
+                     F.when(k % 11 == 0, F.lit("PDF")).when(k % 2 == 0, F.lit("csv")).otherwise(F.lit("CSV")),
+                     F.when(k % 7 == 0, F.lit("deleted")).otherwise(F.lit("active")),
+                     F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(day))
+    second = resource(F.lit("sem ano"), F.lit("https://dados.example.org/dataset/x.csv"), F.lit("CSV"), F.lit("active"), day)
+    listing = F.concat(F.lit('<script>{"resources": '), F.to_json(F.array(first)), F.lit(', "n": 1}</script> {"resources":'),
+                       F.to_json(F.array(second)), F.lit("}"))
+    return read_table(spark, sf_dir, "pages").where(k.isNotNull()).select(
+        "page_id", "url", F.concat(F.coalesce("html", F.lit("")), listing).alias("html"))

@@ -20,6 +20,14 @@ def test_norm_text_matches_python(spark):
     assert got == [TX.norm_text_py(s) for s in samples]
 
 
+def test_norm_text_equals_the_rule_for_every_code_point(spark):
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["x".join(map(chr, codes[i:i + 64])) for i in range(0, len(codes), 64)] + ["½ ﬁm ｆｕｌｌ ㏂ \ue000ﬃ½", "ﬁ", "\ue000"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string").repartition(4)
+    got = {r["i"]: r["r"] for r in df.select("i", TX.norm_text("v").alias("r")).collect()}
+    assert [got[i] for i in range(len(texts))] == [TX.norm_text_py(t) for t in texts]
+
+
 def test_upper_unaccent_keeps_ordinals_and_sharp_s(spark):
     assert _one(spark, TX.upper_unaccent("v"), "pediátrica ª ß") == "PEDIATRICA ª ẞ"
 

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import lake_rows
@@ -98,3 +100,27 @@ def test_exports_with_provenance(spark, tmpdir_path):
     js = spark.read.json(os.path.join(tmpdir_path, "out_jsonl")).collect()
     assert res["registros"] == 1 and js[0]["chave_deduplicacao"] == "0000001:1"
     assert js[0]["_metadados"]["perfil_saida"] == "crm_generico"
+
+
+def test_annual_files_are_read_once_and_nothing_found_is_an_error(spark, tmpdir_path):
+    import zipfile
+
+    from regilake.plans.normalize import NothingFound, normalize_annual_files
+    head = "COMP;UF;MUNICÍPIO;CNES;NOME_ESTABELECIMENTO;TP_GESTAO;CO_TIPO_UNIDADE;DS_TIPO_UNIDADE;NATUREZA_JURIDICA;DESC_NATUREZA_JURIDICA;LEITOS_EXISTENTES;LEITOS_SUS"
+    lines = [head, "202501;AM;MANAUS;1;A;M;05;HOSPITAL;2062;LTDA;10;0", "202501;AM;MANAUS;2;B;M;05;HOSPITAL;2062;LTDA;x;0",
+             "202501;PA;BELÉM;3;C;M;05;HOSPITAL;2062;LTDA;9;9", "202412;AM;MANAUS;4;D;M;05;HOSPITAL;2062;LTDA;1;1"]
+    plain = os.path.join(tmpdir_path, "a.csv")
+    with open(plain, "wb") as f:
+        f.write("\n".join(lines).encode("latin-1"))
+    packed = os.path.join(tmpdir_path, "b.zip")
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("Leitos.csv", "\n".join([head, "202501;AM;MANAUS;5;E;M;05;HOSPITAL;2062;LTDA;7;1"]).encode("latin-1"))
+    dest = os.path.join(tmpdir_path, "out")
+    got = normalize_annual_files(spark, [plain, packed], AnnualRequest("202501", uf="am", min_beds=5), dest)
+    assert (got["registros"], got["rejeitadas"]) == (2, 1)
+    assert got["filtros_locais"] == ["competencia", "uf", "min_leitos"] and got["campos_derivados"] == ["convenio_sus"]
+    rows = {r.CNES: (r.CONVENIO_SUS, r.TIPO_ESTABELECIMENTO) for r in spark.read.option("header", True).csv(dest).collect()}
+    assert rows == {"1": ("Não", "05 - HOSPITAL"), "5": ("Sim", "05 - HOSPITAL")}
+    with pytest.raises(NothingFound):
+        normalize_annual_files(spark, [plain], AnnualRequest("202501", uf="SP"), os.path.join(tmpdir_path, "none"))
+    assert not os.path.exists(os.path.join(tmpdir_path, "none")) and not os.path.exists(os.path.join(tmpdir_path, "none.part"))
