@@ -46,6 +46,7 @@ from .common import materialize, mix64, needed, ship_package, space_words, table
 
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK, SHARD, COPIES, SOURCES, SEED = 256, 4096, 10_000, 65_536, 12
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> list[float]:
@@ -139,19 +140,10 @@ def permuted(index: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, h1, h2, source, size), written once: a row number, hashes of the text and its words."""
-    ship_package(docs.sparkSession)
-    rows = needed(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-
-    def run(batches):
-        for b in batches:
-            size = pa.array([len(space_words(t.as_py())) for t in b.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "source", "h1", "h2")] + [size],
-                                             names=["doc_id", "source", "h1", "h2", "size"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(run, f"doc_id {kind}, source string, h1 long, h2 long, size long"), "mix-sizes")
+    """(doc_id, source, h1, h2, size), written once: hashes of the text and its words."""
+    rows = needed(docs, "doc_id", "source", "text")
+    return materialize(rows.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
+                                   F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
 
 
 def plan_of(rows: DataFrame, weights=WEIGHTS, total=TOTAL, most=MOST, block=BLOCK, shard=SHARD, seed=SEED) -> Plan:
@@ -192,6 +184,8 @@ def placed(rows: DataFrame, plan: Plan) -> DataFrame:
 
 def slots(spark: SparkSession, plan: Plan) -> DataFrame:
     """(shard, slot, s, block, n): which block of which source each slot of each shard takes, and how many of its words."""
+    ship_package(spark)
+
     def run(batches):
         for b in batches:
             for shard in b.column("id").to_pylist():
