@@ -32,6 +32,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 64
 END_ID = 0
 LOW = np.uint64(1 << 31)
-#: Entries of a worker's memo of encoded parts, of up to so many characters; it is emptied when full.
+#: Entries of each of the two generations of a worker's memo of encoded parts, of up to so many characters.
 MEMO, MEMO_CHARS = 600_000, 64
 
 BLOCKS = ("part int, block int, n_docs int, n_tokens long, before long, doc_ids binary, doc_lengths binary, payload binary, "
@@ -66,7 +67,7 @@ def _tokenizer(path: str):
     t.encode_special_tokens = True
     begins = np.zeros(t.get_vocab_size(), bool)
     begins[[i for token, i in t.get_vocab().items() if token[0] == "Ġ"]] = True
-    return t, {}, begins
+    return t, [{}, {}], begins
 
 
 def _encode_parts(tok, begins: np.ndarray, words: list[str], dtype: np.dtype) -> list[bytes]:
@@ -107,18 +108,19 @@ def _learn(tok, begins: np.ndarray, memo: dict[str, bytes], new: set[str], dtype
 
 def tokenize(texts: list[str | None], path: str, dtype: np.dtype) -> list[np.ndarray]:
     """Ids of each text. Texts are cut where tokens can't span, and equal parts are sent to the library once."""
-    tok, memo, begins = _tokenizer(path)
-    if len(memo) > MEMO:
-        memo.clear()
+    tok, generations, begins = _tokenizer(path)
+    if len(generations[0]) > MEMO:  # the parts met lately stay; those not met since the last time go
+        generations[:] = [{}, generations[0]]
+    memo, older = generations
     cut = [c.split(" ") if t and (c := spaced(t)) else None for t in texts]
-    known = [list(map(memo.get, c)) if c else [] for c in cut]
-    new = {p for c, k in zip(cut, known, strict=True) if None in k for p, v in zip(c, k, strict=True) if v is None}
-    _learn(tok, begins, memo, new, dtype)
-    out = []
-    for t, c, k in zip(texts, cut, known, strict=True):
-        if None in k:
-            k = [memo[p] if v is None else v for p, v in zip(c, k, strict=True)]
-        out.append(np.frombuffer(b"".join(k), dtype) if c or not t else np.array(tok.encode(t, add_special_tokens=False).ids, dtype))
+    # the large memo is asked once for each part of these texts, a small one for each occurrence
+    met = set(chain.from_iterable(c for c in cut if c))
+    new = met.difference(memo)
+    memo.update([(p, older[p]) for p in new if p in older])
+    _learn(tok, begins, memo, new.difference(older), dtype)
+    own = dict(zip(met, map(memo.__getitem__, met), strict=True))
+    out = [np.frombuffer(b"".join(map(own.__getitem__, c)), dtype) if c or not t else np.array(tok.encode(t, add_special_tokens=False).ids, dtype)
+           for t, c in zip(texts, [c or () for c in cut], strict=True)]
     for p in new:
         if len(p) > MEMO_CHARS:
             del memo[p]
