@@ -47,11 +47,3 @@ def ratio_round(num: Column, den: Column, places: int = 6) -> Column:
     """``round(num/den)`` only when den > 0 and 0 <= num <= den."""
     valid = num.isNotNull() & den.isNotNull() & (den > 0) & (num >= 0) & (num <= den)
     return F.when(valid, F.round(num.cast("double") / den, places))
-
-
-def round4(col: Column | str) -> Column:
-    return F.round(_c(col), 4)
-
-
-def abs_delta(col: Column | str) -> Column:
-    return F.abs(_c(col))

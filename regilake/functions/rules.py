@@ -43,17 +43,6 @@ def mmyyyy_to_yyyymm(col: Column | str) -> Column:
     return F.when(s.rlike(r"^[0-9]{6}$"), F.concat(F.right(s, F.lit(4)), F.left(s, F.lit(2))))
 
 
-def active_interval(start_mmyyyy: Column | str, end_mmyyyy: Column | str,
-                    competence: Column | str) -> Column:
-    """Qualification active at ``competence``: start <= C and (open or end >= C)."""
-    start = mmyyyy_to_yyyymm(start_mmyyyy)
-    end_raw = F.trim(_c(end_mmyyyy))
-    end = mmyyyy_to_yyyymm(end_mmyyyy)
-    comp = _c(competence)
-    return F.coalesce(
-        (start <= comp) & ((end_raw == OPEN_END) | (end >= comp)), F.lit(False))
-
-
 def prefix_any(col: Column | str, codes: Sequence[str]) -> Column:
     """Trimmed non-empty value starting with any of ``codes``."""
     s = F.trim(F.coalesce(_c(col), F.lit("")))
@@ -106,8 +95,3 @@ def append_flags(arr: Column | str, flags: Sequence[tuple[Column, Sequence[str]]
 def dedupe_key(code: Column | str, cnpj: Column | str) -> Column:
     c = _c(cnpj)
     return F.when(F.coalesce(c, F.lit("")) != "", F.concat_ws(":", _c(code), c))
-
-
-def row_digest(cols: Sequence[str]) -> Column:
-    """SHA-256 of the canonical JSON of the named columns (sorted keys)."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)])), 256)

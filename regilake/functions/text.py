@@ -141,8 +141,3 @@ def join_label(code: Column | str, description: Column | str) -> Column:
     a = F.col(code) if isinstance(code, str) else code
     b = F.col(description) if isinstance(description, str) else description
     return F.concat_ws(" - ", F.nullif(F.trim(a), F.lit("")), F.nullif(F.trim(b), F.lit("")))
-
-
-def contains_ci(col: Column | str, value: str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.contains(F.lower(c), F.lit(value.lower()))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from regilake.functions import text as TX
 from regilake.functions.numeric import nonneg_int, try_bigint
-from regilake.functions.rules import (active_interval, code_label, mmyyyy_to_yyyymm,
+from regilake.functions.rules import (code_label, mmyyyy_to_yyyymm,
                                       parse_bool, prefix_any, slash_competence)
 
 
@@ -64,15 +64,6 @@ def test_parse_bool(spark):
     assert got == cases
 
 
-def test_competence_helpers(spark):
-    assert _one(spark, mmyyyy_to_yyyymm("v"), "012024") == "202401"
-    assert _one(spark, slash_competence("v"), "2026/07") == "202607"
-    df = spark.createDataFrame([("012024", "999999", "202501"), ("012024", "122024", "202501"),
-                                ("022025", "999999", "202501")], "s string, e string, c string")
-    got = [r["a"] for r in df.select(active_interval("s", "e", "c").alias("a")).collect()]
-    assert got == [True, False, False]
-
-
 def test_labels_and_prefix(spark):
     assert _one(spark, code_label("v"), "1") == "INDIVIDUAL"
     assert _one(spark, code_label("v"), " 2 ") == "2"
@@ -80,3 +71,19 @@ def test_labels_and_prefix(spark):
     assert _one(spark, TX.join_label(F.lit(""), F.col("v")), "X") == "X"
     assert _one(spark, prefix_any("v", ["2062", "3999"]), " 2062-x") is True
     assert _one(spark, prefix_any("v", ["2062"]), "") is False
+
+
+def test_competence_helpers(spark):
+    assert _one(spark, mmyyyy_to_yyyymm("v"), "012024") == "202401"
+    assert _one(spark, slash_competence("v"), "2026/07") == "202607"
+
+
+def test_qualifications_cover_their_months(spark):
+    from regilake.sources.release import qualification_rows
+    spells = spark.createDataFrame([("1", "a", "012024", "999999"), ("1", "b", "012024", "122024"), ("2", "a", "022025", "999999"),
+                                    ("3", "a", "2024", "999999"), ("4", "a", "012020", "x"), ("5", "a", "012025", "012025")],
+                                   "co_unidade string, codigo string, inicio string, fim string")
+    names = spark.createDataFrame([("a", "A"), ("b", " ")], "codigo string, descricao string")
+    months = spark.createDataFrame([("202412",), ("202501",), ("202501",), ("x",)], "competencia string")
+    got = {(r.competencia, r.co_unidade, r.descricao) for r in qualification_rows(spells, names, months).collect()}
+    assert got == {("202412", "1", "A"), ("202501", "1", "A"), ("202412", "1", "b"), ("202501", "5", "A")}
