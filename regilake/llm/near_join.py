@@ -206,8 +206,10 @@ KEY = "struct<doc_id:long,hash:long>"
 
 def links(candidates: DataFrame) -> DataFrame:
     """(node, other, links) from candidates (component, node, copies, minhash, text); see :func:`_linked`."""
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = candidates.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # only components of more than a block have a size: few, so that a large one's members need not meet for it
+    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = candidates.join(sizes, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) \
+                      .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     jobs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
         "node", "copies", "minhash", "text")
@@ -260,7 +262,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = near_groups(docs)
     drop = materialize(groups.where("doc != component").select("doc").distinct(), "near-drop")
     wordless = ~F.coalesce(docs["text"], F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), wordless.alias("wordless"),
+    rows = docs.select(F.struct("*").alias("row"), wordless.alias("wordless"),
                        F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("hash")).alias("doc"))
     kept = rows.join(drop.hint("merge"), "doc", "left_anti")
     copy = F.row_number().over(Window.partitionBy("doc").orderBy("doc"))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, needed, ship_package, space_words, table
 
@@ -77,8 +78,7 @@ def measures(docs: DataFrame, *carry: str) -> DataFrame:
     """One row per document: the ``carry`` columns, then MEASURES."""
     ship_package(docs.sparkSession)
     rows = needed(docs, *carry, "text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-                       + [f"{m} long" for m in MEASURES])
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField(m, T.LongType()) for m in MEASURES])
 
     def run(batches):
         for b in batches:
@@ -168,7 +168,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """
     sketched = with_metrics(measures(docs, "lang", "source"))
     limits = materialize(thresholds(sketched.where(~F.col("base_failed"))), "quality-limits")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"], docs["lang"], docs["source"])
+    rows = docs.select(F.struct("*").alias("row"), docs["text"], docs["lang"], docs["source"])
     return judge(with_metrics(measures(rows, "row", "lang", "source")), limits).where("kept").select("row.*")
 
 
