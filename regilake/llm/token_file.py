@@ -137,7 +137,7 @@ def vocabulary_size(tokenizer_path: str) -> int:
 
 
 #: Characters of the texts that are encoded together.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 6_000_000
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
