@@ -32,10 +32,10 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,15 +112,24 @@ def tokenize(texts: list[str | None], path: str, dtype: np.dtype) -> list[np.nda
     if len(generations[0]) > MEMO:  # the parts met lately stay; those not met since the last time go
         generations[:] = [{}, generations[0]]
     memo, older = generations
-    cut = [c.split(" ") if t and (c := spaced(t)) else None for t in texts]
-    # the large memo is asked once for each part of these texts, a small one for each occurrence
-    met = set(chain.from_iterable(c for c in cut if c))
-    new = met.difference(memo)
+    cut = [spaced(t) if t else None for t in texts]
+    own = [i for i, c in enumerate(cut) if c]
+    # split, told apart and put together again by Arrow: Python meets each part once a batch
+    words = pc.split_pattern(pa.array([cut[i] for i in own], pa.large_string()), " ")
+    coded = words.flatten().dictionary_encode()
+    met = coded.dictionary.to_pylist()
+    new = {p for p in met if p not in memo}
     memo.update([(p, older[p]) for p in new if p in older])
-    _learn(tok, begins, memo, new.difference(older), dtype)
-    own = dict(zip(met, map(memo.__getitem__, met), strict=True))
-    out = [np.frombuffer(b"".join(map(own.__getitem__, c)), dtype) if c or not t else np.array(tok.encode(t, add_special_tokens=False).ids, dtype)
-           for t, c in zip(texts, [c or () for c in cut], strict=True)]
+    _learn(tok, begins, memo, {p for p in new if p not in older}, dtype)
+    found = list(map(memo.__getitem__, met))
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // dtype.itemsize
+    ids = pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), pa.array(np.frombuffer(b"".join(found), dtype)))
+    taken = ids.take(coded.indices)
+    flat, at = taken.flatten().to_numpy(), taken.offsets.to_numpy()[words.offsets.to_numpy()]
+    out = [np.empty(0, dtype) if not t else None if c else np.array(tok.encode(t, add_special_tokens=False).ids, dtype)
+           for t, c in zip(texts, cut, strict=True)]
+    for i, b, e in zip(own, at[:-1], at[1:], strict=True):
+        out[i] = flat[b:e]
     for p in new:
         if len(p) > MEMO_CHARS:
             del memo[p]
