@@ -329,4 +329,4 @@ def test_queries_have_their_names():
     import __spark_entry__ as E
 
     names = {re.match(r"op(\d+)_", q)[1] for q in E.queries() if q.startswith("op")}
-    assert names == {str(i) for i in range(1, 11)} and "pipeline" in E.queries()
+    assert names == {str(i) for i in range(1, 14)} and "pipeline" in E.queries()
