@@ -16,16 +16,15 @@ from pyspark.sql import functions as F
 from ..operators.filters import Filters, filters_json
 from ..sources import lake as LK
 from ..sources.archives import ArchiveError, competence_of, land_releases, landed_tables, open_seekable
-from ..sources.driver_tables import registry_lake, release_imported_at, revision_imported_at, revision_lake
+from ..sources.driver_tables import both_imports, release_imported_at, revision_imported_at
 from ..sources.release import normalize_release
 
 
 def ingest_binding(spark: SparkSession, sf_dir: str, root: str) -> dict[str, int]:
-    """Normalise both imports of the driver-table binding into ``root``, one commit each."""
+    """Normalise both imports of the driver-table binding into ``root`` in one job, one commit each."""
+    LK.write_batches(both_imports(spark, sf_dir), root)
     counts = {}
-    for name, prefix, build, imported_at in (("release", "R", registry_lake, release_imported_at()),
-                                             ("revision", "V", revision_lake, revision_imported_at())):
-        LK.write_batches(build(spark, sf_dir), root)
+    for name, prefix, imported_at in (("release", "R", release_imported_at()), ("revision", "V", revision_imported_at())):
         written = LK.read_facilities(spark, root).where(F.col("batch_id").startswith(prefix))
         entries = LK.catalog_entries(written, f"binding_{name}", imported_at)
         LK.append_catalog_rows(spark, root, entries)
