@@ -66,3 +66,12 @@ def test_other_units_beds_leave_before_they_are_added(spark, tables, name):
     from regilake.plans.registered import REGISTRY
     plan = _optimized(REGISTRY[name](spark, tables))
     assert "Join LeftSemi" in plan
+
+
+def test_rows_of_an_entry_are_added_up_before_the_unit(spark, tables):
+    from regilake.sources.driver_tables import release_tables
+    from regilake.sources.release import normalize_release
+    plain, entered = release_tables(spark, tables), release_tables(spark, tables, by_entry=True)
+    assert "lancamentos" in entered and "competencia" not in entered["leitos"].columns
+    for filters in (None, {"cnes_list": ["0000010", "0000001"]}):
+        assert _rows(normalize_release(entered, filters)) == _rows(normalize_release(plain, filters))
