@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, materialize, ship_package
+from ..session import checkpoint_dir, discard, materialize, ship_package
 
-__all__ = ["ALNUM_SEPARATORS", "alnum_words", "alnum_words_py", "checkpoint_dir", "components", "materialize",
-           "mix64", "needed", "part_text", "parts", "ship_package", "spaced", "space_words", "table"]
+__all__ = ["ALNUM_SEPARATORS", "alnum_words", "alnum_words_py", "checkpoint_dir", "components", "discard",
+           "materialize", "mix64", "needed", "part_text", "parts", "ship_package", "spaced", "space_words", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII characters that separate words of the form ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.

@@ -42,10 +42,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, needed, parts, ship_package, table
+from .common import discard, materialize, mix64, needed, parts, ship_package, table
 
 OTHERS = 95
 CLASSES = 2 + 95 + OTHERS  # a text's start, control characters, printable ASCII, others
@@ -55,6 +57,8 @@ BATCH_CHARS = 4_000_000
 ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 WORD = rf"[{ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{ALONE}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
 BATCH_WORDS = 2_000_000
+#: Words of a block of documents; goes in which the blocks' pairs are looked up, a power of two.
+BLOCK_WORDS, PARTS = 4_000_000, 4
 #: What a document is judged by, with the bits added to the trusted documents' quantile.
 MEASURES = {"char_bits": MARGIN, "bits": 0.0, "ratio": 0.0, "worst": 0.0}
 
@@ -190,113 +194,257 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("hash", F.xxhash64("text"))
 
 
+def _words(docs: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, hash, carry, ids): 64-bit hashes of each row's words; texts without words are left to :func:`_runs`,
+    as a filter here would look for the words twice."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    return docs.select("doc_id", "hash", *carry, F.transform(found, lambda w: F.xxhash64(w)).alias("ids"))
+
+
+def _runs(batches, limit: int):
+    """(rows, words of each, all words) of neighbouring rows with words that together have so many, or of one longer row."""
+    for b in batches:
+        sizes = b.column("ids").value_lengths().fill_null(0)
+        b = b.filter(pc.greater(sizes, 0))
+        sizes, begin = sizes.to_numpy(zero_copy_only=False), 0
+        sizes = sizes[sizes > 0].astype(np.int64)
+        ends = np.cumsum(sizes)
+        while begin < len(sizes):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit, "right")))
+            part = b.slice(begin, end - begin)
+            yield part, sizes[begin:end], part.column("ids").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            begin = end
+
+
+def _before(w: np.ndarray, size: np.ndarray, start) -> np.ndarray:
+    """The word before each; ``start`` before the first of each row."""
+    h = np.append(w.dtype.type(start), w[:-1])
+    h[np.cumsum(size)[:-1]] = start
+    return h
+
+
+def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    g = mix64(h + np.uint64(0x9E3779B97F4A7C15)) ^ mix64(w)
+    return mix64(g + h)
+
+
 def word_pairs(docs: DataFrame, *carry: str) -> DataFrame:
     """(doc_id, hash, carry, f, g, h, w, n): the distinct pairs ``g`` of a word ``h`` and the next, ``w``, of each row.
 
     ``f`` is the document's fold. Before the first word stands 0.
     """
     ship_package(docs.sparkSession)
-    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    rows = docs.select("doc_id", "hash", *carry, F.transform(found, lambda w: F.xxhash64(w)).alias("ids")).where(F.size("ids") > 0)
+    rows = _words(docs, *carry)
     kept = ["doc_id", "hash", *carry]
     schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + ["g long", "h long", "w long", "n int"])
 
+    def run(batches):
+        for part, size, w in _runs(batches, BATCH_WORDS):
+            row = np.repeat(np.arange(len(size)), size)
+            h = _before(w, size, 0)
+            g = _pair_keys(h, w)
+            order = np.lexsort((g, row))
+            first = np.flatnonzero(np.append(True, (np.diff(g[order]) != 0) | (np.diff(row[order]) != 0)))
+            n = np.diff(np.append(first, len(g))).astype(np.int32)
+            at = order[first]
+            of = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c).take(of) for c in kept], *[pa.array(x[at].view(np.int64)) for x in (g, h, w)], pa.array(n)],
+                names=[*kept, "g", "h", "w", "n"])
+
+    return rows.mapInArrow(run, schema).withColumn("f", F.pmod("hash", F.lit(2)).cast("int"))
+
+
+def _list(values, kind=None) -> pa.Array:
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def word_blocks(docs: DataFrame) -> DataFrame:
+    """Rows of some thousand keyed documents that have words.
+
+    ``doc_id``, ``hash`` and ``size`` (in words) by document; ``vocab``, the
+    distinct words' hashes, the most frequent first; ``words``, the places in
+    it of all words one after another, packed (:func:`_block`).
+    """
+    ship_package(docs.sparkSession)
+    rows = _words(docs)
+    schema = f"block long, doc_id array<{rows.schema['doc_id'].dataType.simpleString()}>, hash array<long>, size array<int>, vocab array<long>, words binary"
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        for k, (part, size, w) in enumerate(_runs(batches, BLOCK_WORDS)):
+            vocab, at, n = np.unique(w, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
+            planes = place[at].view(np.uint8).reshape(-1, 4).T.tobytes()  # the bytes of one rank together pack better
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) + k], pa.int64()), _list(part.column("doc_id")), _list(part.column("hash")), _list(size, pa.int32()),
+                 _list(vocab[order].view(np.int64)), pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary())],
+                names=["block", "doc_id", "hash", "size", "vocab", "words"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _block(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words by document, hashes by place (0: before the first word) and ``(fold * places + word before) * places + word`` of all words."""
+    size, vocab, hashes = (np.asarray(rows.column(c)[i].values) for c in ("size", "vocab", "hash"))
+    size, ids = size.astype(np.int64), np.append(np.uint64(0), vocab.view(np.uint64))
+    count = int(size.sum())
+    planes = pa.decompress(rows.column("words")[i].as_py(), decompressed_size=4 * count, codec="zstd", asbytes=True)
+    w = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64) + 1
+    fold = np.repeat(hashes & 1, size)
+    return size, ids, (fold * len(ids) + _before(w, size, 0)) * len(ids) + w
+
+
+def _asked_words(blocks: DataFrame) -> DataFrame:
+    """(block, f, w): every word of a block's documents of a fold, and the 0 before the first."""
     def run(batches):
         for b in batches:
-            sizes = b.column("ids").value_lengths().to_numpy()
-            ends, begin = np.cumsum(sizes), 0
-            while begin < len(sizes):
-                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + BATCH_WORDS, "right")))
-                part, size = b.slice(begin, end - begin), sizes[begin:end]
-                w = part.column("ids").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                row = np.repeat(np.arange(len(size)), size)
-                h = np.append(np.uint64(0), w[:-1])
-                h[np.cumsum(size)[:-1]] = 0
-                g = mix64(h + np.uint64(0x9E3779B97F4A7C15)) ^ mix64(w)
-                g = mix64(g + h)
-                order = np.lexsort((g, row))
-                first = np.flatnonzero(np.append(True, (np.diff(g[order]) != 0) | (np.diff(row[order]) != 0)))
-                n = np.diff(np.append(first, len(g))).astype(np.int32)
-                at = order[first]
-                of = pa.array(row[at])
+            for i in range(b.num_rows):
+                _, ids, code = _block(b, i)
+                k = len(ids)
+                seen = np.zeros(2 * k, bool)
+                seen[code // (k * k) * k + code % k] = True
+                seen[code // (k * k) * k] = True
+                at = np.flatnonzero(seen)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).take(of) for c in kept], *[pa.array(x[at].view(np.int64)) for x in (g, h, w)], pa.array(n)],
-                    names=[*kept, "g", "h", "w", "n"])
-                begin = end
+                    [pa.repeat(b.column("block")[i], len(at)), pa.array((at // k).astype(np.int32)), pa.array(ids[at % k].view(np.int64))], names=["block", "f", "w"])
 
-    return rows.mapInArrow(run, schema).withColumn("f", F.pmod("hash", F.lit(2)).cast("int"))
+    return blocks.mapInArrow(run, "block long, f int, w long")
 
 
-def _cut(counts: DataFrame) -> DataFrame:
-    """``counts`` with the discount ``d`` of each count, by model ``m``."""
-    t = counts.groupBy("m").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    t = F.broadcast(t.select("m", *_discount_columns()))  # a row a model
-    return counts.join(t, "m").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))) \
-                 .drop("d1", "d2", "d3")
+def _asked_pairs(blocks: DataFrame, part: int) -> DataFrame:
+    """(block, f, g): every word pair of a block's documents of a fold, once, if its key is in this part of ``PARTS``."""
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                _, ids, code = _block(b, i)
+                k = len(ids)
+                code = np.unique(code)
+                g = _pair_keys(ids[code // k % k], ids[code % k])
+                at = np.flatnonzero(g % np.uint64(PARTS) == part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(b.column("block")[i], len(at)), pa.array((code[at] // (k * k)).astype(np.int32)), pa.array(g[at].view(np.int64))], names=["block", "f", "g"])
+
+    return blocks.mapInArrow(run, "block long, f int, g long")
+
+
+def _by_count(values: DataFrame, names: list[str]) -> dict[int, dict[str, float]]:
+    """By model ``2 * cls + f``: discounts d1 to d3 of the column of its class, its sum and the sum of its discounts."""
+    rows = values.groupBy("f").agg(
+        *[x for c in names for x in (F.sum(c).alias(f"{c}_sum"), F.count_if(F.col(c) >= 3).alias(f"{c}_more"),
+                                     *[F.count_if(F.col(c) == k).cast("double").alias(f"{c}_{k}") for k in (1, 2, 3, 4)])])
+    found = {}
+    for i, c in enumerate(names):
+        t = rows.select("f", *[F.col(f"{c}_{x}").alias(f"n{x}") for x in ("sum", "more", 1, 2, 3, 4)])
+        for r in t.select("f", "nsum", "nmore", "n1", "n2", *_discount_columns()).where("nsum > 0").collect():  # two rows at most
+            found[2 * i + r.f] = {"d1": r.d1, "d2": r.d2, "d3": r.d3, "sum": r.nsum, "cut": r.n1 * r.d1 + r.n2 * r.d2 + r.nmore * r.d3}
+    return found
 
 
 class WordModels:
-    """Tables by fold ``f`` of the documents to be judged, a column a class: of seen pairs, contexts and words.
+    """Tables by fold ``f`` of the documents to be judged, a column a class: of seen pairs' counts, and of words.
 
     ``labelled`` are keyed documents with ``cls``. Model ``2 * cls + f`` is trained on the labelled documents of the other fold.
     """
 
     def __init__(self, labelled: DataFrame):
-        pairs = word_pairs(labelled, "cls").withColumn("m", 2 * F.col("cls") + 1 - F.col("f"))
-        counts = materialize(pairs.groupBy("m", "g", "h", "w").agg(F.sum("n").alias("n")), "kn-pairs")
-        follow = counts.groupBy("m", "w").agg(F.count("*").alias("n"))  # after how many words a word stands
-        ones = materialize(_cut(follow), "kn-words")
-        size = 1 + ones.select("w").distinct().count()  # one more for words not seen
-        sums = {r.m: (r.total, r.cut / r.total / size) for r in
-                ones.groupBy("m").agg(F.sum("n").alias("total"), F.sum("d").alias("cut")).collect()}  # four rows at most
-        #: by model: probability of a word not seen
-        self.floor = {m: f for m, (_, f) in sums.items()}
-        pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("m")) if values else F.lit(None)
-        p1 = (F.col("n") - F.col("d")) / pick({m: float(t) for m, (t, _) in sums.items()}) + pick(self.floor)
-        self.words = materialize(self._wide(ones.select("m", "w", p1.alias("v")), "w", "one"), "kn-continuations")
-        two = _cut(counts.where("m < 4"))
-        heads = materialize(two.groupBy("m", "h").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("v")), "kn-contexts")
-        self.heads = materialize(self._wide(heads, "h", "gamma"), "kn-weights")
-        seen = two.join(heads.select("m", "h", "total").hint("merge"), ["m", "h"]).select(
-            "m", "g", "h", "w", ((F.col("n") - F.col("d")) / F.col("total")).alias("v"))
-        seen = self._wide(seen, "g", "part", F.first("h").alias("h"), F.first("w").alias("w"))
-        seen = seen.join(self.heads.hint("merge"), ["f", "h"], "left").join(self.words.hint("merge"), ["f", "w"], "left")
-        self.pairs = materialize(seen.select("f", "g", *[
-            (F.coalesce(f"part{c}", F.lit(0.0)) + self._backed(c)).alias(f"p{c}") for c in (0, 1)], self._toxic().alias("t"), F.lit(True).alias("seen")), "kn-seen-pairs")
-
-    @staticmethod
-    def _wide(rows: DataFrame, key: str, name: str, *more: Column) -> DataFrame:
-        return rows.groupBy(F.pmod("m", F.lit(2)).cast("int").alias("f"), key).agg(
-            *[F.max(F.when(F.floor(F.col("m") / 2) == c, F.col("v"))).alias(f"{name}{c}") for c in (0, 1, 2)], *more)
-
-    def _alone(self, c: int) -> Column:
-        """Continuation probability in class ``c``; null without a model of it."""
-        floor = F.lit(None).cast("double")
-        for f in (0, 1):
-            if 2 * c + f in self.floor:
-                floor = F.when(F.col("f") == f, F.lit(self.floor[2 * c + f])).otherwise(floor)
-        return F.when(floor.isNotNull(), F.coalesce(f"one{c}", floor))
-
-    def _backed(self, c: int) -> Column:
-        return F.coalesce(f"gamma{c}", F.lit(1.0)) * self._alone(c)
-
-    def _toxic(self) -> Column:
-        """Bits by which toxic text makes the word likelier than trusted text; pairs are too rare to tell."""
-        return F.log2(self._alone(2) / self._alone(0))
+        n = [F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1, 2)]
+        counts = materialize(word_pairs(labelled, "cls").groupBy((1 - F.col("f")).alias("f"), "h", "w").agg(*n), "kn-pairs", free=True)
+        follow = materialize(counts.groupBy("f", "w").agg(  # after how many words a word stands
+            *[F.count_if(F.col(f"n{c}") > 0).alias(f"n{c}") for c in (0, 1, 2)]), "kn-words", free=True)
+        size = 1 + follow.select("w").distinct().count()  # one more for words not seen
+        ones, twos = _by_count(follow, ["n0", "n1", "n2"]), _by_count(counts, ["n0", "n1"])
+        #: by model: probability of a word not seen, discounts of pairs by their count
+        self.floor = np.array([ones[m]["cut"] / ones[m]["sum"] / size if m in ones else np.nan for m in range(6)])
+        self.cuts = np.array([[0.0, *[twos[m][d] for d in ("d1", "d2", "d3")]] if m in twos else [0.0] * 4 for m in range(4)])
+
+        def of(c: int, values: dict[int, dict[str, float]], name: str) -> Column:
+            found = F.lit(None).cast("double")
+            for f in (0, 1):
+                if 2 * c + f in values:
+                    found = F.when(F.col("f") == f, F.lit(float(values[2 * c + f][name]))).otherwise(found)
+            return found
+
+        def one(c: int) -> Column:
+            k = F.col(f"n{c}")
+            d = F.when(k == 1, of(c, ones, "d1")).when(k == 2, of(c, ones, "d2")).otherwise(of(c, ones, "d3"))
+            floor = of(c, {m: {"floor": x} for m, x in enumerate(self.floor) if m in ones}, "floor")
+            return F.when(k > 0, (k - d) / of(c, ones, "sum") + floor).alias(f"one{c}")
+
+        heads = counts.where("n0 + n1 > 0").groupBy("f", "h").agg(*[x for c in (0, 1) for x in (
+            F.sum(f"n{c}").alias(f"count{c}"), F.count_if(F.col(f"n{c}") == 1).alias(f"a{c}"),
+            F.count_if(F.col(f"n{c}") == 2).alias(f"b{c}"), F.count_if(F.col(f"n{c}") > 2).alias(f"c{c}"))])
+        gamma = [F.when(F.col(f"count{c}") > 0, (of(c, twos, "d1") * F.col(f"a{c}") + of(c, twos, "d2") * F.col(f"b{c}")
+                                                + of(c, twos, "d3") * F.col(f"c{c}")) / F.col(f"count{c}")).alias(f"gamma{c}") for c in (0, 1)]
+        heads = heads.select("f", F.col("h").alias("w"), "count0", "count1", *gamma)
+        #: of a word: its probability by class after others (``one``), as the first of a pair its count and back-off weight
+        self.known = materialize(follow.select("f", "w", one(0), one(1), one(2)).join(heads.hint("merge"), ["f", "w"], "full"), "kn-known", free=True)
+        self.words = self.known.where("coalesce(one0, one1, one2) IS NOT NULL").select("f", "w", "one0", "one1", "one2")
+        self.heads = self.known.where("count0 IS NOT NULL").select("f", F.col("w").alias("h"), "count0", "count1", "gamma0", "gamma1")
+
+        def keyed(batches):
+            for b in batches:
+                h, w = (b.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
+                yield pa.RecordBatch.from_arrays([b.column("f"), pa.array(_pair_keys(h, w).view(np.int64)), b.column("n0"), b.column("n1")], names=["f", "g", "n0", "n1"])
+
+        self.pairs = materialize(counts.where("n0 + n1 > 0").mapInArrow(keyed, "f int, g long, n0 long, n1 long"), "kn-seen-pairs", free=True)
+        discard(counts, follow)
+
+    def discard(self) -> None:
+        discard(self.pairs, self.known)
 
     def probabilities(self, pairs: DataFrame) -> DataFrame:
         """Rows of word_pairs with p0 and p1, the probabilities of their second word in each class, and its toxic bits ``t``."""
-        rows = pairs.join(self.pairs.hint("merge"), ["f", "g"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-        # seen pairs need no back-off: their key is the pair's, so that they spread and (but for a clash) meet nothing
-        for key, table in (("h", self.heads), ("w", self.words)):
-            rows = rows.withColumn(key, F.when(F.col("seen"), F.col("g")).otherwise(F.col(key))).join(table.hint("merge"), ["f", key], "left")
-        return rows.select("doc_id", "hash", "n", *[F.when(F.col("seen"), F.col(f"p{c}")).otherwise(self._backed(c)).alias(f"p{c}") for c in (0, 1)],
-                           F.when(F.col("seen"), F.col("t")).otherwise(self._toxic()).alias("t"))
+        rows = pairs.select("doc_id", "hash", "f", "g", "h", "w", F.col("n").cast("long").alias("n")).join(self.pairs.hint("merge"), ["f", "g"], "left") \
+                    .join(self.heads.hint("merge"), ["f", "h"], "left").join(self.words.hint("merge"), ["f", "w"], "left")
+        floor, cuts = self.floor, self.cuts
+
+        def run(batches):
+            for b in batches:
+                values = lambda c: b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                found = _likely(b.column("f").to_numpy(), *[[values(f"{name}{c}") for c in range(k)] for name, k in (("n", 2), ("count", 2), ("gamma", 2), ("one", 3))], floor, cuts)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "hash", "n")], *[pa.array(x, from_pandas=True) for x in found]],
+                                                 names=["doc_id", "hash", "n", "p0", "p1", "t"])
+
+        return rows.mapInArrow(run, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, hash long, n long, p0 double, p1 double, t double")
+
+    def replies(self, blocks: DataFrame) -> list[DataFrame]:
+        """What the models know of each block's words and pairs, tables of (block, f, key, pair, counts, one, gamma).
+
+        Pairs are asked for in ``PARTS`` goes, so that only a part of them is under way at a time.
+        """
+        nothing = F.lit(None).cast("double")
+        words = _asked_words(blocks).join(self.known.hint("merge"), ["f", "w"]).select(
+            "block", "f", F.col("w").alias("key"), F.lit(False).alias("pair"), "count0", "count1", "one0", "one1", "one2", "gamma0", "gamma1")
+        out = [materialize(words, "kn-known-words", free=True)]
+        for part in range(PARTS):
+            mine = self.pairs.where(F.expr(f"pmod(g, {PARTS}) = {part}"))  # PARTS is a power of two: the same for unsigned keys
+            pairs = _asked_pairs(blocks, part).join(mine.hint("merge"), ["f", "g"]).select(
+                "block", "f", F.col("g").alias("key"), F.lit(True).alias("pair"), F.col("n0").alias("count0"), F.col("n1").alias("count1"),
+                *[nothing.alias(c) for c in ("one0", "one1", "one2", "gamma0", "gamma1")])
+            out.append(materialize(pairs, "kn-known-pairs", free=True))
+        return out
+
+
+def _likely(f: np.ndarray, n: list, total: list, gamma: list, one: list, floor: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """p0, p1 and toxic bits; a list has an array a class, NaN where a table has nothing.
+
+    The toxic bits are those by which toxic text makes the word likelier than trusted text; pairs are too rare to tell.
+    """
+    alone = [np.where(np.isnan(one[c]), floor[2 * c + f], one[c]) for c in (0, 1, 2)]
+    p = []
+    for c in (0, 1):
+        k = np.nan_to_num(n[c]).astype(np.int64)
+        seen = (k - cuts[2 * c + f, np.minimum(k, 3)]) / np.where(k > 0, total[c], 1.0)
+        p.append(np.where(k > 0, seen, 0.0) + np.where(np.isnan(gamma[c]), 1.0, gamma[c]) * alone[c])
+    return p[0], p[1], np.log2(alone[2] / alone[0])
 
 
-def _mean(bits: Column) -> Column:
-    """Mean over a document's words, in whole millionths so that no order of summing shows."""
-    return F.sum(F.col("n") * F.round(bits * 1e6).cast("long")) / F.sum(F.when(bits.isNotNull(), F.col("n"))) / 1e6
+def _millionths(bits: np.ndarray) -> np.ndarray:
+    return np.copysign(np.floor(np.abs(bits) * 1e6 + 0.5), bits)
 
 
 def word_scores(docs: DataFrame, models: WordModels) -> DataFrame:
@@ -304,9 +452,56 @@ def word_scores(docs: DataFrame, models: WordModels) -> DataFrame:
 
     Bits a word among trusted text, the mean of the bits by which low-quality
     text makes a word likelier, and the most by which toxic text makes any one.
+    Means are summed in whole millionths, so that no order of summing shows.
     """
-    return models.probabilities(word_pairs(docs)).groupBy("doc_id", "hash").agg(
-        _mean(-F.log2("p0")).alias("bits"), _mean(F.log2(F.col("p1") / F.col("p0"))).alias("ratio"), F.max(F.round("t", 6)).alias("worst"))
+    blocks = materialize(word_blocks(docs), "kn-blocks", free=True)
+    replies = models.replies(blocks)
+    floor, cuts = models.floor, models.cuts
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        for i in range(block.num_rows):  # one row
+            size, ids, code = _block(block, i)
+            k = len(ids)
+            code, at = np.unique(code, return_inverse=True)
+            f, h, w = code // (k * k), code // k % k, code % k
+            keys = _pair_keys(ids[h], ids[w])
+            is_pair, fold = (known.column(c).to_numpy() for c in ("pair", "f"))
+            key = known.column("key").to_numpy().view(np.uint64)
+            value = lambda c, rows: known.column(c).cast(pa.float64()).to_numpy()[rows]
+            rows = np.flatnonzero(~is_pair)
+            order = np.argsort(ids)
+            spot = fold[rows] * k + order[np.searchsorted(ids, key[rows], sorter=order)]
+
+            def of_words(c: str) -> np.ndarray:
+                found = np.full(2 * k, np.nan)
+                found[spot] = value(c, rows)
+                return found
+
+            n = [np.zeros(len(code)) for _ in (0, 1)]
+            for x in (0, 1):
+                own, asked = np.flatnonzero(f == x), np.flatnonzero(is_pair & (fold == x))
+                order = own[np.argsort(keys[own])]
+                met = order[np.searchsorted(keys[order], key[asked])] if len(asked) else asked
+                for c in (0, 1):
+                    n[c][met] = value(f"count{c}", asked)
+            p0, p1, t = _likely(f, n, *[[of_words(f"{name}{c}")[f * k + h] for c in (0, 1)] for name in ("count", "gamma")],
+                                [of_words(f"one{c}")[f * k + w] for c in (0, 1, 2)], floor, cuts)
+            starts = np.cumsum(size) - size
+            mean = lambda bits: np.add.reduceat(_millionths(bits)[at], starts) / size / 1e6
+            worst = np.maximum.reduceat(_millionths(t)[at] / 1e6, starts)
+            out.append(pa.table({"doc_id": block.column("doc_id")[i].values, "hash": block.column("hash")[i].values} | {
+                c: pa.array(x, pa.float64(), from_pandas=True) for c, x in (("bits", mean(-np.log2(p0))), ("ratio", mean(np.log2(p1 / p0))), ("worst", worst))}))
+        return pa.concat_tables(out)
+
+    known = replies[0]
+    for more in replies[1:]:
+        known = known.unionByName(more)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, bits double, ratio double, worst double"
+    rows = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
+    found = materialize(rows.groupBy("doc_id", "hash").agg(*[F.min(m).alias(m) for m in ("bits", "ratio", "worst")]), "kn-word-scores", free=True)  # equal rows are equal
+    discard(blocks, *replies)
+    return found
 
 
 def label_classes(labels: DataFrame) -> DataFrame:
@@ -354,12 +549,15 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, hash, lang, n_chars, the measures, perplexity (a word) and kept of every document."""
     docs = _keyed(needed(docs, "doc_id", "text", "lang"))
     labels = needed(labels, "doc_id", "quality", "toxic")
-    labelled = docs.join(label_classes(labels).hint("merge"), "doc_id")  # labels grow with the documents
-    models = WordModels(labelled)
+    labelled = materialize(docs.join(label_classes(labels).hint("merge"), "doc_id"), "kn-labelled", free=True)  # labels grow with the documents
     chars = score(docs, train(labelled.where("cls = 0")), "doc_id", "hash", "lang")
+    models = WordModels(labelled)
+    discard(labelled)
     words = word_scores(docs, models)
+    models.discard()
     scored = chars.alias("c").join(words.alias("s").hint("merge"), F.col("c.hash").eqNullSafe(F.col("s.hash")) & F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
-    scored = materialize(scored.select("c.*", *[f"s.{m}" for m in MEASURES if m != "char_bits"]), "kn-scores")
+    scored = materialize(scored.select("c.*", *[f"s.{m}" for m in MEASURES if m != "char_bits"]), "kn-scores", free=True)
+    discard(words)
     rows = materialize(limits(scored.join(trusted_ids(labels), "doc_id")), "kn-limits")
     by_lang = rows.where(~F.col("l_lang").eqNullSafe(F.lit("\u0000any")))
     overall = rows.where(F.col("l_lang") == "\u0000any").select(F.col("l_class").alias("a_class"), F.col("found").alias("a_found"))
