@@ -40,6 +40,8 @@ alike; an empty table gives no rows; other columns are ignored, and
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,8 +59,8 @@ BATCH_CHARS = 4_000_000
 ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 WORD = rf"[{ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{ALONE}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
 BATCH_WORDS = 2_000_000
-#: Words of a block of documents; goes in which the blocks' pairs are looked up, a power of two.
-BLOCK_WORDS, PARTS = 4_000_000, 4
+#: Words of a block of documents; goes in which pairs are dealt with at most, a power of two, and labelled words of one.
+BLOCK_WORDS, MOST_PARTS, PART_WORDS = 4_000_000, 16, 200_000
 #: What a document is judged by, with the bits added to the trusted documents' quantile.
 MEASURES = {"char_bits": MARGIN, "bits": 0.0, "ratio": 0.0, "worst": 0.0}
 
@@ -131,7 +133,7 @@ def _level(counts: DataFrame, lower: DataFrame, context: Column, rest: Column) -
 def train(docs: DataFrame) -> dict[str, np.ndarray] | None:
     """The model of ``docs``: seen n-grams with probabilities and contexts with back-off weights of each order."""
     k = CLASSES
-    three = materialize(count_trigrams(docs), "kn-trigrams")
+    three = materialize(count_trigrams(docs), "kn-trigrams", free=True)
     if three.isEmpty():
         return None
     tail = lambda size: F.pmod(F.col("w"), F.lit(size))
@@ -233,26 +235,7 @@ def word_pairs(docs: DataFrame, *carry: str) -> DataFrame:
 
     ``f`` is the document's fold. Before the first word stands 0.
     """
-    ship_package(docs.sparkSession)
-    rows = _words(docs, *carry)
-    kept = ["doc_id", "hash", *carry]
-    schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + ["g long", "h long", "w long", "n int"])
-
-    def run(batches):
-        for part, size, w in _runs(batches, BATCH_WORDS):
-            row = np.repeat(np.arange(len(size)), size)
-            h = _before(w, size, 0)
-            g = _pair_keys(h, w)
-            order = np.lexsort((g, row))
-            first = np.flatnonzero(np.append(True, (np.diff(g[order]) != 0) | (np.diff(row[order]) != 0)))
-            n = np.diff(np.append(first, len(g))).astype(np.int32)
-            at = order[first]
-            of = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(c).take(of) for c in kept], *[pa.array(x[at].view(np.int64)) for x in (g, h, w)], pa.array(n)],
-                names=[*kept, "g", "h", "w", "n"])
-
-    return rows.mapInArrow(run, schema).withColumn("f", F.pmod("hash", F.lit(2)).cast("int"))
+    return block_pairs(word_blocks(docs, *carry), *carry)
 
 
 def _list(values, kind=None) -> pa.Array:
@@ -260,16 +243,17 @@ def _list(values, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def word_blocks(docs: DataFrame) -> DataFrame:
+def word_blocks(docs: DataFrame, *carry: str) -> DataFrame:
     """Rows of some thousand keyed documents that have words.
 
-    ``doc_id``, ``hash`` and ``size`` (in words) by document; ``vocab``, the
-    distinct words' hashes, the most frequent first; ``words``, the places in
-    it of all words one after another, packed (:func:`_block`).
+    ``doc_id``, ``hash``, ``carry`` and ``size`` (in words) by document;
+    ``vocab``, the distinct words' hashes, the most frequent first; ``words``,
+    the places in it of all words one after another, packed (:func:`_block`).
     """
     ship_package(docs.sparkSession)
-    rows = _words(docs)
-    schema = f"block long, doc_id array<{rows.schema['doc_id'].dataType.simpleString()}>, hash array<long>, size array<int>, vocab array<long>, words binary"
+    rows = _words(docs, *carry)
+    lists = ["doc_id", "hash", *carry]
+    schema = ", ".join(["block long", *[f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in lists], "size array<int>, vocab array<long>, words binary"])
 
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -280,55 +264,99 @@ def word_blocks(docs: DataFrame) -> DataFrame:
             place[order] = np.arange(len(order))
             planes = place[at].view(np.uint8).reshape(-1, 4).T.tobytes()  # the bytes of one rank together pack better
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + k], pa.int64()), _list(part.column("doc_id")), _list(part.column("hash")), _list(size, pa.int32()),
+                [pa.array([(task << 32) + k], pa.int64()), *[_list(part.column(c)) for c in lists], _list(size, pa.int32()),
                  _list(vocab[order].view(np.int64)), pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary())],
-                names=["block", "doc_id", "hash", "size", "vocab", "words"])
+                names=["block", *lists, "size", "vocab", "words"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _block(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words by document, hashes by place (0: before the first word) and ``(fold * places + word before) * places + word`` of all words."""
+def _block(rows: pa.RecordBatch | pa.Table, i: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, ...]:
+    """Words by document, their hashes by place (0: before the first word), and by word its document's fold and number, the place of the word before and its own.
+
+    Only words are told whose pair is in the ``part``; ``parts`` is a power of two.
+    """
     size, vocab, hashes = (np.asarray(rows.column(c)[i].values) for c in ("size", "vocab", "hash"))
     size, ids = size.astype(np.int64), np.append(np.uint64(0), vocab.view(np.uint64))
-    count = int(size.sum())
-    planes = pa.decompress(rows.column("words")[i].as_py(), decompressed_size=4 * count, codec="zstd", asbytes=True)
+    planes = pa.decompress(rows.column("words")[i].as_py(), decompressed_size=4 * int(size.sum()), codec="zstd", asbytes=True)
     w = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64) + 1
-    fold = np.repeat(hashes & 1, size)
-    return size, ids, (fold * len(ids) + _before(w, size, 0)) * len(ids) + w
+    h, row = _before(w, size, 0), np.repeat(np.arange(len(size)), size)
+    if parts > 1:
+        low = (ids & np.uint64(parts - 1)).astype(np.uint8)
+        mine = np.flatnonzero(low[h] ^ low[w] == part)
+        h, w, row = h[mine], w[mine], row[mine]
+    return size, ids, (hashes & 1)[row], row, h, w
 
 
-def _asked_words(blocks: DataFrame) -> DataFrame:
-    """(block, f, w): every word of a block's documents of a fold, and the 0 before the first."""
+def block_pairs(blocks: DataFrame, *carry: str, part: int = 0, parts: int = 1) -> DataFrame:
+    """Rows of :func:`word_pairs` of the documents in ``blocks``, those whose pair is in the part."""
+    kept = ["doc_id", "hash", *carry]
+    schema = ", ".join([f"{c} {blocks.schema[c].dataType.elementType.simpleString()}" for c in kept] + ["g long", "h long", "w long", "n int"])
+
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                _, ids, code = _block(b, i)
+                _, ids, _, row, h, w = _block(b, i, part, parts)
                 k = len(ids)
-                seen = np.zeros(2 * k, bool)
-                seen[code // (k * k) * k + code % k] = True
-                seen[code // (k * k) * k] = True
-                at = np.flatnonzero(seen)
+                code, n = np.unique((row * k + h) * k + w, return_counts=True)
+                h, w = ids[code // k % k], ids[code % k]
+                of = pa.array(code // (k * k))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(b.column("block")[i], len(at)), pa.array((at // k).astype(np.int32)), pa.array(ids[at % k].view(np.int64))], names=["block", "f", "w"])
+                    [*[b.column(c)[i].values.take(of) for c in kept], *[pa.array(x.view(np.int64)) for x in (_pair_keys(h, w), h, w)], pa.array(n.astype(np.int32))],
+                    names=[*kept, "g", "h", "w", "n"])
 
-    return blocks.mapInArrow(run, "block long, f int, w long")
+    return blocks.mapInArrow(run, schema).withColumn("f", F.pmod("hash", F.lit(2)).cast("int"))
 
 
-def _asked_pairs(blocks: DataFrame, part: int) -> DataFrame:
-    """(block, f, g): every word pair of a block's documents of a fold, once, if its key is in this part of ``PARTS``."""
+def _asked(blocks: DataFrame, pairs: bool, part: int, parts: int) -> DataFrame:
+    """(block, f, key): every word of a block's documents of a fold, and the 0 before the first; or every pair. Each once, if it is in the part."""
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                _, ids, code = _block(b, i)
+                _, ids, fold, _, h, w = _block(b, i, part if pairs else 0, parts if pairs else 1)
                 k = len(ids)
-                code = np.unique(code)
-                g = _pair_keys(ids[code // k % k], ids[code % k])
-                at = np.flatnonzero(g % np.uint64(PARTS) == part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(b.column("block")[i], len(at)), pa.array((code[at] // (k * k)).astype(np.int32)), pa.array(g[at].view(np.int64))], names=["block", "f", "g"])
+                if pairs:
+                    code = np.unique((fold * k + h) * k + w)
+                    f, key = code // (k * k), _pair_keys(ids[code // k % k], ids[code % k])
+                else:
+                    seen = np.zeros(2 * k, bool)
+                    seen[fold * k + w] = seen[fold * k] = True
+                    code = np.flatnonzero(seen)
+                    code = code[ids[code % k] % np.uint64(parts) == part]
+                    f, key = code // k, ids[code % k]
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("block")[i], len(key)), pa.array(f.astype(np.int32)), pa.array(key.view(np.int64))],
+                                                 names=["block", "f", "key"])
+
+    return blocks.mapInArrow(run, "block long, f int, key long")
+
+
+def _by_block(rows: DataFrame, pair: bool) -> DataFrame:
+    """``rows`` of (block, f, key, ...) as lists by block, many rows to a list."""
+    given = [c for c in rows.columns if c != "block"]
+    kinds = {"f": "int", "key": "long", "count0": "long", "count1": "long"} | {c: "double" for c in ("one0", "one1", "one2", "gamma0", "gamma1")}
+
+    def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        block = t.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+        ends, of = pa.array(np.append(starts, len(block)).astype(np.int32)), pa.array(order)
+        column = lambda c: t.column(c).combine_chunks().take(of)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[order][starts]), pa.array(np.full(len(starts), pair)),
+             *[pa.ListArray.from_arrays(ends, column(c)) if c in given else pa.nulls(len(starts), pa.list_(pa.float64())) for c in kinds]], names=["block", "pair", *kinds])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            if n >= BATCH_WORDS // 4:
+                yield lists(held)
+                held, n = [], 0
+        if n:
+            yield lists(held)
 
-    return blocks.mapInArrow(run, "block long, f int, g long")
+    return rows.mapInArrow(run, ", ".join(["block long, pair boolean", *[f"{c} array<{kind}>" for c, kind in kinds.items()]]))
 
 
 def _by_count(values: DataFrame, names: list[str]) -> dict[int, dict[str, float]]:
@@ -352,7 +380,14 @@ class WordModels:
 
     def __init__(self, labelled: DataFrame):
         n = [F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1, 2)]
-        counts = materialize(word_pairs(labelled, "cls").groupBy((1 - F.col("f")).alias("f"), "h", "w").agg(*n), "kn-pairs", free=True)
+        blocks = materialize(word_blocks(labelled, "cls"), "kn-labelled", free=True)
+        words = blocks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+        #: goes in which pairs and words are dealt with, so that only a part of them is under way at a time: a power of two
+        self.parts = 1 << min(MOST_PARTS.bit_length() - 1, (words // PART_WORDS).bit_length())
+        by_part = [materialize(block_pairs(blocks, "cls", part=k, parts=self.parts).groupBy((1 - F.col("f")).alias("f"), "h", "w").agg(*n), "kn-pairs", free=True)
+                   for k in range(self.parts)]
+        discard(blocks)
+        counts = reduce(DataFrame.unionByName, by_part)
         follow = materialize(counts.groupBy("f", "w").agg(  # after how many words a word stands
             *[F.count_if(F.col(f"n{c}") > 0).alias(f"n{c}") for c in (0, 1, 2)]), "kn-words", free=True)
         size = 1 + follow.select("w").distinct().count()  # one more for words not seen
@@ -390,11 +425,13 @@ class WordModels:
                 h, w = (b.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
                 yield pa.RecordBatch.from_arrays([b.column("f"), pa.array(_pair_keys(h, w).view(np.int64)), b.column("n0"), b.column("n1")], names=["f", "g", "n0", "n1"])
 
-        self.pairs = materialize(counts.where("n0 + n1 > 0").mapInArrow(keyed, "f int, g long, n0 long, n1 long"), "kn-seen-pairs", free=True)
-        discard(counts, follow)
-
-    def discard(self) -> None:
-        discard(self.pairs, self.known)
+        discard(follow)
+        #: by part of the pairs, how often each was seen
+        self.by_part = []
+        for own in by_part:
+            self.by_part.append(materialize(own.where("n0 + n1 > 0").mapInArrow(keyed, "f int, g long, n0 long, n1 long"), "kn-seen-pairs", free=True))
+            discard(own)
+        self.pairs = reduce(DataFrame.unionByName, self.by_part)
 
     def probabilities(self, pairs: DataFrame) -> DataFrame:
         """Rows of word_pairs with p0 and p1, the probabilities of their second word in each class, and its toxic bits ``t``."""
@@ -412,20 +449,18 @@ class WordModels:
         return rows.mapInArrow(run, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, hash long, n long, p0 double, p1 double, t double")
 
     def replies(self, blocks: DataFrame) -> list[DataFrame]:
-        """What the models know of each block's words and pairs, tables of (block, f, key, pair, counts, one, gamma).
-
-        Pairs are asked for in ``PARTS`` goes, so that only a part of them is under way at a time.
-        """
-        nothing = F.lit(None).cast("double")
-        words = _asked_words(blocks).join(self.known.hint("merge"), ["f", "w"]).select(
-            "block", "f", F.col("w").alias("key"), F.lit(False).alias("pair"), "count0", "count1", "one0", "one1", "one2", "gamma0", "gamma1")
-        out = [materialize(words, "kn-known-words", free=True)]
-        for part in range(PARTS):
-            mine = self.pairs.where(F.expr(f"pmod(g, {PARTS}) = {part}"))  # PARTS is a power of two: the same for unsigned keys
-            pairs = _asked_pairs(blocks, part).join(mine.hint("merge"), ["f", "g"]).select(
-                "block", "f", F.col("g").alias("key"), F.lit(True).alias("pair"), F.col("n0").alias("count0"), F.col("n1").alias("count1"),
-                *[nothing.alias(c) for c in ("one0", "one1", "one2", "gamma0", "gamma1")])
-            out.append(materialize(pairs, "kn-known-pairs", free=True))
+        """What the models know of each block's words and pairs, in ``parts`` goes; a model's tables are gone after that."""
+        out, goes = [], min(4, self.parts)
+        for k in range(goes):
+            mine = self.known.where(F.pmod("w", F.lit(goes)) == k).withColumnRenamed("w", "key")
+            words = _asked(blocks, False, k, goes).join(mine.hint("merge"), ["f", "key"])
+            out.append(materialize(_by_block(words, False), "kn-known-words", free=True))
+        discard(self.known)
+        for k, seen in enumerate(self.by_part):
+            mine = seen.select("f", F.col("g").alias("key"), F.col("n0").alias("count0"), F.col("n1").alias("count1"))
+            pairs = _asked(blocks, True, k, self.parts).join(mine.hint("merge"), ["f", "key"])
+            out.append(materialize(_by_block(pairs, True), "kn-known-pairs", free=True))
+            discard(seen)
         return out
 
 
@@ -461,30 +496,29 @@ def word_scores(docs: DataFrame, models: WordModels) -> DataFrame:
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
         out = []
         for i in range(block.num_rows):  # one row
-            size, ids, code = _block(block, i)
+            size, ids, fold, _, h, w = _block(block, i)
             k = len(ids)
-            code, at = np.unique(code, return_inverse=True)
+            code, at = np.unique((fold * k + h) * k + w, return_inverse=True)
             f, h, w = code // (k * k), code // k % k, code % k
             keys = _pair_keys(ids[h], ids[w])
-            is_pair, fold = (known.column(c).to_numpy() for c in ("pair", "f"))
-            key = known.column("key").to_numpy().view(np.uint64)
-            value = lambda c, rows: known.column(c).cast(pa.float64()).to_numpy()[rows]
-            rows = np.flatnonzero(~is_pair)
+            told = {p: known.filter(pc.equal(known.column("pair"), p)) for p in (False, True)}
+            value = lambda p, c: told[p].column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
             order = np.argsort(ids)
-            spot = fold[rows] * k + order[np.searchsorted(ids, key[rows], sorter=order)]
+            spot = value(False, "f") * k + order[np.searchsorted(ids, value(False, "key").view(np.uint64), sorter=order)]
 
             def of_words(c: str) -> np.ndarray:
                 found = np.full(2 * k, np.nan)
-                found[spot] = value(c, rows)
+                found[spot] = value(False, c)
                 return found
 
             n = [np.zeros(len(code)) for _ in (0, 1)]
+            fold, key = value(True, "f"), value(True, "key").view(np.uint64)
             for x in (0, 1):
-                own, asked = np.flatnonzero(f == x), np.flatnonzero(is_pair & (fold == x))
+                own, asked = np.flatnonzero(f == x), np.flatnonzero(fold == x)
                 order = own[np.argsort(keys[own])]
                 met = order[np.searchsorted(keys[order], key[asked])] if len(asked) else asked
                 for c in (0, 1):
-                    n[c][met] = value(f"count{c}", asked)
+                    n[c][met] = value(True, f"count{c}")[asked]
             p0, p1, t = _likely(f, n, *[[of_words(f"{name}{c}")[f * k + h] for c in (0, 1)] for name in ("count", "gamma")],
                                 [of_words(f"one{c}")[f * k + w] for c in (0, 1, 2)], floor, cuts)
             starts = np.cumsum(size) - size
@@ -494,14 +528,43 @@ def word_scores(docs: DataFrame, models: WordModels) -> DataFrame:
                 c: pa.array(x, pa.float64(), from_pandas=True) for c, x in (("bits", mean(-np.log2(p0))), ("ratio", mean(np.log2(p1 / p0))), ("worst", worst))}))
         return pa.concat_tables(out)
 
-    known = replies[0]
-    for more in replies[1:]:
-        known = known.unionByName(more)
+    known = reduce(DataFrame.unionByName, replies)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, bits double, ratio double, worst double"
-    rows = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
-    found = materialize(rows.groupBy("doc_id", "hash").agg(*[F.min(m).alias(m) for m in ("bits", "ratio", "worst")]), "kn-word-scores", free=True)  # equal rows are equal
+    goes = min(4, models.parts)
+
+    def go(df: DataFrame, k: int):
+        return df.where(F.pmod(F.shiftright("block", 32) + F.col("block"), F.lit(goes)) == k).groupBy("block")
+
+    found = [materialize(go(blocks, k).cogroup(go(known, k)).applyInArrow(run, schema), "kn-word-scores", free=True) for k in range(goes)]
+    scores = reduce(DataFrame.unionByName, found).groupBy("doc_id", "hash").agg(*[F.min(m).alias(m) for m in ("bits", "ratio", "worst")])  # equal rows are equal
     discard(blocks, *replies)
-    return found
+    return scores
+
+
+def packed(texts: DataFrame, *carry: str) -> DataFrame:
+    """``carry``, ``zipped`` and its ``bytes``: texts as they travel to a join."""
+    rows = needed(texts, *carry, "text")
+
+    def run(batches):
+        for b in batches:
+            found = [None if t is None else t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c) for c in carry], pa.array([None if t is None else pa.compress(t, codec="zstd", asbytes=True) for t in found], pa.binary()),
+                 pa.array([0 if t is None else len(t) for t in found], pa.int64())], names=[*carry, "zipped", "bytes"])
+
+    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry], "zipped binary, bytes long"]))
+
+
+def unpacked(rows: DataFrame, *carry: str) -> DataFrame:
+    """``carry`` and ``text`` of :func:`packed` rows."""
+    def run(batches):
+        for b in batches:
+            texts = [None if z is None else pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True)
+                     for z, n in zip(b.column("zipped").to_pylist(), b.column("bytes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(texts, pa.binary()).view(pa.string())], names=[*carry, "text"])
+
+    rows = rows.select(*carry, "zipped", "bytes")
+    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry], "text string"]))
 
 
 def label_classes(labels: DataFrame) -> DataFrame:
@@ -549,15 +612,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, hash, lang, n_chars, the measures, perplexity (a word) and kept of every document."""
     docs = _keyed(needed(docs, "doc_id", "text", "lang"))
     labels = needed(labels, "doc_id", "quality", "toxic")
-    labelled = materialize(docs.join(label_classes(labels).hint("merge"), "doc_id"), "kn-labelled", free=True)  # labels grow with the documents
+    labelled = unpacked(packed(docs, "doc_id", "hash").join(label_classes(labels).hint("merge"), "doc_id"), "doc_id", "hash", "cls")  # labels grow with the documents
     chars = score(docs, train(labelled.where("cls = 0")), "doc_id", "hash", "lang")
     models = WordModels(labelled)
-    discard(labelled)
     words = word_scores(docs, models)
-    models.discard()
     scored = chars.alias("c").join(words.alias("s").hint("merge"), F.col("c.hash").eqNullSafe(F.col("s.hash")) & F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
     scored = materialize(scored.select("c.*", *[f"s.{m}" for m in MEASURES if m != "char_bits"]), "kn-scores", free=True)
-    discard(words)
     rows = materialize(limits(scored.join(trusted_ids(labels), "doc_id")), "kn-limits")
     by_lang = rows.where(~F.col("l_lang").eqNullSafe(F.lit("\u0000any")))
     overall = rows.where(F.col("l_lang") == "\u0000any").select(F.col("l_class").alias("a_class"), F.col("found").alias("a_found"))
