@@ -60,7 +60,7 @@ ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{
 WORD = rf"[{ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{ALONE}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
 BATCH_WORDS = 2_000_000
 #: Words of a block of documents; goes in which pairs are dealt with at most, a power of two, and labelled words of one.
-BLOCK_WORDS, MOST_PARTS, PART_WORDS = 4_000_000, 16, 200_000
+BLOCK_WORDS, MOST_PARTS, PART_WORDS = 2_000_000, 4, 200_000
 #: What a document is judged by, with the bits added to the trusted documents' quantile.
 MEASURES = {"char_bits": MARGIN, "bits": 0.0, "ratio": 0.0, "worst": 0.0}
 
