@@ -3,11 +3,13 @@
 The word model counts the word pairs of the labelled documents, without a
 bound on words or pairs: words are runs of letters and digits of any script
 (single letters in scripts without blanks) and runs of other characters, in
-lower case, as 64-bit hashes. Every document's distinct pairs are looked up
-by sharded joins in the table of seen pairs, which holds finished
-probabilities; pairs not seen are joined with the back-off weights of their
-first word and the continuation probabilities of their second. The sums by
-document are its bits a word and its perplexity.
+lower case, as 64-bit hashes. Documents are kept as packed blocks of some
+thousand. Every distinct pair of a block is looked up by sharded joins in the
+table of seen pairs' counts, and every distinct word in that of back-off
+weights and continuation probabilities; what is known returns to the block,
+where the sums by document are its bits a word and its perplexity. Pairs are
+counted and looked up in a few parts, one after another, and tables and
+shuffle files go once they are used, so that little is on disk at a time.
 
 Documents are dealt to two folds by their text, and each is judged by the
 models of the other fold, so that no labelled document is judged by its own
@@ -60,7 +62,7 @@ ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{
 WORD = rf"[{ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{ALONE}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
 BATCH_WORDS = 2_000_000
 #: Words of a block of documents; goes in which pairs are dealt with at most, a power of two, and labelled words of one.
-BLOCK_WORDS, MOST_PARTS, PART_WORDS = 2_000_000, 4, 200_000
+BLOCK_WORDS, MOST_PARTS, PART_WORDS = 1_000_000, 4, 200_000
 #: What a document is judged by, with the bits added to the trusted documents' quantile.
 MEASURES = {"char_bits": MARGIN, "bits": 0.0, "ratio": 0.0, "worst": 0.0}
 
