@@ -42,27 +42,27 @@ alike; an empty table gives no rows; other columns are ignored, and
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, needed, parts, ship_package, table
+from .common import discard, materialize, mix64, needed, ship_package, table
 
 OTHERS = 95
 CLASSES = 2 + 95 + OTHERS  # a text's start, control characters, printable ASCII, others
 QUANTILE, MARGIN, LEAST = 0.99, 0.5, 50
-BATCH_CHARS = 4_000_000
-#: Letters of scripts without blanks, one word each; other words; pairs of words that are sorted together.
-ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-WORD = rf"[{ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{ALONE}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
+#: Characters of scripts without blanks, one word each; bytes of the texts whose words are found together; pairs of words that are sorted together.
+ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+PIECE_BYTES = 500_000
 BATCH_WORDS = 2_000_000
 #: Words of a block of documents; goes in which pairs are dealt with at most, a power of two, and labelled words of one.
-BLOCK_WORDS, MOST_PARTS, PART_WORDS = 1_000_000, 4, 200_000
+BLOCK_WORDS, MOST_PARTS, PART_WORDS = 700_000, 4, 200_000
 #: What a document is judged by, with the bits added to the trusted documents' quantile.
 MEASURES = {"char_bits": MARGIN, "bits": 0.0, "ratio": 0.0, "worst": 0.0}
 
@@ -87,21 +87,42 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.where("doc_id IS NOT NULL AND q = 1 AND t = 0").select("doc_id")
 
 
+def _text_columns(docs: DataFrame) -> list[str]:
+    return ["zipped", "bytes"] if "zipped" in docs.columns else ["text"]
+
+
+def _texts(b: pa.RecordBatch) -> list[str | None]:
+    """The batch's texts, :func:`packed` or not: who reads packed ones unpacks them, as a step for that would take workers of its own."""
+    if "zipped" not in b.schema.names:
+        return b.column("text").to_pylist()
+    return [None if z is None else pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+            for z, n in zip(b.column("zipped").to_pylist(), b.column("bytes").to_pylist(), strict=True)]
+
+
+def _pieces(b: pa.RecordBatch):
+    """Neighbouring rows whose texts together have up to PIECE_BYTES, or one longer text."""
+    sizes = b.column("bytes") if "zipped" in b.schema.names else pc.fill_null(pc.binary_length(b.column("text")), 0)
+    ends, begin = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PIECE_BYTES, "right")))
+        yield b.slice(begin, end - begin)
+        begin = end
+
+
 def count_trigrams(docs: DataFrame) -> DataFrame:
     """(w, n) over all of ``docs``."""
     ship_package(docs.sparkSession)
 
     def run(batches):
+        n = np.zeros(CLASSES ** 3, np.int64)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for begin, end in parts(texts, BATCH_CHARS):
-                grams = [trigrams(t) for t in texts[begin:end] if t]
-                if grams:
-                    n = np.bincount(np.concatenate(grams))
-                    seen = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["w", "n"])
+            for piece in _pieces(b):
+                if grams := [trigrams(t) for t in _texts(piece) if t]:
+                    np.add.at(n, np.concatenate(grams), 1)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["w", "n"])
 
-    return needed(docs, "text").mapInArrow(run, "w int, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return needed(docs, *_text_columns(docs)).mapInArrow(run, "w int, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def _discount_columns() -> list[Column]:
@@ -165,9 +186,15 @@ def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
     g2[model["g2_at"]], g3[model["g3_at"]] = model["g2"], model["g3"]
     two = (g2[:, None] * one[None, :]).reshape(-1)
     two[model["p2_at"]] = model["p2"]
-    three = (g3.reshape(k, k)[:, :, None] * two.reshape(1, k, k)).reshape(-1)
-    three[model["p3_at"]] = model["p3"]
-    return -np.log2(three).astype(np.float32)
+    order = np.argsort(model["p3_at"])
+    at, p3 = model["p3_at"][order], model["p3"][order]
+    costs = np.empty((k, k * k), np.float32)
+    for c in range(k):  # by the first class, as only single floats of all trigrams are kept
+        three = (g3.reshape(k, k)[c, :, None] * two.reshape(k, k)).reshape(-1)
+        begin, end = np.searchsorted(at, (c * k * k, (c + 1) * k * k))
+        three[at[begin:end] - c * k * k] = p3[begin:end]
+        costs[c] = -np.log2(three)
+    return costs.reshape(-1)
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, *carry: str) -> DataFrame:
@@ -198,26 +225,59 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("hash", F.xxhash64("text"))
 
 
-def _words(docs: DataFrame, *carry: str) -> DataFrame:
-    """(doc_id, hash, carry, ids): 64-bit hashes of each row's words; texts without words are left to :func:`_runs`,
-    as a filter here would look for the words twice."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    return docs.select("doc_id", "hash", *carry, F.transform(found, lambda w: F.xxhash64(w)).alias("ids"))
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """By code point: 0 white space, 1 other characters, 2 letters, marks and digits; those of ALONE 3, 4 if letters, marks or digits."""
+    every, kind = "".join(map(chr, range(0x110000))), np.ones(0x110000, np.uint8)
+    for k, pattern in ((2, r"[\p{L}\p{M}\p{N}]+"), (3, f"[{ALONE}]+"), (0, r"[ \t\n\x0b\f\r]+")):
+        for m in regex.finditer(pattern, every):
+            kind[m.start():m.end()] = np.where(kind[m.start():m.end()] == 2, 4, 3) if k == 3 else k
+    return kind
 
 
-def _runs(batches, limit: int):
-    """(rows, words of each, all words) of neighbouring rows with words that together have so many, or of one longer row."""
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text and the 64-bit hashes of all words, in lower case, one after another.
+
+    Words are the matches of ``[ALONE]|[letters, marks, digits but ALONE]+|[others]+``, the first that fits.
+    """
+    held = [(t or "").lower() for t in texts]
+    cp = np.frombuffer("\n".join([*held, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = _kinds()[cp]
+    before = np.append(np.uint8(0), kind[:-1])
+    start = (kind == 4) | ((kind == 2) & (before != 2)) | ((kind == 1) & (before != 1))
+    if (kind == 3).any():  # a sign is a word of its own unless other characters before it have begun one
+        sign = (kind & 1).astype(bool)
+        others = np.cumsum(kind == 1) - (kind == 1)
+        run = np.flatnonzero(sign & (before & 1 == 0))
+        at = np.flatnonzero(sign)
+        start[at] = others[at] == others[run][np.searchsorted(run, at, "right") - 1]
+    n = np.add.reduceat(start.astype(np.int64), np.cumsum([0, *[len(t) + 1 for t in held[:-1]]])) if held else np.empty(0, np.int64)
+    at = np.flatnonzero(kind)
+    begin = np.flatnonzero(start[at])
+    if not len(begin):
+        return n, np.empty(0, np.uint64)
+    nth = np.arange(len(at), dtype=np.uint64) - np.repeat(begin.astype(np.uint64), np.diff(begin, append=len(at)))
+    return n, mix64(np.add.reduceat(mix64((nth << np.uint64(21) | cp[at]) + np.uint64(0x9E3779B97F4A7C15)), begin))
+
+
+def _runs(batches, limit: int, keep: list[str]):
+    """(rows, words of each, all words) of neighbouring rows with words that together have so many, or of a piece or row with more."""
+    def whole(held: list[tuple]):
+        rows, size, words = pa.Table.from_batches([x[0] for x in held]), *[np.concatenate([x[k] for x in held]) for k in (1, 2)]
+        return rows.filter(pa.array(size > 0)).combine_chunks(), size[size > 0], words
+
     for b in batches:
-        sizes = b.column("ids").value_lengths().fill_null(0)
-        b = b.filter(pc.greater(sizes, 0))
-        sizes, begin = sizes.to_numpy(zero_copy_only=False), 0
-        sizes = sizes[sizes > 0].astype(np.int64)
-        ends = np.cumsum(sizes)
-        while begin < len(sizes):
-            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit, "right")))
-            part = b.slice(begin, end - begin)
-            yield part, sizes[begin:end], part.column("ids").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            begin = end
+        held, n = [], 0
+        for piece in _pieces(b):
+            size, words = word_hashes(_texts(piece))
+            if n and n + len(words) > limit:
+                yield whole(held)
+                held, n = [], 0
+            if len(words):
+                held.append((piece.select(keep), size, words))
+                n += len(words)
+        if n:
+            yield whole(held)
 
 
 def _before(w: np.ndarray, size: np.ndarray, start) -> np.ndarray:
@@ -253,20 +313,20 @@ def word_blocks(docs: DataFrame, *carry: str) -> DataFrame:
     the places in it of all words one after another, packed (:func:`_block`).
     """
     ship_package(docs.sparkSession)
-    rows = _words(docs, *carry)
     lists = ["doc_id", "hash", *carry]
+    rows = docs.select(*lists, *_text_columns(docs))
     schema = ", ".join(["block long", *[f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in lists], "size array<int>, vocab array<long>, words binary"])
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        for k, (part, size, w) in enumerate(_runs(batches, BLOCK_WORDS)):
+        for k, (part, size, w) in enumerate(_runs(batches, BLOCK_WORDS, lists)):
             vocab, at, n = np.unique(w, return_inverse=True, return_counts=True)
             order = np.argsort(-n, kind="stable")
             place = np.empty(len(order), "<u4")
             place[order] = np.arange(len(order))
             planes = place[at].view(np.uint8).reshape(-1, 4).T.tobytes()  # the bytes of one rank together pack better
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + k], pa.int64()), *[_list(part.column(c)) for c in lists], _list(size, pa.int32()),
+                [pa.array([(task << 32) + k], pa.int64()), *[_list(part.column(c).combine_chunks()) for c in lists], _list(size, pa.int32()),
                  _list(vocab[order].view(np.int64)), pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary())],
                 names=["block", *lists, "size", "vocab", "words"])
 
@@ -466,7 +526,11 @@ class WordModels:
         return out
 
 
-def _likely(f: np.ndarray, n: list, total: list, gamma: list, one: list, floor: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+def _flat(lists: pa.Table, c: str) -> np.ndarray:
+    return lists.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _likely(f: np.ndarray | int, n: list, total: list, gamma: list, one: list, floor: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
     """p0, p1 and toxic bits; a list has an array a class, NaN where a table has nothing.
 
     The toxic bits are those by which toxic text makes the word likelier than trusted text; pairs are too rare to tell.
@@ -498,36 +562,37 @@ def word_scores(docs: DataFrame, models: WordModels) -> DataFrame:
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
         out = []
         for i in range(block.num_rows):  # one row
-            size, ids, fold, _, h, w = _block(block, i)
-            k = len(ids)
-            code, at = np.unique((fold * k + h) * k + w, return_inverse=True)
-            f, h, w = code // (k * k), code // k % k, code % k
-            keys = _pair_keys(ids[h], ids[w])
-            told = {p: known.filter(pc.equal(known.column("pair"), p)) for p in (False, True)}
-            value = lambda p, c: told[p].column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            size, ids, of, _, first, second = _block(block, i)
+            k, folds = len(ids), np.asarray(block.column("hash")[i].values) & 1
             order = np.argsort(ids)
-            spot = value(False, "f") * k + order[np.searchsorted(ids, value(False, "key").view(np.uint64), sorter=order)]
-
-            def of_words(c: str) -> np.ndarray:
-                found = np.full(2 * k, np.nan)
-                found[spot] = value(False, c)
-                return found
-
-            n = [np.zeros(len(code)) for _ in (0, 1)]
-            fold, key = value(True, "f"), value(True, "key").view(np.uint64)
-            for x in (0, 1):
-                own, asked = np.flatnonzero(f == x), np.flatnonzero(fold == x)
-                order = own[np.argsort(keys[own])]
-                met = order[np.searchsorted(keys[order], key[asked])] if len(asked) else asked
+            told = {p: known.filter(pc.equal(known.column("pair"), p)) for p in (False, True)}
+            for x in (0, 1):  # the documents of a fold, as the other's models judge them
+                mine = np.flatnonzero(of == x)
+                if not len(mine):
+                    continue
+                code, at = np.unique(first[mine] * k + second[mine], return_inverse=True)
+                h, w = code // k, code % k
+                here = {p: np.flatnonzero(_flat(t, "f") == x) for p, t in told.items()}
+                spot = order[np.searchsorted(ids, _flat(told[False], "key")[here[False]].view(np.uint64), sorter=order)]
+
+                def of_words(c: str) -> np.ndarray:
+                    found = np.full(k, np.nan)
+                    found[spot] = _flat(told[False], c)[here[False]]
+                    return found
+
+                keys, n = _pair_keys(ids[h], ids[w]), [np.zeros(len(code)) for _ in (0, 1)]
+                by_key = np.argsort(keys)
+                met = by_key[np.searchsorted(keys, _flat(told[True], "key")[here[True]].view(np.uint64), sorter=by_key)]
                 for c in (0, 1):
-                    n[c][met] = value(True, f"count{c}")[asked]
-            p0, p1, t = _likely(f, n, *[[of_words(f"{name}{c}")[f * k + h] for c in (0, 1)] for name in ("count", "gamma")],
-                                [of_words(f"one{c}")[f * k + w] for c in (0, 1, 2)], floor, cuts)
-            starts = np.cumsum(size) - size
-            mean = lambda bits: np.add.reduceat(_millionths(bits)[at], starts) / size / 1e6
-            worst = np.maximum.reduceat(_millionths(t)[at] / 1e6, starts)
-            out.append(pa.table({"doc_id": block.column("doc_id")[i].values, "hash": block.column("hash")[i].values} | {
-                c: pa.array(x, pa.float64(), from_pandas=True) for c, x in (("bits", mean(-np.log2(p0))), ("ratio", mean(np.log2(p1 / p0))), ("worst", worst))}))
+                    n[c][met] = _flat(told[True], f"count{c}")[here[True]]
+                p0, p1, t = _likely(x, n, *[[of_words(f"{name}{c}")[h] for c in (0, 1)] for name in ("count", "gamma")],
+                                    [of_words(f"one{c}")[w] for c in (0, 1, 2)], floor, cuts)
+                row = np.flatnonzero(folds == x)
+                starts = np.cumsum(size[row]) - size[row]
+                mean = lambda bits: np.add.reduceat(_millionths(bits)[at], starts) / size[row] / 1e6
+                worst = np.maximum.reduceat(_millionths(t)[at] / 1e6, starts)
+                out.append(pa.table({c: block.column(c)[i].values.take(pa.array(row)) for c in ("doc_id", "hash")} | {
+                    c: pa.array(v, pa.float64(), from_pandas=True) for c, v in (("bits", mean(-np.log2(p0))), ("ratio", mean(np.log2(p1 / p0))), ("worst", worst))}))
         return pa.concat_tables(out)
 
     known = reduce(DataFrame.unionByName, replies)
@@ -557,18 +622,6 @@ def packed(texts: DataFrame, *carry: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry], "zipped binary, bytes long"]))
 
 
-def unpacked(rows: DataFrame, *carry: str) -> DataFrame:
-    """``carry`` and ``text`` of :func:`packed` rows."""
-    def run(batches):
-        for b in batches:
-            texts = [None if z is None else pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True)
-                     for z, n in zip(b.column("zipped").to_pylist(), b.column("bytes").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(texts, pa.binary()).view(pa.string())], names=[*carry, "text"])
-
-    rows = rows.select(*carry, "zipped", "bytes")
-    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry], "text string"]))
-
-
 def label_classes(labels: DataFrame) -> DataFrame:
     """(doc_id, cls) of the labelled documents that train: 0 trusted, 1 of low quality, 2 toxic, if all labels say so.
 
@@ -614,7 +667,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, hash, lang, n_chars, the measures, perplexity (a word) and kept of every document."""
     docs = _keyed(needed(docs, "doc_id", "text", "lang"))
     labels = needed(labels, "doc_id", "quality", "toxic")
-    labelled = unpacked(packed(docs, "doc_id", "hash").join(label_classes(labels).hint("merge"), "doc_id"), "doc_id", "hash", "cls")  # labels grow with the documents
+    labelled = packed(docs, "doc_id", "hash").join(label_classes(labels).hint("merge"), "doc_id")  # labels grow with the documents
     chars = score(docs, train(labelled.where("cls = 0")), "doc_id", "hash", "lang")
     models = WordModels(labelled)
     words = word_scores(docs, models)

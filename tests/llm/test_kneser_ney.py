@@ -4,9 +4,12 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from regilake.llm import kneser_ney
 from regilake.session import checkpoint_dir
@@ -81,3 +84,50 @@ def test_a_blocks_pair_is_asked_for_once(spark):
     asked = [kneser_ney._asked(blocks, True, k, 4).count() for k in range(4)]
     assert blocks.count() == 1 and sum(asked) == 4  # start one, one two, two three, three one
     assert kneser_ney._asked(blocks, False, 0, 1).count() == 4
+
+
+def test_words_are_those_of_the_pattern(spark):
+    alone = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+    word = rf"[{alone}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{alone}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
+    r = random.Random(3)
+    pool = "abXYZ09 \n\t!?.,-éßжДѠΣςİ中々〇⺀あカไย฿ລខ។မ၊က\u3000\u2003\U0001f600\x0b\x1c\x85"
+    texts = ["".join(r.choices(pool, k=r.randint(0, 40))) for _ in range(1500)] + ["", None, " \n", "၊၊!၊", "a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = [x.words or [] for x in rows.select("i", F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)).alias("words")).orderBy("i").collect()]
+    n, hashes = kneser_ney.word_hashes(texts)
+    assert n.tolist() == [len(x) for x in found]
+    of = {}
+    for w, h in zip((w for x in found for w in x), hashes.tolist(), strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+    assert [len(x) for x in kneser_ney.word_hashes([])] == [0, 0]
+
+
+def test_packed_texts_are_read_without_a_step_of_their_own(spark):
+    texts = ["Ab ab, ab", "", None, "один два 中文", "x" * 40]
+    docs = kneser_ney._keyed(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], DOCS))
+    packed = kneser_ney.packed(docs, "doc_id", "hash")
+    pairs = [sorted(map(tuple, kneser_ney.word_pairs(x).collect())) for x in (docs, packed)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 8
+    grams = [sorted(map(tuple, kneser_ney.count_trigrams(x).collect())) for x in (docs, packed)]
+    assert grams[0] == grams[1] and sum(n for _, n in grams[0]) == sum(len(t or "") for t in texts)
+    plan = kneser_ney.word_blocks(packed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # packed, read
+
+
+def test_cost_table_is_made_piece_by_piece():
+    k = kneser_ney.CLASSES
+    model = {"gamma1": np.array([0.5]), "p1_at": np.array([3, 1]), "p1": np.array([0.2, 0.1]), "p2_at": np.array([5, 700]), "p2": np.array([0.3, 0.2]),
+             "g2_at": np.array([0, 3]), "g2": np.array([0.5, 0.4]), "p3_at": np.array([k ** 3 - 1, 9, 2 * k * k, k * k + 7]),
+             "p3": np.array([0.9, 0.8, 0.7, 0.6]), "g3_at": np.array([k + 1, 2]), "g3": np.array([0.25, 0.75])}
+    tracemalloc.start()
+    costs = kneser_ney.log_table(model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert costs.dtype == np.float32 and len(costs) == k ** 3 and peak < 2 * costs.nbytes
+    one, g2 = {3: 0.2, 1: 0.1}, {0: 0.5, 3: 0.4}
+    two = lambda w: {5: 0.3, 700: 0.2}.get(w, g2.get(w // k, 1.0) * one.get(w % k, 0.5 / k))
+    three = dict(zip(model["p3_at"].tolist(), model["p3"].tolist(), strict=True))
+    for w in [*three, 0, 5, 700, (k + 1) * k + 3, 2 * k + 1, 12345, 3 * k * k + 3 * k + 3]:
+        p = three.get(w, {k + 1: 0.25, 2: 0.75}.get(w // k, 1.0) * two(w % (k * k)))
+        assert costs[w] == pytest.approx(-math.log2(p), rel=1e-6)
