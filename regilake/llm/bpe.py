@@ -195,10 +195,11 @@ def _encoder(path: str, pattern: str) -> Encoder:
 BATCH_CHARS = 4_000_000
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, memo: int = MEMO,
+                     chars: int = BATCH_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids (array) of every row.
 
-    ``ids_sha256``: of the decimal ids joined by commas; ``decoded_sha256``: of the bytes that decoding the ids gives.
+    ``memo`` and ``chars`` bound what a worker remembers and encodes together. ``ids_sha256``: of the decimal ids joined by commas; ``decoded_sha256``: of the bytes that decoding the ids gives.
     """
     ship_package(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -208,7 +209,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         encoder = _encoder(ranks_path, pattern)
         for b in batches:
             doc_ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for begin, end in parts(texts, BATCH_CHARS):
+            for begin, end in parts(texts, chars):
                 n, ids, decoded, lists = [], [], [], []
                 for words in encoder.encode(texts[begin:end], memo):
                     joined = ",".join([w[0] for w in words])

@@ -85,3 +85,10 @@ def test_filters_keep_odd_column_names(corpus):
     for kept in (quality_rules.filter_documents(docs), near_join.keep_one(docs)):
         assert kept.columns == docs.columns and kept.count() >= 80
         assert {r["a.b"] for r in kept.select("`a.b`").collect()} <= set(range(89))
+
+
+def test_bpe_does_not_depend_on_its_bounds(spark, corpus):
+    docs, ranks = corpus[1], public_tokenizers.path(corpus_pipeline.RANKS)
+    few = corpus_pipeline.bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, memo=1, chars=3000)
+    many = corpus_pipeline.bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
