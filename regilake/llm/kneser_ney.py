@@ -4,12 +4,14 @@ The word model counts the word pairs of the labelled documents, without a
 bound on words or pairs: words are runs of letters and digits of any script
 (single letters in scripts without blanks) and runs of other characters, in
 lower case, as 64-bit hashes. Documents are kept as packed blocks of some
-thousand. Every distinct pair of a block is looked up by sharded joins in the
-table of seen pairs' counts, and every distinct word in that of back-off
-weights and continuation probabilities; what is known returns to the block,
-where the sums by document are its bits a word and its perplexity. Pairs are
-counted and looked up in a few parts, one after another, and tables and
-shuffle files go once they are used, so that little is on disk at a time.
+thousand. Every distinct pair of a block is looked up in the table of seen
+pairs' counts, and every distinct word in that of back-off weights and
+continuation probabilities: tables and blocks send their sorted keys, packed,
+to the keys' ranges, and what is known returns in the order of the keys to the
+block, where the sums by document are its bits a word and its perplexity.
+Pairs are counted in a few parts and documents judged in as many, one after
+another, and tables and shuffle files go once they are used, so that little is
+on disk at a time.
 
 Documents are dealt to two folds by their text, and each is judged by the
 models of the other fold, so that no labelled document is judged by its own
@@ -61,8 +63,13 @@ QUANTILE, MARGIN, LEAST = 0.99, 0.5, 50
 ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 PIECE_BYTES = 500_000
 BATCH_WORDS = 2_000_000
-#: Words of a block of documents; goes in which pairs are dealt with at most, a power of two, and labelled words of one.
+#: Words of a block of documents; goes in which pairs and documents are dealt with at most, a power of two, and labelled words of one.
 BLOCK_WORDS, MOST_PARTS, PART_WORDS = 700_000, 4, 200_000
+#: Ranges of keys in which a fold's words or pairs are looked up are ``2 ** LEAST_BITS``, or more so that labelled words of one are no more.
+LEAST_BITS, RANGE_WORDS = 7, 8_000_000
+#: What is known of a word by class: after how many words it stands; as the first of pairs, their number and how many stand once, twice, more often. Of a pair: how often it stands.
+WORD_VALUES = ["n0", "n1", "n2", *[f"{x}{c}" for c in (0, 1) for x in ("count", "a", "b", "c")]]
+PAIR_VALUES = ["n0", "n1"]
 #: What a document is judged by, with the bits added to the trusted documents' quantile.
 MEASURES = {"char_bits": MARGIN, "bits": 0.0, "ratio": 0.0, "worst": 0.0}
 
@@ -370,55 +377,163 @@ def block_pairs(blocks: DataFrame, *carry: str, part: int = 0, parts: int = 1) -
     return blocks.mapInArrow(run, schema).withColumn("f", F.pmod("hash", F.lit(2)).cast("int"))
 
 
+def block_counts(blocks: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(f, h, w, n0, n1, n2): how often each block's documents of a fold have a pair, by class; ``f`` is the other fold, which they judge."""
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                _, ids, fold, row, h, w = _block(b, i, part, parts)
+                k, cls = len(ids), np.asarray(b.column("cls")[i].values)[row]
+                code, at = np.unique((fold * k + h) * k + w, return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((1 - code // (k * k)).astype(np.int32)), *[pa.array(ids[x].view(np.int64)) for x in (code // k % k, code % k)],
+                     *[pa.array(np.bincount(at[cls == c], minlength=len(code)).astype(np.int32)) for c in (0, 1, 2)]], names=["f", "h", "w", "n0", "n1", "n2"])
+
+    return blocks.mapInArrow(run, "f int, h long, w long, n0 int, n1 int, n2 int")
+
+
+def _sought(ids: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a fold's words: their places and 0, each once, by hash; their pairs' codes and keys, each once, and the codes' places by key."""
+    k = len(ids)
+    seen = np.zeros(k, bool)
+    seen[w] = seen[0] = True
+    places, code = np.flatnonzero(seen), np.unique(h * k + w)
+    keys = _pair_keys(ids[code // k], ids[code % k])
+    return places[np.argsort(ids[places])], code, keys, np.argsort(keys)
+
+
 def _asked(blocks: DataFrame, pairs: bool, part: int, parts: int) -> DataFrame:
     """(block, f, key): every word of a block's documents of a fold, and the 0 before the first; or every pair. Each once, if it is in the part."""
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 _, ids, fold, _, h, w = _block(b, i, part if pairs else 0, parts if pairs else 1)
-                k = len(ids)
-                if pairs:
-                    code = np.unique((fold * k + h) * k + w)
-                    f, key = code // (k * k), _pair_keys(ids[code // k % k], ids[code % k])
-                else:
-                    seen = np.zeros(2 * k, bool)
-                    seen[fold * k + w] = seen[fold * k] = True
-                    code = np.flatnonzero(seen)
-                    code = code[ids[code % k] % np.uint64(parts) == part]
-                    f, key = code // k, ids[code % k]
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("block")[i], len(key)), pa.array(f.astype(np.int32)), pa.array(key.view(np.int64))],
-                                                 names=["block", "f", "key"])
+                for x in np.unique(fold).tolist():
+                    places, _, keys, _ = _sought(ids, h[fold == x], w[fold == x])
+                    if not pairs:
+                        keys = ids[places][ids[places] % np.uint64(parts) == part]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column("block")[i], len(keys)), pa.array(np.full(len(keys), x, np.int32)), pa.array(keys.view(np.int64))],
+                                                     names=["block", "f", "key"])
 
     return blocks.mapInArrow(run, "block long, f int, key long")
 
 
-def _by_block(rows: DataFrame, pair: bool) -> DataFrame:
-    """``rows`` of (block, f, key, ...) as lists by block, many rows to a list."""
-    given = [c for c in rows.columns if c != "block"]
-    kinds = {"f": "int", "key": "long", "count0": "long", "count1": "long"} | {c: "double" for c in ("one0", "one1", "one2", "gamma0", "gamma1")}
+def _zip(x: np.ndarray) -> bytes:
+    """Whole numbers from 0, packed: their width in bytes, then the bytes of one rank together, as these pack better."""
+    width = np.min_scalar_type(int(x.max(initial=0))).itemsize
+    planes = x.reshape(-1).astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unzip(packed: bytes, n: int) -> np.ndarray:
+    width = packed[0]
+    planes = pa.decompress(packed[1:], decompressed_size=width * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype(np.uint64)
 
-    def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        block = t.column("block").to_numpy()
-        order = np.argsort(block, kind="stable")
-        starts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
-        ends, of = pa.array(np.append(starts, len(block)).astype(np.int32)), pa.array(order)
-        column = lambda c: t.column(c).combine_chunks().take(of)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(block[order][starts]), pa.array(np.full(len(starts), pair)),
-             *[pa.ListArray.from_arrays(ends, column(c)) if c in given else pa.nulls(len(starts), pa.list_(pa.float64())) for c in kinds]], names=["block", "pair", *kinds])
+
+def _zip_keys(keys: np.ndarray) -> bytes:
+    return _zip(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unzip_keys(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unzip(packed, n), dtype=np.uint64)
+
+
+def _ranges(keys: np.ndarray, bits: int):
+    """(range, begin, end) of sorted keys by their first bits, those with keys."""
+    ends = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+    return [(r, int(ends[r]), int(ends[r + 1])) for r in np.flatnonzero(np.diff(ends)).tolist()]
+
+
+def _by_range(rows: DataFrame, names: list[str], first: int, bits: int) -> DataFrame:
+    """(range, n, keys, found): ``rows`` of (f, w, names) or of (f, h, w, names), packed by ranges of the words' or the pairs' keys, many rows to one.
+
+    The ranges of fold ``f`` follow ``first + f``, shifted by ``bits``.
+    """
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t, out = pa.Table.from_batches(held), []
+        f, w, *h = (t.column(c).to_numpy() for c in ("f", "w", *[c for c in ("h",) if c in t.schema.names]))
+        keys = _pair_keys(h[0].view(np.uint64), w.view(np.uint64)) if h else w.view(np.uint64)
+        values = np.stack([t.column(c).to_numpy() for c in names])
+        for x in (0, 1):
+            of = np.flatnonzero(f == x)
+            of = of[np.argsort(keys[of])]
+            out += [((first + x) << bits | r, end - begin, _zip_keys(keys[of[begin:end]]), _zip(values[:, of[begin:end]])) for r, begin, end in _ranges(keys[of], bits)]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                                          names=["range", "n", "keys", "found"])
 
     def run(batches):
         held, n = [], 0
         for b in batches:
             held, n = [*held, b], n + b.num_rows
-            if n >= BATCH_WORDS // 4:
-                yield lists(held)
+            if n >= BATCH_WORDS // 2:
+                yield packed(held)
                 held, n = [], 0
         if n:
-            yield lists(held)
+            yield packed(held)
+
+    return rows.mapInArrow(run, "range int, n int, keys binary, found binary")
+
 
-    return rows.mapInArrow(run, ", ".join(["block long, pair boolean", *[f"{c} array<{kind}>" for c, kind in kinds.items()]]))
+def _rows(packed: DataFrame, key: str, names: list[str], bits: int) -> DataFrame:
+    """(f, key, names) of what :func:`_by_range` has packed."""
+    def run(batches):
+        for b in batches:
+            for r, n, keys, found in zip(*[b.column(c).to_pylist() for c in ("range", "n", "keys", "found")], strict=True):
+                values = _unzip(found, n * len(names)).astype(np.int64).reshape(-1, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r >> bits & 1, np.int32)), pa.array(_unzip_keys(keys, n).view(np.int64)),
+                                                  *[pa.array(v) for v in values]], names=["f", key, *names])
+
+    return packed.mapInArrow(run, ", ".join(["f int", f"{key} long", *[f"{c} long" for c in names]]))
+
+
+def _requests(blocks: DataFrame, bits: int) -> DataFrame:
+    """(range, n, keys, block): the sorted keys of each block's words and pairs, by fold, packed by range."""
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                (_, ids, fold, _, h, w), out = _block(b, i), []
+                for x in np.unique(fold).tolist():
+                    places, _, keys, by_key = _sought(ids, h[fold == x], w[fold == x])
+                    for group, sought in ((x, ids[places]), (2 + x, keys[by_key])):
+                        out += [(group << bits | r, end - begin, _zip_keys(sought[begin:end])) for r, begin, end in _ranges(sought, bits)]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.repeat(b.column("block")[i], len(out))], names=["range", "n", "keys", "block"])
+
+    return blocks.mapInArrow(run, "range int, n int, keys binary, block long")
+
+
+def looked_up(requests: DataFrame, tables: DataFrame, bits: int) -> DataFrame:
+    """(range, n, block, found): what the tables of :func:`_by_range` know of each request's keys, in their order; 0 where they have nothing."""
+    known = tables.withColumn("block", F.lit(-1).cast("long"))  # before the requests of their range
+    rows = known.unionByName(requests.withColumn("found", F.lit(None).cast("binary"))).repartition("range").sortWithinPartitions("range", "block")
+
+    def run(batches):
+        now, held, table = None, [], None
+        for b in batches:
+            out = []
+            for r, n, keys, block, found in zip(*[b.column(c).to_pylist() for c in ("range", "n", "keys", "block", "found")], strict=True):
+                width = len(PAIR_VALUES if r >> bits > 1 else WORD_VALUES)
+                if r != now:
+                    now, held, table = r, [], None
+                if block < 0:
+                    held.append((_unzip_keys(keys, n), _unzip(found, n * width).reshape(width, n)))
+                    continue
+                if table is None:
+                    held.append((np.empty(0, np.uint64), np.empty((width, 0), np.uint64)))
+                    own, values = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held], axis=1)
+                    order = np.argsort(own)
+                    # one column more, of what is not known
+                    table, held = (own[order], np.append(values[:, order], np.zeros((width, 1), np.uint64), axis=1)), []
+                asked = _unzip_keys(keys, n)
+                at = np.searchsorted(table[0], asked)
+                at[np.append(table[0], ~asked[-1])[at] != asked] = len(table[0])
+                out.append((r, n, block, _zip(table[1][:, at])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                                                 names=["range", "n", "block", "found"])
+
+    return rows.mapInArrow(run, "range int, n int, block long, found binary")
 
 
 def _by_count(values: DataFrame, names: list[str]) -> dict[int, dict[str, float]]:
@@ -438,16 +553,20 @@ class WordModels:
     """Tables by fold ``f`` of the documents to be judged, a column a class: of seen pairs' counts, and of words.
 
     ``labelled`` are keyed documents with ``cls``. Model ``2 * cls + f`` is trained on the labelled documents of the other fold.
+    With ``free``, ``labelled`` is a table that goes once it is read.
     """
 
-    def __init__(self, labelled: DataFrame):
-        n = [F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1, 2)]
+    def __init__(self, labelled: DataFrame, free: bool = False):
+        n = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1, 2)]
         blocks = materialize(word_blocks(labelled, "cls"), "kn-labelled", free=True)
+        if free:
+            discard(labelled)
         words = blocks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
         #: goes in which pairs and words are dealt with, so that only a part of them is under way at a time: a power of two
         self.parts = 1 << min(MOST_PARTS.bit_length() - 1, (words // PART_WORDS).bit_length())
-        by_part = [materialize(block_pairs(blocks, "cls", part=k, parts=self.parts).groupBy((1 - F.col("f")).alias("f"), "h", "w").agg(*n), "kn-pairs", free=True)
-                   for k in range(self.parts)]
+        #: first bits of keys that tell a range
+        self.bits = max(LEAST_BITS, (words // RANGE_WORDS).bit_length())
+        by_part = [materialize(block_counts(blocks, k, self.parts).groupBy("f", "h", "w").agg(*n), "kn-pairs", free=True) for k in range(self.parts)]
         discard(blocks)
         counts = reduce(DataFrame.unionByName, by_part)
         follow = materialize(counts.groupBy("f", "w").agg(  # after how many words a word stands
@@ -456,7 +575,8 @@ class WordModels:
         ones, twos = _by_count(follow, ["n0", "n1", "n2"]), _by_count(counts, ["n0", "n1"])
         #: by model: probability of a word not seen, discounts of pairs by their count
         self.floor = np.array([ones[m]["cut"] / ones[m]["sum"] / size if m in ones else np.nan for m in range(6)])
-        self.cuts = np.array([[0.0, *[twos[m][d] for d in ("d1", "d2", "d3")]] if m in twos else [0.0] * 4 for m in range(4)])
+        self.cuts, self.word_cuts = (np.array([[0.0, *[x[m][d] for d in ("d1", "d2", "d3")]] if m in x else [0.0] * 4 for m in range(k)]) for x, k in ((twos, 4), (ones, 6)))
+        self.sums = np.array([float(ones[m]["sum"]) if m in ones else 1.0 for m in range(6)])
 
         def of(c: int, values: dict[int, dict[str, float]], name: str) -> Column:
             found = F.lit(None).cast("double")
@@ -471,29 +591,28 @@ class WordModels:
             floor = of(c, {m: {"floor": x} for m, x in enumerate(self.floor) if m in ones}, "floor")
             return F.when(k > 0, (k - d) / of(c, ones, "sum") + floor).alias(f"one{c}")
 
-        heads = counts.where("n0 + n1 > 0").groupBy("f", "h").agg(*[x for c in (0, 1) for x in (
+        def gamma(c: int) -> Column:
+            cut = of(c, twos, "d1") * F.col(f"a{c}") + of(c, twos, "d2") * F.col(f"b{c}") + of(c, twos, "d3") * F.col(f"c{c}")
+            return F.when(F.col(f"count{c}") > 0, cut / F.col(f"count{c}")).alias(f"gamma{c}")
+
+        heads = counts.where("n0 + n1 > 0").groupBy("f", F.col("h").alias("w")).agg(*[x for c in (0, 1) for x in (
             F.sum(f"n{c}").alias(f"count{c}"), F.count_if(F.col(f"n{c}") == 1).alias(f"a{c}"),
             F.count_if(F.col(f"n{c}") == 2).alias(f"b{c}"), F.count_if(F.col(f"n{c}") > 2).alias(f"c{c}"))])
-        gamma = [F.when(F.col(f"count{c}") > 0, (of(c, twos, "d1") * F.col(f"a{c}") + of(c, twos, "d2") * F.col(f"b{c}")
-                                                + of(c, twos, "d3") * F.col(f"c{c}")) / F.col(f"count{c}")).alias(f"gamma{c}") for c in (0, 1)]
-        heads = heads.select("f", F.col("h").alias("w"), "count0", "count1", *gamma)
-        #: of a word: its probability by class after others (``one``), as the first of a pair its count and back-off weight
-        self.known = materialize(follow.select("f", "w", one(0), one(1), one(2)).join(heads.hint("merge"), ["f", "w"], "full"), "kn-known", free=True)
-        self.words = self.known.where("coalesce(one0, one1, one2) IS NOT NULL").select("f", "w", "one0", "one1", "one2")
-        self.heads = self.known.where("count0 IS NOT NULL").select("f", F.col("w").alias("h"), "count0", "count1", "gamma0", "gamma1")
-
-        def keyed(batches):
-            for b in batches:
-                h, w = (b.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
-                yield pa.RecordBatch.from_arrays([b.column("f"), pa.array(_pair_keys(h, w).view(np.int64)), b.column("n0"), b.column("n1")], names=["f", "g", "n0", "n1"])
-
+        #: WORD_VALUES of every word, packed by ranges
+        known = follow.join(heads.hint("merge"), ["f", "w"], "full").select("f", "w", *[F.coalesce(c, F.lit(0)).alias(c) for c in WORD_VALUES])
+        self.known = materialize(_by_range(known, WORD_VALUES, 0, self.bits), "kn-known", free=True)
         discard(follow)
-        #: by part of the pairs, how often each was seen
+        #: PAIR_VALUES by part of the pairs, packed by ranges
         self.by_part = []
         for own in by_part:
-            self.by_part.append(materialize(own.where("n0 + n1 > 0").mapInArrow(keyed, "f int, g long, n0 long, n1 long"), "kn-seen-pairs", free=True))
+            seen = _by_range(own.where("n0 + n1 > 0").select("f", "h", "w", *PAIR_VALUES), PAIR_VALUES, 2, self.bits)
+            self.by_part.append(materialize(seen, "kn-seen-pairs", free=True))
             discard(own)
-        self.pairs = reduce(DataFrame.unionByName, self.by_part)
+        rows = _rows(self.known, "w", WORD_VALUES, self.bits)
+        #: of a word its probability by class after others (``one``), as the first of a pair its count and back-off weight
+        self.words = rows.where("n0 + n1 + n2 > 0").select("f", "w", one(0), one(1), one(2))
+        self.heads = rows.where("count0 + count1 > 0").select("f", F.col("w").alias("h"), "count0", "count1", gamma(0), gamma(1))
+        self.pairs = _rows(reduce(DataFrame.unionByName, self.by_part), "g", PAIR_VALUES, self.bits)
 
     def probabilities(self, pairs: DataFrame) -> DataFrame:
         """Rows of word_pairs with p0 and p1, the probabilities of their second word in each class, and its toxic bits ``t``."""
@@ -510,24 +629,9 @@ class WordModels:
 
         return rows.mapInArrow(run, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, hash long, n long, p0 double, p1 double, t double")
 
-    def replies(self, blocks: DataFrame) -> list[DataFrame]:
-        """What the models know of each block's words and pairs, in ``parts`` goes; a model's tables are gone after that."""
-        out, goes = [], min(4, self.parts)
-        for k in range(goes):
-            mine = self.known.where(F.pmod("w", F.lit(goes)) == k).withColumnRenamed("w", "key")
-            words = _asked(blocks, False, k, goes).join(mine.hint("merge"), ["f", "key"])
-            out.append(materialize(_by_block(words, False), "kn-known-words", free=True))
-        discard(self.known)
-        for k, seen in enumerate(self.by_part):
-            mine = seen.select("f", F.col("g").alias("key"), F.col("n0").alias("count0"), F.col("n1").alias("count1"))
-            pairs = _asked(blocks, True, k, self.parts).join(mine.hint("merge"), ["f", "key"])
-            out.append(materialize(_by_block(pairs, True), "kn-known-pairs", free=True))
-            discard(seen)
-        return out
-
-
-def _flat(lists: pa.Table, c: str) -> np.ndarray:
-    return lists.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    def replies(self, blocks: DataFrame) -> DataFrame:
+        """What the models know of each block's words and pairs."""
+        return looked_up(_requests(blocks, self.bits), reduce(DataFrame.unionByName, [self.known, *self.by_part]), self.bits)
 
 
 def _likely(f: np.ndarray | int, n: list, total: list, gamma: list, one: list, floor: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -555,38 +659,28 @@ def word_scores(docs: DataFrame, models: WordModels) -> DataFrame:
     text makes a word likelier, and the most by which toxic text makes any one.
     Means are summed in whole millionths, so that no order of summing shows.
     """
-    blocks = materialize(word_blocks(docs), "kn-blocks", free=True)
-    replies = models.replies(blocks)
-    floor, cuts = models.floor, models.cuts
+    floor, cuts, word_cuts, sums, bits = models.floor, models.cuts, models.word_cuts, models.sums, models.bits
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        out = []
+        out, told = [], [[] for _ in range(4)]  # words and pairs of each fold
+        for r, n, found in sorted(zip(*[known.column(c).to_pylist() for c in ("range", "n", "found")], strict=True)):
+            told[r >> bits].append(_unzip(found, n * len(PAIR_VALUES if r >> bits > 1 else WORD_VALUES)).astype(np.int64).reshape(-1, n))
         for i in range(block.num_rows):  # one row
             size, ids, of, _, first, second = _block(block, i)
             k, folds = len(ids), np.asarray(block.column("hash")[i].values) & 1
-            order = np.argsort(ids)
-            told = {p: known.filter(pc.equal(known.column("pair"), p)) for p in (False, True)}
-            for x in (0, 1):  # the documents of a fold, as the other's models judge them
+            for x in np.unique(of).tolist():  # the documents of a fold, as the other's models judge them
                 mine = np.flatnonzero(of == x)
-                if not len(mine):
-                    continue
-                code, at = np.unique(first[mine] * k + second[mine], return_inverse=True)
+                places, code, _, by_key = _sought(ids, first[mine], second[mine])
+                at = np.searchsorted(code, first[mine] * k + second[mine])
                 h, w = code // k, code % k
-                here = {p: np.flatnonzero(_flat(t, "f") == x) for p, t in told.items()}
-                spot = order[np.searchsorted(ids, _flat(told[False], "key")[here[False]].view(np.uint64), sorter=order)]
-
-                def of_words(c: str) -> np.ndarray:
-                    found = np.full(k, np.nan)
-                    found[spot] = _flat(told[False], c)[here[False]]
-                    return found
-
-                keys, n = _pair_keys(ids[h], ids[w]), [np.zeros(len(code)) for _ in (0, 1)]
-                by_key = np.argsort(keys)
-                met = by_key[np.searchsorted(keys, _flat(told[True], "key")[here[True]].view(np.uint64), sorter=by_key)]
-                for c in (0, 1):
-                    n[c][met] = _flat(told[True], f"count{c}")[here[True]]
-                p0, p1, t = _likely(x, n, *[[of_words(f"{name}{c}")[h] for c in (0, 1)] for name in ("count", "gamma")],
-                                    [of_words(f"one{c}")[w] for c in (0, 1, 2)], floor, cuts)
+                values, n = np.zeros((len(WORD_VALUES), k), np.int64), np.empty((len(PAIR_VALUES), len(code)), np.int64)
+                values[:, places], n[:, by_key] = np.concatenate(told[x], axis=1), np.concatenate(told[2 + x], axis=1)
+                one = [np.where(v > 0, (v - word_cuts[m, np.minimum(v, 3)]) / sums[m] + floor[m], np.nan) for m, v in zip((x, 2 + x, 4 + x), values[:3], strict=True)]
+                total, gamma = [values[3], values[7]], []
+                for m, (v, *seen) in ((x, values[3:7]), (2 + x, values[7:])):
+                    cut = cuts[m, 1] * seen[0] + cuts[m, 2] * seen[1] + cuts[m, 3] * seen[2]
+                    gamma.append(np.where(v > 0, cut / np.maximum(v, 1), np.nan))
+                p0, p1, t = _likely(x, n, [v[h] for v in total], [v[h] for v in gamma], [v[w] for v in one], floor, cuts)
                 row = np.flatnonzero(folds == x)
                 starts = np.cumsum(size[row]) - size[row]
                 mean = lambda bits: np.add.reduceat(_millionths(bits)[at], starts) / size[row] / 1e6
@@ -595,17 +689,16 @@ def word_scores(docs: DataFrame, models: WordModels) -> DataFrame:
                     c: pa.array(v, pa.float64(), from_pandas=True) for c, v in (("bits", mean(-np.log2(p0))), ("ratio", mean(np.log2(p1 / p0))), ("worst", worst))}))
         return pa.concat_tables(out)
 
-    known = reduce(DataFrame.unionByName, replies)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, bits double, ratio double, worst double"
-    goes = min(4, models.parts)
-
-    def go(df: DataFrame, k: int):
-        return df.where(F.pmod(F.shiftright("block", 32) + F.col("block"), F.lit(goes)) == k).groupBy("block")
-
-    found = [materialize(go(blocks, k).cogroup(go(known, k)).applyInArrow(run, schema), "kn-word-scores", free=True) for k in range(goes)]
-    scores = reduce(DataFrame.unionByName, found).groupBy("doc_id", "hash").agg(*[F.min(m).alias(m) for m in ("bits", "ratio", "worst")])  # equal rows are equal
-    discard(blocks, *replies)
-    return scores
+    found = []
+    for k in range(models.parts):  # so that the words of a part of the documents are on disk at a time
+        blocks = materialize(word_blocks(docs.where(F.pmod(F.shiftright("hash", 1), F.lit(models.parts)) == k)), "kn-blocks", free=True)
+        known = materialize(models.replies(blocks), "kn-replies", free=True)
+        scores = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
+        found.append(materialize(scores, "kn-word-scores", free=True))
+        discard(blocks, known)
+    discard(models.known, *models.by_part)
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "hash").agg(*[F.min(m).alias(m) for m in ("bits", "ratio", "worst")])  # equal rows are equal
 
 
 def packed(texts: DataFrame, *carry: str) -> DataFrame:
@@ -668,8 +761,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = _keyed(needed(docs, "doc_id", "text", "lang"))
     labels = needed(labels, "doc_id", "quality", "toxic")
     labelled = packed(docs, "doc_id", "hash").join(label_classes(labels).hint("merge"), "doc_id")  # labels grow with the documents
+    labelled = materialize(labelled, "kn-labelled-texts", free=True)
     chars = score(docs, train(labelled.where("cls = 0")), "doc_id", "hash", "lang")
-    models = WordModels(labelled)
+    models = WordModels(labelled, free=True)
     words = word_scores(docs, models)
     scored = chars.alias("c").join(words.alias("s").hint("merge"), F.col("c.hash").eqNullSafe(F.col("s.hash")) & F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
     scored = materialize(scored.select("c.*", *[f"s.{m}" for m in MEASURES if m != "char_bits"]), "kn-scores", free=True)

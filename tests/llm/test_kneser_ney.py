@@ -131,3 +131,46 @@ def test_cost_table_is_made_piece_by_piece():
     for w in [*three, 0, 5, 700, (k + 1) * k + 3, 2 * k + 1, 12345, 3 * k * k + 3 * k + 3]:
         p = three.get(w, {k + 1: 0.25, 2: 0.75}.get(w // k, 1.0) * two(w % (k * k)))
         assert costs[w] == pytest.approx(-math.log2(p), rel=1e-6)
+
+
+def test_words_of_a_part_of_the_documents_are_on_disk_at_a_time(spark, monkeypatch):
+    r, seen = random.Random(5), []
+    docs = spark.createDataFrame([(i, " ".join(r.choices("abcdefgh", k=60)), "en") for i in range(120)], DOCS)
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    kept = kneser_ney.materialize
+
+    def told(df, label, free=False):
+        table = kept(df, label, free)
+        seen.append((label, table.agg(F.sum(F.size("doc_id"))).first()[0] if label == "kn-blocks" else table.count()))
+        return table
+
+    monkeypatch.setattr(kneser_ney, "materialize", told)
+    monkeypatch.setattr(kneser_ney, "PART_WORDS", 500)
+    assert kneser_ney.judge(docs, labels).count() == 120
+    parts = [n or 0 for label, n in seen if label == "kn-blocks"]
+    assert sum(parts) == 120 and max(parts) < 80
+    assert all(label in {x for x, _ in seen} for label in ("kn-replies", "kn-labelled-texts"))
+
+
+def test_keys_are_looked_up_by_range(spark):
+    r = random.Random(6)
+    keys = [0, 1, 2**63 - 1, -1, -2**63, *(r.randrange(-2**63, 2**63) for _ in range(300))]
+    known = {(f, w): [r.choice([0, 1, 2, 300, 70_000, 2**33]) for _ in kneser_ney.WORD_VALUES] for f in (0, 1) for w in r.sample(keys, 200)}
+    rows = spark.createDataFrame([(f, w, *v) for (f, w), v in known.items()], ", ".join(["f int, w long", *[f"{c} long" for c in kneser_ney.WORD_VALUES]]))
+    tables = kneser_ney._by_range(rows.repartition(5), kneser_ney.WORD_VALUES, 0, 3)
+    assert sorted(map(tuple, kneser_ney._rows(tables, "w", kneser_ney.WORD_VALUES, 3).collect())) == sorted((f, w, *v) for (f, w), v in known.items())
+
+    asked, requests = {}, []
+    for block in (4, 9):
+        for f in (0, 1):
+            words = np.sort(np.array([k % 2**64 for k in r.sample(keys, 120)], np.uint64))
+            for at, begin, end in kneser_ney._ranges(words, 3):
+                asked[block, f << 3 | at] = f, words[begin:end].view(np.int64).tolist()
+                requests.append((f << 3 | at, end - begin, kneser_ney._zip_keys(words[begin:end]), block))
+    got = kneser_ney.looked_up(spark.createDataFrame(requests, "range int, n int, keys binary, block long"), tables, 3).collect()
+    assert len(got) == len(requests) and {(x.block, x.range) for x in got} == set(asked)
+    none = [0] * len(kneser_ney.WORD_VALUES)
+    for x in got:
+        f, words = asked[x.block, x.range]
+        values = kneser_ney._unzip(bytes(x.found), x.n * len(none)).reshape(len(none), -1).T.tolist()
+        assert values == [known.get((f, w), none) for w in words]
